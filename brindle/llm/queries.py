@@ -3,25 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import quality, sharding
+from brindle.llm import decontamination, quality, secrets, sharding
 from brindle.llm.common import read
 
 #: Production parameters of the placement query.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.secrets(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans", "n_live", "n_example")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
 def queries():
-    return {f.__name__: f for f in (op3_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_secret_scan, op10_sharding)}
 
 
 def oracle_sql():
