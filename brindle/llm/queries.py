@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, quality, secrets, sharding
+from brindle.llm import decontamination, minhash, quality, secrets, sharding
 from brindle.llm.common import read
 
 #: Production parameters of the placement query.
@@ -27,12 +27,16 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans", "n_live", "n_example")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
 def queries():
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_secret_scan, op10_sharding)}
+    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_secret_scan, op7_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql():
