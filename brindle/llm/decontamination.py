@@ -30,19 +30,27 @@ def hashed_words(text: Column) -> Column:
 
 
 def _seeds(df: DataFrame) -> DataFrame:
-    """``df`` (with ``th``), one row per window and mask: ``pos`` and ``seed``."""
-    at = df.select("*", F.posexplode("th").alias("pos", "__h")).drop("__h").where(F.col("pos") <= F.size("th") - SPAN)
+    """``df`` (with ``th``), one row per window and mask: ``pos`` and ``seed``.
+
+    The outer form of explode keeps Spark from adding a filter that would
+    build the words a second time.
+    """
+    at = df.select("*", F.posexplode_outer("th").alias("pos", "__h")).drop("__h").where(F.col("pos") <= F.size("th") - SPAN)
     masks = (F.xxhash64(F.lit(k), *(F.get("th", F.col("pos") + o) for o in mask)) for k, mask in enumerate(MASKS))
     return at.select("*", F.explode(F.array(*masks)).alias("seed"))
 
 
-def _equal_words() -> Column:
-    """Equal words in the window around a seed, and the window's length."""
+def _equal_words() -> tuple[Column, Column]:
+    """Equal words in the window around a seed, and the window's length.
+
+    Written out place by place, without a lambda: so it runs in the generated
+    code of the join, and the words of the document leave that code with no hit.
+    """
     n = F.least(F.lit(WINDOW), F.size("item_th"))
     first = F.greatest(F.lit(0), F.least(F.col("item_pos") - (WINDOW - SPAN) // 2, F.size("item_th") - n))
-    shift = F.col("pos") - F.col("item_pos")
-    same = F.filter(F.sequence(first, first + n - 1), lambda k: F.coalesce(F.get("th", k + shift) == F.get("item_th", k), F.lit(False)))
-    return F.struct(F.size(same).alias("equal"), n.alias("of"))
+    at = F.col("pos") - F.col("item_pos") + first
+    equal = [F.when((F.lit(k) < n) & (F.get("th", at + k) == F.get("item_th", first + k)), 1).otherwise(0) for k in range(WINDOW)]
+    return sum(equal[1:], equal[0]), n
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -61,8 +69,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     small = n <= MAX_BROADCAST_SEEDS
     own = docs.select(F.col(id_col).alias("doc_id"), hashed_words(F.col(text_col)).alias("th"))
     hit = _seeds(own).join(F.broadcast(seeds) if small else seeds, "seed")
-    verified = hit.withColumn("match", _equal_words()).where(100 * F.col("match.equal") >= IDENTITY * F.col("match.of"))
-    return verified.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_seeds"), F.max(100.0 * F.col("match.equal") / F.col("match.of")).alias("identity"))
+    equal, window = _equal_words()
+    verified = hit.select("doc_id", "item_id", equal.alias("equal"), window.alias("window")).where(100 * F.col("equal") >= IDENTITY * F.col("window"))
+    return verified.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_seeds"), F.max(100.0 * F.col("equal") / F.col("window")).alias("identity"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
