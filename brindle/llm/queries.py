@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, minhash, quality, secrets, sharding
+from brindle.llm import decontamination, minhash, quality, secrets, sharding, toxicity
 from brindle.llm.common import read
 
 #: Production parameters of the placement query.
@@ -27,6 +27,20 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans", "n_live", "n_example")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id", "lang"])
+    score = F.col(toxicity.SCORE)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        score.alias("score"),
+        F.when(score >= toxicity.CUT, 1).otherwise(0).alias("predicted"),
+        (score >= toxicity.threshold(model)).alias("rejected"),
+    )
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -36,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_secret_scan, op7_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_secret_scan, op6_toxicity, op7_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql():
