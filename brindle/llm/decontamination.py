@@ -40,17 +40,20 @@ def _seeds(df: DataFrame) -> DataFrame:
     return at.select("*", F.explode(F.array(*masks)).alias("seed"))
 
 
-def _equal_words() -> tuple[Column, Column]:
-    """Equal words in the window around a seed, and the window's length.
+def _windows(hit: DataFrame) -> DataFrame:
+    """Of each seed only the words to compare: ``own`` and ``theirs``, aligned.
 
-    Written out place by place, without a lambda: so it runs in the generated
-    code of the join, and the words of the document leave that code with no hit.
+    Slices run in the generated code of the join, so the words of a whole
+    document never leave it with a hit, and that code stays small enough for the
+    JVM to compile.
     """
     n = F.least(F.lit(WINDOW), F.size("item_th"))
     first = F.greatest(F.lit(0), F.least(F.col("item_pos") - (WINDOW - SPAN) // 2, F.size("item_th") - n))
-    at = F.col("pos") - F.col("item_pos") + first
-    equal = [F.when((F.lit(k) < n) & (F.get("th", at + k) == F.get("item_th", first + k)), 1).otherwise(0) for k in range(WINDOW)]
-    return sum(equal[1:], equal[0]), n
+    # Words of the window that would lie before the document's first one.
+    before = F.greatest(F.lit(0), F.col("item_pos") - F.col("pos") - first)
+    start = first + before
+    own = F.slice("th", F.col("pos") - F.col("item_pos") + start + 1, n - before)
+    return hit.select("doc_id", "item_id", n.alias("window"), own.alias("own"), F.slice("item_th", start + 1, n - before).alias("theirs"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -69,9 +72,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     small = n <= MAX_BROADCAST_SEEDS
     own = docs.select(F.col(id_col).alias("doc_id"), hashed_words(F.col(text_col)).alias("th"))
     hit = _seeds(own).join(F.broadcast(seeds) if small else seeds, "seed")
-    equal, window = _equal_words()
-    verified = hit.select("doc_id", "item_id", equal.alias("equal"), window.alias("window")).where(100 * F.col("equal") >= IDENTITY * F.col("window"))
-    return verified.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_seeds"), F.max(100.0 * F.col("equal") / F.col("window")).alias("identity"))
+    both = F.sequence(F.lit(0), F.least(F.size("own"), F.size("theirs")) - 1)
+    equal = F.size(F.filter(both, lambda k: F.get("own", k) == F.get("theirs", k)))
+    compared = _windows(hit).select("doc_id", "item_id", (100.0 * equal / F.col("window")).alias("identity"))
+    # Filtered after the aggregation, so that the comparison stays out of the join.
+    best = compared.groupBy("doc_id", "item_id").agg(F.count_if(F.col("identity") >= IDENTITY).alias("n_seeds"), F.max("identity").alias("identity"))
+    return best.where("n_seeds > 0")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
