@@ -49,6 +49,8 @@ PACKED, BITS = 128, 2
 MARGIN = 0.25
 #: Classes of a bucket whose pairs are joined, and of a block of a larger one.
 SMALL, BLOCK = 24, 512
+#: Most ids that are broadcast (8 bytes each).
+MAX_BROADCAST_IDS = 1_000_000
 
 _SCHEMA = "doc_id long, n_shingles long, key binary, bands array<long>, bits array<long>"
 
@@ -162,22 +164,27 @@ def _shingles(text: Column, size: int):
 
 
 def _class_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(id, own): the sets of the classes in ``needed`` (id), from their texts."""
-    low, build = _shingles(F.col("text"), size)
-    picked = docs.join(needed, docs["doc_id"] == needed["id"], "left_semi")
-    return picked.select(F.col("doc_id").alias("id"), low.alias("w")).where(F.size("w") > 0).select("id", build(F.col("w")).alias("own"))
+    """(id, own): the sets of the classes in ``needed`` (id), from their texts.
 
+    Ids are broadcast up to ``MAX_BROADCAST_IDS``, counted first; above it,
+    texts are shuffled to them.
+    """
+    needed = cut(needed)
+    low, build = _shingles(F.col("text"), size)
+    ids = F.broadcast(needed) if needed.count() <= MAX_BROADCAST_IDS else needed
+    picked = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    return cut(picked.select(F.col("doc_id").alias("id"), low.alias("w")).where(F.size("w") > 0).select("id", build(F.col("w")).alias("own")))
 
-def _confirm(pairs: DataFrame, bits: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
 
-    Bit counts discard most pairs that fail. The texts of the classes in the
-    rest are read again and their sets are built and compared by Spark.
-    """
+def _near(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that bit counts do not discard."""
     a_bits, b_bits = (bits.select(F.col("rep").alias(x), F.col("bits").alias(f"{x}_bits")) for x in "ab")
-    near = pairs.join(a_bits, "a").join(b_bits, "b").where(estimate(F.col("a_bits"), F.col("b_bits")) >= percent / 100 - MARGIN)
-    near = cut(near.select("a", "b"))
-    sets = cut(_class_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), size))
+    close = estimate(F.col("a_bits"), F.col("b_bits")) >= percent / 100 - MARGIN
+    return pairs.join(a_bits, "a").join(b_bits, "b").where(close).select("a", "b")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
     both = near.join(sets.select(F.col("id").alias("a"), F.col("own").alias("a_own")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("b_own")), "b")
     counted = both.select("a", "b", F.size(F.array_intersect("a_own", "b_own")).cast("long").alias("common"), (F.size("a_own") + F.size("b_own")).alias("total"))
     return counted.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
@@ -215,11 +222,11 @@ def _block_links(percent: int):
     return run
 
 
-def _large(buckets: DataFrame, comps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _large(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside the clusters of large buckets."""
     stars = buckets.select(F.col("leader").alias("a"), F.col("rep").alias("b"))
     members = components(stars).withColumnRenamed("component", "cluster")
-    members = cut(members.join(comps.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+    members = members.join(comps.select("id", F.col("component").alias("comp")), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     # Components of half a block or more have blocks of their own; the rest share.
     n_comp = members.groupBy("cluster", "comp").agg(F.count("*").alias("n")).withColumn("of", F.when(F.col("n") * 2 >= BLOCK, F.col("comp")))
     n_of = n_comp.groupBy("cluster", "of").agg(F.sum("n").alias("n"), F.count("*").alias("comps")).select("cluster", F.col("of").alias("g_of"), F.ceil(F.col("n") / BLOCK).alias("blocks"), "comps")
@@ -231,10 +238,7 @@ def _large(buckets: DataFrame, comps: DataFrame, docs: DataFrame, size: int, per
     y = blocks.select(F.col("cluster").alias("c"), F.col("block").alias("j"), F.col("of").alias("j_of"))
     pairs = x.join(y, (F.col("cluster") == F.col("c")) & (F.col("i") <= F.col("j"))).where(~F.coalesce(F.col("i_of") == F.col("j_of"), F.lit(False))).select("cluster", "i", "j")
     sides = pairs.select("cluster", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("block", F.when(F.col("side") == 1, F.col("j")).otherwise(F.col("i")))
-    used = sides.select("cluster", "block").distinct()
-    placed = placed.join(used, ["cluster", "block"], "left_semi")
-    sets = _class_sets(docs, placed.select("id"), size)
-    rows = placed.join(sets, "id").join(sides, ["cluster", "block"]).select("cluster", "i", "j", "side", "id", "comp", "own")
+    rows = placed.join(sides, ["cluster", "block"]).join(sets, "id").select("cluster", "i", "j", "side", "id", "comp", "own")
     return rows.groupBy("cluster", "i", "j").applyInPandas(_block_links(percent), "a long, b long")
 
 
@@ -252,17 +256,27 @@ def links(signed: DataFrame, docs: DataFrame, size: int = 2, percent: int = 80)
     shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     buckets = cut(banded.join(shared, "band"))
     stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = cut(_confirm(stars, bits, docs, size, percent))
-    comps = components(edges)
+    sets = _class_sets(docs, buckets.select(F.col("rep").alias("id")).distinct(), size)
+    comps = components(_confirmed(_near(stars, bits, percent), sets, percent))
     # What is left to compare: buckets whose classes are in different components.
     labelled = buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     open_ = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
-    small = labelled.where(F.col("n").between(3, SMALL)).join(open_, "band", "left_semi")
+    rest = cut(labelled.join(open_, "band", "left_semi"))
+    small = rest.where(F.col("n").between(3, SMALL))
     a, b = (small.select("band", F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp")) for x in "ab")
-    pairs = a.join(b, "band").where("a < b and a_comp <> b_comp").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = cut(_confirm(pairs, bits, docs, size, percent))
-    large = cut(_large(buckets.where(F.col("n") > SMALL), comps, docs, size, percent))
-    classes = components(edges.union(more).union(large))
+    pairs = a.join(b, "band").where("a < b and a_comp <> b_comp").select("a", "b").distinct()
+    more = _confirmed(_near(pairs, bits, percent), sets, percent)
+    large = rest.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        more = more.union(_large(large, comps, sets, percent))
+    # The new links join whole components; only those are gone through again.
+    own = lambda x: comps.select(F.col("id").alias(x), F.col("component").alias(f"{x}_comp"))
+    ends = more.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    merged = components(ends)
+    both = comps.select(F.col("id"), F.col("component").alias("c")).join(merged.select(F.col("id").alias("c"), "component"), "c", "left").select("id", F.coalesce("component", "c").alias("component"))
+    # A class without an earlier component is named by its own id in the merge.
+    alone = merged.join(comps.select("id"), "id", "left_anti")
+    classes = both.unionByName(alone)
     members = full.select("doc_id", "key").join(reps, "key")
     return members, classes
 
