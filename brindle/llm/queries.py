@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, minhash, quality, secrets, sharding, toxicity
-from brindle.llm.common import read
+from brindle.llm import decontamination, minhash, quality, secrets, sharding, token_store, toxicity
+from brindle.llm.common import read, shared_folder
 
 #: Production parameters of the placement query.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
+#: The id that ends each document.
+END_ID = 2
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file of the token queries; it stays where it is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=END_ID)
+    return token_store.read_tokens(spark, folder)
+
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -50,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_secret_scan, op6_toxicity, op7_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_bit_plane_tokens, op2_decontamination, op3_quality_rules, op4_secret_scan, op6_toxicity, op7_minhash_near_dedup, op10_sharding)}
 
 
 def oracle_sql():
