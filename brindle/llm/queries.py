@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, minhash, quality, secrets, sharding, token_store, toxicity
+from brindle.llm import decontamination, html_text, minhash, mixing, quality, secrets, sharding, token_store, toxicity
 from brindle.llm.common import read, shared_folder
 
 #: Production parameters of the placement query.
@@ -45,6 +45,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans", "n_live", "n_example")
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -63,12 +67,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bit_plane_tokens, op2_decontamination, op3_quality_rules, op4_secret_scan, op6_toxicity, op7_minhash_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_bit_plane_tokens, op2_decontamination, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_toxicity, op7_minhash_near_dedup, op8_html_extraction, op10_sharding)}
 
 
 def oracle_sql():
