@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, html_text, minhash, mixing, quality, secrets, sharding, token_store, toxicity
+from brindle.llm import decontamination, html_text, line_templates, minhash, mixing, quality, secrets, sharding, token_store, toxicity
 from brindle.llm.common import read, shared_folder
 
 #: Production parameters of the placement query.
@@ -72,12 +72,16 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring_lines(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
 def queries():
-    return {f.__name__: f for f in (op1_bit_plane_tokens, op2_decontamination, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_toxicity, op7_minhash_near_dedup, op8_html_extraction, op10_sharding)}
+    return {f.__name__: f for f in (op1_bit_plane_tokens, op2_decontamination, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_toxicity, op7_minhash_near_dedup, op8_html_extraction, op9_line_templates, op10_sharding)}
 
 
 def oracle_sql():
