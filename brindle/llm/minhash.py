@@ -300,3 +300,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(top, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, its columns unchanged.
+
+    Rows of the kept id stay, all of them if it is repeated, and so do rows
+    with a null id. Only the ids to drop are shuffled or broadcast to the texts.
+    """
+    found = near_duplicates(docs, id_col, text_col, size, percent)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__brindle_gone")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__brindle_gone"), "left_anti")
