@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.shapes import SHAPES, Shape
 
-#: Rule and set tables up to this many rows are broadcast.
-MAX_BROADCAST_ROWS = 100_000
+#: Most rows of a set table, and of a rule table that is read to plan by.
+MAX_SETS, MAX_DRIVER_RULES = 100_000, 200
 
 
 @dataclass(frozen=True)
@@ -146,7 +146,7 @@ def set_table(spark: SparkSession, domains: Sequence[Domain]) -> DataFrame:
 def domains_from(table: DataFrame) -> dict[str, Domain]:
     """The domains of a set table, which is read to the driver: a rule base's size."""
     out: dict[str, Domain] = {}
-    for r in table.orderBy("domain", "position").limit(MAX_BROADCAST_ROWS).collect():
+    for r in table.orderBy("domain", "position").limit(MAX_SETS).collect():
         out.setdefault(r.domain, Domain(r.domain)).add(r.set_name, r["shape"], *r.points[: SHAPES[r["shape"]].n_points])
     return out
 
@@ -159,16 +159,31 @@ def rule_table(spark: SparkSession, rules: Sequence[FuzzyRule]) -> DataFrame:
 def infer_long(memberships: DataFrame, rules: DataFrame, output: Domain, keep: Sequence[str], normalize: bool = False) -> DataFrame:
     """``keep`` and ``power`` from (``keep``, domain, set_name, degree) and a rule table.
 
-    The rule table is counted and broadcast; the two degrees of a rule meet in
-    one aggregation by observation and rule, not in a join of the memberships.
+    Up to ``MAX_DRIVER_RULES`` rules, which are counted first, are read to plan
+    one aggregation by observation: a column for each set that a rule names.
+    Longer rule tables are joined.
     """
-    n = rules.count()
-    numbered = rules.withColumn("rule", F.xxhash64(*rules.columns))
-    sides = numbered.select(
-        "rule", "out_set", F.explode(F.array(F.struct(F.col("domain_1").alias("domain"), F.col("set_1").alias("set_name")), F.struct(F.col("domain_2").alias("domain"), F.col("set_2").alias("set_name")))).alias("__s")
-    ).select("rule", "out_set", F.col("__s.domain").alias("domain"), F.col("__s.set_name").alias("set_name"))
-    matched = memberships.join(F.broadcast(sides) if n <= MAX_BROADCAST_ROWS else sides, ["domain", "set_name"])
-    fired = matched.groupBy(*keep, "rule", "out_set").agg(F.min("degree").alias("strength"))
+    if rules.count() > MAX_DRIVER_RULES:
+        return _infer_joined(memberships, rules, output, keep, normalize)
+    parsed = [FuzzyRule(r.domain_1, r.set_1, r.domain_2, r.set_2, r.out_set) for r in rules.distinct().collect()]
+    used = sorted({side for r in parsed for side in ((r.domain_1, r.set_1), (r.domain_2, r.set_2))})
+    own = lambda d, s: F.max(F.when((F.col("domain") == d) & (F.col("set_name") == s), F.col("degree")))
+    wide = memberships.groupBy(*keep).agg(*([own(d, s).alias(column_of(d, s)) for d, s in used] or [F.count("*").alias("__n")]))
+    strengths: dict[str, list[Column]] = {s.name: [F.lit(0.0), F.lit(0.0)] for s in output.sets}
+    for r in parsed:
+        x, y = F.col(column_of(r.domain_1, r.set_1)), F.col(column_of(r.domain_2, r.set_2))
+        strengths[output.find(r.out_set).name].append(F.when(x.isNotNull() & y.isNotNull(), F.least(x, y)))
+    done = wide.withColumns({column_of(output.name, name): F.greatest(*cols) for name, cols in strengths.items()})
+    return done.select(*keep, defuzzify(output, normalize).alias("power"))
+
+
+def _infer_joined(memberships: DataFrame, rules: DataFrame, output: Domain, keep: Sequence[str], normalize: bool) -> DataFrame:
+    """The same by joins: the two degrees of a rule meet by observation and rule."""
+    numbered = rules.distinct().withColumn("rule", F.xxhash64(*rules.columns))
+    side = lambda k: F.struct(F.col(f"domain_{k}").alias("domain"), F.col(f"set_{k}").alias("set_name"), F.lit(k).alias("k"))
+    sides = numbered.select("rule", "out_set", F.explode(F.array(side(1), side(2))).alias("__s")).select("rule", "out_set", "__s.*")
+    matched = memberships.join(sides, ["domain", "set_name"])
+    fired = matched.groupBy(*keep, "rule", "out_set").agg(F.when(F.count("degree") == 2, F.min("degree")).alias("strength"))
     typical = F.coalesce(*(F.when(F.col("out_set") == s.name, F.lit(s.shape.typical)) for s in output.sets))
     ored = fired.groupBy(*keep, "out_set").agg(F.greatest(F.max("strength"), F.lit(0.0)).alias("degree"))
     value = F.sum(typical * F.col("degree"))

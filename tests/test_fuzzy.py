@@ -74,7 +74,9 @@ def test_crane_wide(spark, crane):
         assert got[2] in (None, 0.0)
 
 
-def test_crane_long(spark, crane):
+@pytest.mark.parametrize("most", [200, 0])
+def test_crane_long(spark, crane, monkeypatch, most):
+    monkeypatch.setattr(fuzzy, "MAX_DRIVER_RULES", most)
     for normalize in (False, True):
         members = fuzzy.fuzzify_long(crane.where("id = 1"), INPUTS, COLUMNS, ["id"])
         got = fuzzy.infer_long(members, fuzzy.rule_table(spark, RULES), POWER, ["id"], normalize).collect()
