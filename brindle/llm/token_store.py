@@ -19,7 +19,6 @@ writes the files: a task that is run again replaces what it had written.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -32,13 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.tokens import LOWER, span_hash, span_sums, text_chunks
+
 #: Ids of a block.
 BLOCK = 1 << 16
-#: Words whose ids a task remembers at a time.
-REMEMBERED = 1 << 20
+#: Pieces whose ids a task remembers before it starts anew.
+REMEMBERED = 1 << 19
 LEVEL = 3
-#: Texts encoded together.
-TOGETHER = 256
+#: Bytes of text cut into pieces together.
+TOGETHER = 1 << 19
 
 _BLOCKS = (
     "shard int, block int, first long, n_ids int, carry_id long, carry_first long,"
@@ -46,21 +47,40 @@ _BLOCKS = (
 )
 
 
-#: A word that is letters, then ASCII punctuation: two pre-tokens at most. The
-#: letters are those whose lower case and composed form are one letter each.
-_STEM = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Kinds of bytes. Words with an ``_ODD`` byte are encoded whole.
+_BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+
+
+def _byte_kinds() -> np.ndarray:
+    kinds = np.full(256, _ODD, np.uint8)
+    for b in range(33, 127):
+        kinds[b] = _LETTER if chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN
+    kinds[[32, 9, 10, 11, 12, 13]] = _BLANK
+    kinds[ord("'")] = _ODD  # may start a contraction
+    return kinds
 
 
-class WordCache:
-    """Ids of texts as little-endian uint32 bytes, word by word.
+class PieceCache:
+    """Ids of texts, piece by piece.
 
-    For tokenizers that drop white space, split letters from other characters
-    and mark the last token of each piece with an end-of-word suffix. A text's
-    ids are then those of its blank-separated words one after another, so each
-    different word is encoded once per task (``REMEMBERED`` at a time): many
-    stems at a time as one text, cut at the end-of-word tokens.
+    For tokenizers that drop white space, lower case, split letters, single
+    digits and other signs from each other, and mark the last token of each piece
+    with an end-of-word suffix. Texts are cut into such pieces with numpy: ASCII
+    and the letters of Latin-1 are cut here; any other word (other characters,
+    an apostrophe, a special token) is one piece that the tokenizer cuts itself.
+    Each different piece is encoded once, letters many at a time as one text that
+    is cut at its end-of-word tokens. After ``REMEMBERED`` pieces all are forgotten.
+    A Python worker keeps its cache from task to task.
     """
 
+    _kept: dict[str, PieceCache] = {}
+
+    @classmethod
+    def of(cls, path: str) -> PieceCache:
+        if path not in cls._kept:
+            cls._kept = {path: cls(path)}
+        return cls._kept[path]
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
@@ -71,54 +91,83 @@ class WordCache:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for word, k in vocabulary.items() if word.endswith(suffix)]] = True
+        self.kinds = _byte_kinds()
+        for token in self.tokenizer.get_added_tokens_decoder().values():
+            self.kinds[token.content.encode()[0]] = _ODD
         self.forget()
 
     def forget(self) -> None:
-        self.ids: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {"": b""}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def _learn_stems(self, stems: list[str]) -> None:
-        parts = [stems[k : k + 64] for k in range(0, len(stems), 64)]
-        joined = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False) if parts else []
-        for part, got in zip(parts, joined, strict=True):
-            ids = np.array(got.ids, "<u4")
-            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(at) != len(part):
-                self.stems.update(zip(part, self._direct(part), strict=True))
+        self.rows: dict[int, int] = {}
+        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, pieces: list[str]) -> list[np.ndarray]:
+        parts, out = [pieces[k : k + 64] for k in range(0, len(pieces), 64)], []
+        for part, ids in zip(parts, self._ids([" ".join(p) for p in parts]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            out += np.split(ids, cuts[:-1]) if len(cuts) == len(part) else self._ids(part)
+        return out
+
+    def _learn(self, hashes: list[int], pieces: list[str], letters: np.ndarray) -> None:
+        for own, encode in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), self._ids)):
+            got = encode([pieces[k] for k in own])
+            n = len(self.first) - 1
+            self.rows.update((hashes[k], n + i) for i, k in enumerate(own))
+            self.flat = np.concatenate([self.flat, *got])
+            self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in got], dtype=np.int64))
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of the texts one after another, ids of each text) of parts of a column."""
+        for _, raw, text_starts in text_chunks(column, TOGETHER):
+            if len(self.rows) > REMEMBERED:
+                self.forget()
+            kinds, low = self.kinds[raw], LOWER[raw]
+            # Letters of two bytes, 0xC3 and one more, but for the signs of times and division.
+            lead = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7))
+            kinds[lead] = kinds[lead + 1] = _LETTER
+            low[lead + 1] += np.where(raw[lead + 1] < 0x9F, 32, 0).astype(np.uint8)
+            filled = kinds != _BLANK
+            first_of_word = filled.copy()
+            first_of_word[1:] &= ~filled[:-1]
+            last_of_word = filled[:-1] & ~filled[1:]  # the last byte is a blank
+            word_starts, word_ends = np.flatnonzero(first_of_word), np.flatnonzero(last_of_word) + 1
+            if not len(word_starts):
+                yield np.zeros(0, np.uint32), np.zeros(len(text_starts), np.int64)
                 continue
-            raw, first = ids.tobytes(), 0
-            for stem, last in zip(part, at, strict=True):
-                self.stems[stem] = raw[first:last]
-                first = last
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.ids) + len(words) > REMEMBERED:
-            self.forget()
-        plain, other = {}, []
-        for word in words:
-            if found := _STEM.fullmatch(word):
-                plain[word] = (found[1].lower(), found[2])
-            else:
-                other.append(word)
-        self._learn_stems(list({stem for stem, _ in plain.values() if stem not in self.stems}))
-        tails = list({tail for _, tail in plain.values() if tail not in self.stems})
-        self.stems.update(zip(tails, self._direct(tails), strict=True))
-        self.ids.update((word, self.stems[stem] + self.stems[tail]) for word, (stem, tail) in plain.items())
-        self.ids.update(zip(other, self._direct(other), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = {w for words in split for w in words}
-        if new := wanted - self.ids.keys():
-            self._learn(new)
-            if not wanted <= self.ids.keys():  # what was remembered has just been dropped
-                self._learn(wanted - self.ids.keys())
-        ids = self.ids
-        return [b"".join([ids[w] for w in words]) for words in split]
+            odd = np.logical_or.reduceat(kinds == _ODD, word_starts)
+            cut = (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+            for word in np.flatnonzero(odd).tolist():
+                span = slice(word_starts[word], word_ends[word])
+                cut[word_starts[word] : word_ends[word] - 1] = False
+                low[span] = raw[span]
+            starts_here = first_of_word
+            starts_here[1:] |= cut & filled[1:]
+            starts = np.flatnonzero(starts_here)
+            # A piece ends where the next one starts, or before at its word's end.
+            word = np.searchsorted(word_ends, starts, "right")
+            ends = np.minimum(np.append(starts[1:], len(raw)), word_ends[word])
+            with np.errstate(over="ignore"):
+                sums, down = span_sums(low)
+                hashes = span_hash(sums, down, starts, ends)
+            del sums
+            inverse, unique = pd.factorize(hashes)
+            where = np.empty(len(unique), np.int64)
+            where[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+            keys = unique.tolist()
+            rows = [self.rows.get(h, -1) for h in keys]
+            if new := [k for k, r in enumerate(rows) if r < 0]:
+                data = low.tobytes()
+                place = where[new]
+                pieces = [data[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+                self._learn([keys[k] for k in new], pieces, (kinds[starts[place]] == _LETTER) & ~odd[word[place]])
+                rows = [self.rows[h] for h in keys]
+            row = np.array(rows)[inverse]
+            sizes = self.first[row + 1] - self.first[row]
+            total = np.append(0, np.cumsum(sizes))
+            ids = self.flat[np.repeat(self.first[row] - total[:-1], sizes) + np.arange(total[-1])]
+            yield ids, np.diff(total[np.append(np.searchsorted(starts, text_starts), len(starts))])
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -146,31 +195,33 @@ def _write_task(path: str, end_id: int, bits: bool) -> Callable:
     """(doc_id, text) in order -> the blocks of one shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, end = WordCache(path), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        pending, size = [], 0  # ids not yet in a block, as bytes
+        encoder, shard = PieceCache.of(path), TaskContext.get().partitionId()
+        pending, size = [], 0  # ids not yet in a block
         starts: list[tuple[int | None, int]] = []  # documents that start in what is pending: id, place
         block, done, carry = 0, 0, (None, -1)
 
         def close(n: int) -> pa.RecordBatch:
             nonlocal pending, size, starts, block, done, carry
-            data = b"".join(pending)
-            ids, rest = np.frombuffer(data[: 4 * n], "<u4"), data[4 * n :]
+            data = np.concatenate(pending)
+            ids, rest = data[:n], data[n:]
             own = [s for s in starts if s[1] < done + n]
             row = {"shard": shard, "block": block, "first": done, "n_ids": n, "carry_id": carry[0], "carry_first": carry[1], "doc_ids": [s[0] for s in own], "doc_firsts": [s[1] for s in own], "planes": to_planes(ids, bits)}
             starts = starts[len(own) :]
             carry = own[-1] if own else carry
-            pending, size, block, done = [rest] if rest else [], size - n, block + 1, done + n
+            pending, size, block, done = [rest], size - n, block + 1, done + n
             return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for k in range(0, len(keys), TOGETHER):
-                for key, got in zip(keys[k : k + TOGETHER], encoder.encode(batch.column(1).slice(k, TOGETHER).to_pylist()), strict=True):
-                    starts.append((key, done + size))
-                    pending += [got, end]
-                    size += len(got) // 4 + 1
-                    while size >= BLOCK:
-                        yield close(BLOCK)
+            keys, row = batch.column(0).to_pylist(), 0
+            for ids, counts in encoder.encode(batch.column(1)):
+                ends = np.cumsum(counts)
+                firsts = done + size + np.append(0, ends[:-1]) + np.arange(len(counts))
+                starts += zip(keys[row : row + len(counts)], firsts.tolist(), strict=True)
+                row += len(counts)
+                pending.append(np.insert(ids, ends, end_id))
+                size += len(ids) + len(counts)
+                while size >= BLOCK:
+                    yield close(BLOCK)
         if size:
             yield close(size)
 

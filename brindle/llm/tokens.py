@@ -73,16 +73,14 @@ class Words:
     prefixes: np.ndarray | None
 
 
-def _span_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
-def hashed_words(column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, prefix: int = 0) -> Iterator[Words]:
-    """The hashed words of every text of a string column, A-Z in lower case.
+def text_chunks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, start of each text) of parts of a string column.
 
-    Words are maximal runs of bytes that ``word_bytes`` allows. ``prefix``:
-    also hash the first so many bytes of each word. Null texts have no words.
+    Texts follow each other with one blank after each, which ends its last
+    word. Null texts are empty. A part has ``most`` bytes (``CHUNK`` unless
+    given), or is one longer text.
     """
+    most = most or CHUNK
     if len(column) == 0:
         return
     if column.null_count:
@@ -91,25 +89,41 @@ def hashed_words(column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, prefix: i
     _, raw_offsets, raw = column.buffers()
     offsets = np.frombuffer(raw_offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
-    values = constants(256, 1)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
         cuts = offsets[first : last + 1] - offsets[first]
-        # A blank after each text ends its last word.
-        text = np.insert(data[offsets[first] : offsets[last]], cuts[1:], 32)
-        text_starts = cuts[:-1] + np.arange(last - first)
+        yield first, np.insert(data[offsets[first] : offsets[last]], cuts[1:], 32), cuts[:-1] + np.arange(last - first)
+        first = last
+
+
+def span_sums(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`span_hash` needs to hash any span of ``text``."""
+    up, down = _power_tables(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(constants(256, 1)[text] * up[: len(text)], out=sums[1:])
+    return sums, down
+
+
+def span_hash(sums: np.ndarray, down: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def hashed_words(column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, prefix: int = 0) -> Iterator[Words]:
+    """The hashed words of every text of a string column, A-Z in lower case.
+
+    Words are maximal runs of bytes that ``word_bytes`` allows. ``prefix``:
+    also hash the first so many bytes of each word. Null texts have no words.
+    """
+    for first, text, text_starts in text_chunks(column):
         text = LOWER[text]
         inside = np.zeros(len(text) + 1, np.int8)
         inside[1:] = word_bytes[text]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edges[0::2], edges[1::2]
-        up, down = _power_tables(len(text) + 1)
         with np.errstate(over="ignore"):
-            sums = np.zeros(len(text) + 1, np.uint64)
-            np.cumsum(values[text] * up[: len(text)], out=sums[1:])
-            hashes = _span_hash(sums, down, starts, ends)
-            prefixes = _span_hash(sums, down, starts, np.minimum(starts + prefix, ends)) if prefix else None
+            sums, down = span_sums(text)
+            hashes = span_hash(sums, down, starts, ends)
+            prefixes = span_hash(sums, down, starts, np.minimum(starts + prefix, ends)) if prefix else None
         counts = np.diff(np.append(np.searchsorted(starts, text_starts), len(starts)))
         yield Words(first, counts, hashes, prefixes)
-        first = last

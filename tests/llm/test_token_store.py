@@ -2,7 +2,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from brindle.llm import token_store
@@ -20,6 +23,8 @@ TEXTS = [
     "가 ᆨ 각 日本語",
 ]
 
+CACHE = token_store.PieceCache(tokenizer_path())
+
 
 def brute(rows):
     tok = Tokenizer.from_file(tokenizer_path())
@@ -62,12 +67,27 @@ def test_empty_table(spark, tmp_path):
     assert stored(spark, tmp_path, []) == []
 
 
-def test_forgetting_words_changes_nothing(monkeypatch):
+def pieces(cache, texts):
+    out = []
+    for ids, counts in cache.encode(pa.array(texts, pa.string())):
+        out += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    return out
+
+
+def test_forgetting_pieces_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_store, "REMEMBERED", 5)
-    cache = token_store.WordCache(tokenizer_path())
+    monkeypatch.setattr(token_store, "TOGETHER", 40)
+    cache = token_store.PieceCache(tokenizer_path())
     tok = Tokenizer.from_file(tokenizer_path())
-    for text in ["a b c d", "e f g a", " ".join(f"w{k}x" for k in range(40))] * 2:
-        assert np.frombuffer(cache.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    texts = ["a b c d", "e f g a", "", " ".join(f"w{k}x" for k in range(40))] * 2
+    assert pieces(cache, texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBcZ09.,'<|>*-_ \n\t\x1c\x85\xa0éÀÿß×÷Œİıſ\u0301\u2028日ﬁ½Σ😀") | st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=5))
+def test_pieces_match_the_tokenizer(texts):
+    got = pieces(CACHE, texts)
+    assert got == [CACHE.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_planes_and_checksums():
