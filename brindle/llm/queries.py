@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, html_text, line_templates, minhash, mixing, quality, secrets, sharding, token_store, toxicity
+from brindle.llm import decontamination, html_text, line_templates, minhash, mixing, oracles, quality, secrets, sharding, token_store, toxicity
 from brindle.llm.common import read, shared_folder
 
 #: Production parameters of the placement query.
@@ -46,7 +46,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("first_slot")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +85,12 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op2_decontamination": oracles.op2(),
+        "op3_quality_rules": oracles.op3(),
+        "op4_secret_scan": oracles.op4(),
+        "op5_source_mix": oracles.op5(),
+        "op7_minhash_near_dedup": oracles.op7(),
+        "op9_line_templates": oracles.op9(),
+        "op10_sharding": oracles.op10(SHARDS),
+    }
