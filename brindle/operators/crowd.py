@@ -63,12 +63,12 @@ def movement_metric(df: DataFrame, person: str, values: Sequence[str], keys: Seq
 def normalise(df: DataFrame, value: str, name: str) -> DataFrame:
     """``value`` scaled to 0..1 over the whole frame; null if it is constant.
 
-    The two bounds are one row, so it is joined instead of a window that would
-    bring all rows into one task.
+    The two bounds are one aggregated row, read as a scalar subquery: a window
+    over all rows would bring them into one task.
     """
-    bounds = df.agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
-    span = F.nullif(F.col("__high") - F.col("__low"), F.lit(0.0))
-    return df.join(F.broadcast(bounds)).withColumn(name, (F.col(value) - F.col("__low")) / span).drop("__low", "__high")
+    bounds = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("bounds")).scalar()
+    span = F.nullif(bounds["high"] - bounds["low"], F.lit(0.0))
+    return df.withColumn(name, (F.col(value) - bounds["low"]) / span)
 
 
 def metric_rows(df: DataFrame, base: Column, index: str = "interval", width_ms: int = WIDTH_MS) -> DataFrame:

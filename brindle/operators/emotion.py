@@ -26,9 +26,8 @@ def totals(long: DataFrame) -> DataFrame:
 def shares(sums: DataFrame, value: str = "total", digits: int = 1) -> DataFrame:
     """``sums`` with ``share``, percent of the grand total; null if that is 0.
     ``sums`` has one row a category."""
-    whole = sums.agg(F.sum(value).alias("__whole"))
-    part = F.try_divide(F.lit(100.0) * F.col(value), F.col("__whole"))
-    return sums.join(F.broadcast(whole)).withColumn("share", F.round(part, digits)).drop("__whole")
+    whole = sums.agg(F.sum(value)).scalar()
+    return sums.withColumn("share", F.round(F.try_divide(F.lit(100.0) * F.col(value), whole), digits))
 
 
 def grand_total(df: DataFrame, columns: Sequence[str] = EMOTIONS) -> Column:

@@ -42,8 +42,7 @@ def article_dedup_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalogue.add("SELECT event_id, event_type FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOURS")
 def recency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
-    last = events.agg(F.max("ts").alias("as_of"))
-    return report.recent(events.join(F.broadcast(last)), "ts", F.col("as_of")).select("event_id", "event_type")
+    return report.recent(events, "ts", events.agg(F.max("ts")).scalar()).select("event_id", "event_type")
 
 
 @catalogue.add("SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 3 AND try_cast(CASE WHEN doc_id % 5 = 0 THEN 'soon' ELSE '2024-01-02' END AS DATE) IS NOT NULL")
@@ -204,6 +203,20 @@ def llm_batch_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.check_echo(rows, known, ("lang", "batch_id", "link")).select("link", "title", "publish_date", "lang", "is_known")
 
 
+def stub_strategy(rows: list[dict]) -> str:
+    """A deterministic stand-in for the strategy model: one answer a document."""
+    import json
+
+    return json.dumps({"articles": [{"title": f"{len(rows)} articles", "link": str(rows[0]["doc_id"]), "publish_date": str(sum(r["n_chars"] for r in rows))}]})
+
+
+@catalogue.add("SELECT source, count(*) || ' articles' AS title, min(doc_id)::VARCHAR AS link, sum(n_chars)::BIGINT::VARCHAR AS publish_date FROM documents GROUP BY source")
+def llm_topic_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model call per topic, here per source."""
+    answers = report.call_model(_documents(spark, sf_dir).select("source", "doc_id", "n_chars"), stub_strategy, ["doc_id", "n_chars"], ["source"], ["doc_id"])
+    return report.parse_summaries(answers, ["source"]).select("source", "title", "link", "publish_date")
+
+
 @catalogue.add()
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.functions import html, text
+from brindle.functions import html, prompts, text
 from brindle.operators import report
 from brindle.sources import readers, sinks
 
@@ -74,6 +74,13 @@ def test_model_calls(spark, fail_first, attempts):
         assert {r.link: r.is_known for r in report.check_echo(rows, known).collect()} == {"t0": True, "t1": False, "t2": True}
 
 
+def test_prompts_carry_the_rows():
+    seen = []
+    ask = prompts.model_from(lambda p: seen.append(p) or "{}")
+    assert ask([{"title": "é"}]) == "{}"
+    assert seen[0].startswith(prompts.SUMMARISE) and json.loads(seen[0][len(prompts.SUMMARISE) :]) == [{"title": "é"}]
+
+
 def test_reports(spark):
     sections = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one")], "topic string, n int, section string")
     stamp = F.lit("2024-01-02 03:04:05.678").cast("timestamp")
