@@ -97,9 +97,17 @@ class PieceCache:
         self.forget()
 
     def forget(self) -> None:
-        self.rows: dict[int, int] = {}
+        #: Sorted hashes of the pieces, and where each one's ids are in ``flat``.
+        self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each piece; -1: not known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.rows[at], -1)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -110,18 +118,21 @@ class PieceCache:
             out += np.split(ids, cuts[:-1]) if len(cuts) == len(part) else self._ids(part)
         return out
 
-    def _learn(self, hashes: list[int], pieces: list[str], letters: np.ndarray) -> None:
-        for own, encode in ((np.flatnonzero(letters), self._letters), (np.flatnonzero(~letters), self._ids)):
-            got = encode([pieces[k] for k in own])
-            n = len(self.first) - 1
-            self.rows.update((hashes[k], n + i) for i, k in enumerate(own))
-            self.flat = np.concatenate([self.flat, *got])
-            self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in got], dtype=np.int64))
+    def _learn(self, hashes: np.ndarray, pieces: list[str], letters: np.ndarray) -> None:
+        own = [np.flatnonzero(letters), np.flatnonzero(~letters)]
+        got = self._letters([pieces[k] for k in own[0]]) + self._ids([pieces[k] for k in own[1]])
+        known = len(self.first) - 1
+        self.flat = np.concatenate([self.flat, *got])
+        self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in got], dtype=np.int64))
+        both = np.concatenate([self.hashes, hashes[np.concatenate(own)]])
+        rows = np.concatenate([self.rows, np.arange(known, known + len(got), dtype=np.int32)])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.rows = both[order], rows[order]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of the texts one after another, ids of each text) of parts of a column."""
         for _, raw, text_starts in text_chunks(column, TOGETHER):
-            if len(self.rows) > REMEMBERED:
+            if len(self.hashes) > REMEMBERED:
                 self.forget()
             kinds, low = self.kinds[raw], LOWER[raw]
             # Letters of two bytes, 0xC3 and one more, but for the signs of times and division.
@@ -155,15 +166,15 @@ class PieceCache:
             inverse, unique = pd.factorize(hashes)
             where = np.empty(len(unique), np.int64)
             where[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
-            keys = unique.tolist()
-            rows = [self.rows.get(h, -1) for h in keys]
-            if new := [k for k, r in enumerate(rows) if r < 0]:
+            rows = self._find(unique)
+            new = np.flatnonzero(rows < 0)
+            if len(new):
                 data = low.tobytes()
                 place = where[new]
                 pieces = [data[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
-                self._learn([keys[k] for k in new], pieces, (kinds[starts[place]] == _LETTER) & ~odd[word[place]])
-                rows = [self.rows[h] for h in keys]
-            row = np.array(rows)[inverse]
+                self._learn(unique[new], pieces, (kinds[starts[place]] == _LETTER) & ~odd[word[place]])
+                rows = self._find(unique)
+            row = rows[inverse]
             sizes = self.first[row + 1] - self.first[row]
             total = np.append(0, np.cumsum(sizes))
             ids = self.flat[np.repeat(self.first[row] - total[:-1], sizes) + np.arange(total[-1])]

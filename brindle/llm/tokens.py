@@ -85,9 +85,9 @@ def text_chunks(column: pa.Array, most: int | None = None) -> Iterator[tuple[int
         return
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     _, raw_offsets, raw = column.buffers()
-    offsets = np.frombuffer(raw_offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = pa.types.is_large_string(column.type)
+    offsets = np.frombuffer(raw_offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
