@@ -243,7 +243,7 @@ def _large(buckets: DataFrame, comps: DataFrame, sets: DataFrame, percent: int)
 
 
 def links(signed: DataFrame, docs: DataFrame, size: int = 2, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (doc_id, key, rep) and (id, component) of linked classes.
+    """(reps, classes): (key, rep) of every class, and (id, component) of linked ones.
 
     ``signed`` is what :func:`signatures` returns, already materialised.
     """
@@ -253,14 +253,15 @@ def links(signed: DataFrame, docs: DataFrame, size: int = 2, percent: int = 80)
     first = cut(first.dropDuplicates(["rep"]))
     bits = first.select("rep", "bits")
     banded = first.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
+    # Cut, as below: so the join deals out both sides anew and Spark can split a hot bucket.
+    shared = cut(banded.groupBy("band").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"))
     buckets = cut(banded.join(shared, "band"))
     stars = buckets.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     sets = _class_sets(docs, buckets.select(F.col("rep").alias("id")).distinct(), size)
     comps = components(_confirmed(_near(stars, bits, percent), sets, percent))
     # What is left to compare: buckets whose classes are in different components.
     labelled = buckets.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    open_ = labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band")
+    open_ = cut(labelled.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("band"))
     rest = cut(labelled.join(open_, "band", "left_semi"))
     small = rest.where(F.col("n").between(3, SMALL))
     a, b = (small.select("band", F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp")) for x in "ab")
@@ -277,8 +278,7 @@ def links(signed: DataFrame, docs: DataFrame, size: int = 2, percent: int = 80)
     # A class without an earlier component is named by its own id in the merge.
     alone = merged.join(comps.select("id"), "id", "left_anti")
     classes = both.unionByName(alone)
-    members = full.select("doc_id", "key").join(reps, "key")
-    return members, classes
+    return reps, classes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
@@ -294,9 +294,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(signatures(own, size=size))
-    members, classes = links(signed, own, size, percent)
-    # Class by class first, so a class of many copies is looked up once.
-    top = members.select("key", "rep").distinct().join(classes, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
+    reps, classes = links(signed, own, size, percent)
+    top = reps.join(classes, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(top, "key", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
