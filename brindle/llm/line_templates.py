@@ -88,7 +88,8 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("doc", F.xxhash64("text"))
     texts = own.where("text is not null").select("doc", "text")
     dropped = recurring_lines(texts, min_docs, fixed).distinct().groupBy("doc").agg(F.collect_set("line").alias("gone"))
-    out = own.join(dropped, "doc", "left")
+    # Cut, so that the join deals out both sides and Spark can split a text of many copies.
+    out = own.join(cut(dropped), "doc", "left")
     split = F.split("text", "\n")
     has_word = F.filter(split, lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
     left = F.filter(split, lambda x, k: ~F.array_contains("gone", k))
