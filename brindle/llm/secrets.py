@@ -138,7 +138,8 @@ def secrets(
     generic = F.col("s.kind") == len(BASE)
     judged = (
         scanned.select("row", F.explode("spans").alias("s"))
-        .join(ownership(scanned), F.col("s.hash") == F.col("hash"))
+        # Cut, so that the join deals out both sides and Spark can split a value of many copies.
+        .join(cut(ownership(scanned)), F.col("s.hash") == F.col("hash"))
         .groupBy("row")
         .agg(
             F.count_if(live).alias("n_live"),
