@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 from brindle.llm import mixing
-from brindle.llm.mixing import golden, mix, mixed, schedule, targets
+from brindle.llm.mixing import golden, mix, mixed, schedule
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
