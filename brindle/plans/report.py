@@ -99,6 +99,16 @@ def tags_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", report.sorted_tags(_first_words()).alias("tags"), F.size(_first_words()).cast("bigint").alias("n"))
 
 
+_ALL = "list_distinct(regexp_extract_all(text, '[A-Za-z]+'))"
+
+
+@catalogue.add(f"SELECT doc_id, array_to_string(list_sort({_ALL}), ', ') AS tags, len({_ALL}) AS n FROM documents")
+def tags_sorted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the whole text as tags; :func:`tags_sorted` reads 200 characters, as its SQL does."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    return _documents(spark, sf_dir).select("doc_id", report.sorted_tags(words).alias("tags"), F.size(words).cast("bigint").alias("n"))
+
+
 _MD = r"regexp_replace({}, '([\\`*_{{}}\[\]()#+\-.!|<>$])', '\\\1', 'g')"
 
 
@@ -125,6 +135,20 @@ def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.article_report(sections, ["source"], ["doc_id"]).join(counts, "source").select("source", F.md5(F.col("report").cast("binary")).alias("report"), "n")
 
 
+@catalogue.add(
+    f"""WITH a AS (SELECT d.doc_id, source, regexp_replace({_MD.format("text")}, '^\\s+|\\s+$', '', 'g') AS t, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+ SELECT source, doc_id, md5('## [' || t || '](http://x/' || doc_id || ')' || chr(10) || '* ' || t || chr(10) || '* q' || quality || chr(10) || chr(10) || '**Tags:** ' || source || ', z'
+ || chr(10) || chr(10) || '**Publish Date:** 2024-01-01' || chr(10)) AS section FROM a"""
+)
+def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each source's report with the whole texts, a row each: the order
+    within a source is that of doc_id, and no row grows with a source."""
+    docs = _documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    summary = F.array(F.col("text"), F.concat(F.lit("q"), F.col("quality")))
+    section = report.article_section(F.col("text"), F.concat(F.lit("http://x/"), F.col("doc_id")), summary, F.array(F.lit("z"), F.col("source")), F.lit("2024-01-01"))
+    return docs.select("source", "doc_id", F.md5(section.cast("binary")).alias("section"))
+
+
 _LINE = """CASE WHEN conv_id % 3 = 0 THEN '- ' || role || ' ' || turn WHEN conv_id % 3 = 1 THEN '  - ' || role || ' ' || turn || '; then ' || conv_id
  WHEN turn % 5 = 0 THEN '  ' ELSE '- a; b; ' || conv_id END"""
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import html, prompts, text
 from brindle.operators import report
+from brindle.plans import report as plans
 from brindle.sources import readers, sinks
 
 
@@ -166,3 +168,14 @@ def test_paged_source_reads_each_page_once(spark):
     spark.dataSource.register(readers.PagedRecords)
     df = spark.read.format("brindle_paged").option("pages", "3").option("client", "tests.test_report:page").load()
     assert sorted(r.Timestamp for r in df.collect()) == [0, 1000, 2000]
+
+
+def test_tags_and_sections_hold_the_whole_text(spark, tmp_path):
+    text = "aa " * 100 + "late*word"
+    spark.createDataFrame([(1, text, "en", "s"), (2, None, "en", "s"), (3, "b", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    tags = {r.doc_id: (r.tags, r.n) for r in plans.tags_sorted_whole(spark, str(tmp_path)).collect()}
+    assert tags[1] == ("aa, late, word", 3) and tags[3] == ("b", 1)
+    shown = text.replace("*", "\\*")
+    section = f"## [{shown}](http://x/1)\n* {shown}\n* q1\n\n**Tags:** s, z\n\n**Publish Date:** 2024-01-01\n"
+    assert [tuple(r) for r in plans.article_sections(spark, str(tmp_path)).collect()] == [("s", 1, hashlib.md5(section.encode()).hexdigest())]
