@@ -7,7 +7,8 @@ over the whole text, each filter keeps its largest response (max pooling), and
 a logistic layer turns these into a score.
 
 Training uses a bounded sample of labelled rows on the driver; scoring runs in
-Arrow tasks over whole texts of any length, piece by piece.
+Arrow tasks over whole texts of any length, piece by piece. The thresholds come
+from counts of all labelled rows by language and score, at their own label mix.
 """
 
 from __future__ import annotations
@@ -29,10 +30,16 @@ WIDTHS = (1, 2, 3)
 FILTERS = 6
 #: Most labelled rows that training takes, by label.
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
+#: Batches that a model learns.
+STEPS = 825
 #: Rows with this remainder of crc32(doc_id as text) modulo 4 are never learnt from.
 HELD_OUT = 2
-#: A language with fewer toxic rows in the calibration part takes the threshold of all.
-LEAST_CALIBRATION = 20
+#: Sampled rows are scored for calibration by a model that learnt from the other folds.
+FOLDS = 2
+#: Calibration counts rows by so many score bins per unit of log-odds, up to these odds.
+BINS, MOST = 32, 24
+#: A language's counts are blended with those of all languages, worth so many toxic rows.
+SHRINK = 20
 #: The cut of ``predicted``.
 CUT = 0.3
 #: Above every score.
@@ -137,7 +144,7 @@ class _Adagrad:
         value[own] -= self.rate * total / np.sqrt(past[own])
 
 
-def train(texts: list[np.ndarray], toxic: np.ndarray, steps: int = 825, batch: int = 32, rate: float = 0.08, seed: int = 7) -> Model:
+def train(texts: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, batch: int = 32, rate: float = 0.08, seed: int = 7) -> Model:
     """``texts``: features (3, words) of each row; ``toxic``: 0 or 1 of each.
 
     The rows are gone through until ``steps`` batches are learnt, so a small
@@ -200,6 +207,42 @@ def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
     return float((score[order[last]] + below) / 2)
 
 
+def _bins(score: np.ndarray) -> np.ndarray:
+    """The bin of each score, from 0; :func:`_bin` as a column."""
+    p = np.clip(score, 1e-15, 1 - 1e-15)
+    return np.clip(np.floor(np.log(p / (1 - p)) * BINS), -MOST * BINS, MOST * BINS - 1).astype(np.int64) + MOST * BINS
+
+
+def _bin(score: Column) -> Column:
+    p = F.least(F.greatest(score, F.lit(1e-15)), F.lit(1 - 1e-15))
+    at = F.floor(F.log(p / (1 - p)) * BINS).cast("int")
+    return F.least(F.greatest(at, F.lit(-MOST * BINS)), F.lit(MOST * BINS - 1)) + MOST * BINS
+
+
+def counted_threshold(counts: np.ndarray) -> float:
+    """:func:`best_threshold` of ``counts`` (bins, 2): clean and toxic rows by score bin."""
+    used = np.flatnonzero(counts.sum(axis=1))[::-1]
+    hits = np.cumsum(counts[used, 1])
+    f1 = 2 * hits / (np.cumsum(counts[used].sum(axis=1)) + hits[-1])
+    last = len(f1) - 1 - int(np.argmax(f1[::-1]))
+    edge = lambda at: 1 / (1 + np.exp(MOST - at / BINS))
+    below = edge(used[last + 1] + 1) if last + 1 < len(used) else 0.0
+    return float((edge(used[last]) + below) / 2)
+
+
+def calibrate(model: Model, counts: dict[str | None, np.ndarray]) -> None:
+    """Set the thresholds from each language's counts (bins, 2); null: no language.
+
+    A language of few toxic rows leans on the counts of all; the more it has,
+    the less it does. Without a toxic row the cut stays ``CUT``.
+    """
+    common = sum(counts.values(), np.zeros((2 * MOST * BINS, 2)))
+    if not common[:, 1].any():
+        return
+    model.threshold = counted_threshold(common)
+    model.thresholds = {name: counted_threshold(own + SHRINK / common[:, 1].sum() * common) for name, own in counts.items() if name is not None}
+
+
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words = [None] * batch.num_rows
@@ -214,42 +257,55 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on up to ``max_positive + max_negative`` labelled rows.
 
     The rows are those of least hash among the labelled ids that are not held
-    out, so the sample is the same at every run. A fifth of them only
-    calibrates the thresholds by language; the language is not a feature. Rows
-    with a null label are left out. Without labelled rows every score is 0.5.
+    out, so the sample is the same at every run. The thresholds by language
+    come from all labelled rows that are not held out: sampled rows are scored
+    by models that did not learn from them, the others by the model itself, in
+    Spark. The language is not a feature. Rows with a null label are left out.
+    Without labelled rows every score is 0.5.
     """
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull() & ~held_out("__id"))
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic")).withColumn("__rank", F.xxhash64("__id"))
     picked = [known.where(F.col("toxic") == k).orderBy("__rank", "__id").limit(n) for k, n in ((1, max_positive), (0, max_negative))]
-    share = known.agg(F.avg("toxic")).first()[0] or 0.1
-    sample = picked[0].unionByName(picked[1]).select("__id", "toxic", F.pmod("__rank", F.lit(5)).cast("int").alias("part"))
+    n_known, n_toxic = known.agg(F.count("*"), F.sum("toxic")).first()
+    share = n_toxic / n_known if n_toxic else 0.1
+    sample = picked[0].unionByName(picked[1]).select("__id", "toxic", F.pmod("__rank", F.lit(FOLDS)).cast("int").alias("part"))
     # The sample is bounded, so it is what is broadcast.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = own.join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
     schema = T._parse_datatype_string("toxic int, part int, lang string, words binary")
     got = rows.select("text", "toxic", "part", "lang").mapInArrow(_featurise, schema).collect()
     got.sort(key=lambda r: (r.words, r.toxic))
     texts = [np.frombuffer(r.words, np.int32).reshape(3, -1) for r in got]
-    toxic = np.array([r.toxic for r in got], np.int64)
-    part, lang = np.array([r.part for r in got], np.int64), np.array([r.lang or "" for r in got], object)
-    learn = np.flatnonzero(part != 0)
-    if len(set(toxic[learn].tolist())) < 2:
+    toxic, part = np.array([r.toxic for r in got], np.int64), np.array([r.part for r in got], np.int64)
+    if len(set(toxic.tolist())) < 2:
         model = _start(np.random.default_rng(7))
         model.output[:] = 0
         model.threshold = NEVER
         return model
-    model = train([texts[k] for k in learn], toxic[learn])
     # Training weighs both labels alike; move the odds to those of all labels.
     share = min(max(share, 1e-4), 1 - 1e-4)
-    model.intercept += float(np.log(share / (1 - share)))
-    held = np.flatnonzero(part == 0)
-    if len(held) and toxic[held].any():
-        pooled = np.concatenate([model.pooled(texts[k], np.array([texts[k].shape[1]])) for k in held])
-        score = 1 / (1 + np.exp(-(pooled.astype(np.float64) @ model.output + model.intercept)))
-        model.threshold = best_threshold(score, toxic[held])
-        for name in sorted(set(lang[held])):
-            own = lang[held] == name
-            if toxic[held][own].sum() >= LEAST_CALIBRATION:
-                model.thresholds[name] = best_threshold(score[own], toxic[held][own])
+    odds = float(np.log(share / (1 - share)))
+    model = train(texts, toxic)
+    model.intercept += odds
+    counts: dict[str | None, np.ndarray] = {}
+    for fold in range(FOLDS):
+        rest, held = np.flatnonzero(part != fold), np.flatnonzero(part == fold)
+        judge = model
+        # Rows too few for folds are scored by the model itself.
+        if len(held) and len(set(toxic[rest].tolist())) == 2:
+            judge = train([texts[k] for k in rest], toxic[rest], max(1, STEPS * len(rest) // len(texts)))
+            judge.intercept += odds
+        for k in held:
+            logit = judge.pooled(texts[k], np.array([texts[k].shape[1]])).astype(np.float64) @ judge.output + judge.intercept
+            at = _bins(1 / (1 + np.exp(-np.clip(logit, -500, 500))))[0]
+            counts.setdefault(got[k].lang, np.zeros((2 * MOST * BINS, 2)))[at, toxic[k]] += 1
+    if n_toxic > max_positive or n_known - n_toxic > max_negative:
+        # Texts are scored where they are; only ids, languages and bins are shuffled.
+        others = known.join(F.broadcast(sample.select("__id")), "__id", "left_anti").select("__id", "toxic")
+        binned = score(own, model, keep=["doc_id", "lang"]).select("doc_id", "lang", _bin(F.col(SCORE)).alias("bin"))
+        for r in binned.join(others, F.col("doc_id") == F.col("__id")).groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n")).collect():
+            counts.setdefault(r.lang, np.zeros((2 * MOST * BINS, 2)))[r.bin, r.toxic] += r.n
+    calibrate(model, counts)
     return model
 
 
@@ -274,10 +330,10 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[st
 
 def threshold(model: Model, lang_col: str = "lang") -> Column:
     """The calibrated threshold of each row's language."""
-    out = F.lit(model.threshold)
-    for name, cut in model.thresholds.items():
-        out = F.when(F.col(lang_col) == name, F.lit(cut)).otherwise(out)
-    return out
+    if not model.thresholds:
+        return F.lit(model.threshold)
+    cuts = F.create_map(*(F.lit(x) for cut in model.thresholds.items() for x in cut))
+    return F.coalesce(F.try_element_at(cuts, F.col(lang_col).cast("string")), F.lit(model.threshold))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **columns: str) -> DataFrame:

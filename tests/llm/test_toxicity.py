@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import toxicity
 
@@ -56,3 +57,35 @@ def test_edges(spark):
 def test_best_threshold():
     score, toxic = np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])
     assert toxicity.best_threshold(score, toxic) == pytest.approx(0.5)
+
+
+def test_thresholds_count_all_labelled_rows_at_their_mix(spark, monkeypatch):
+    """A sample of few clean rows does not hide the clean rows of equal scores."""
+    rows = [(k, "bad idiot words here" if k % 10 == 0 else "bad idiot words" if k % 10 == 1 else "fine words here", "en" if k % 3 else None) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k, *_ in rows], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "calibrate", lambda model, counts: seen.update(counts))
+    toxicity.fit(docs, labels, max_positive=20, max_negative=10)
+    known = [(lang, int(k % 10 == 0)) for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    got = {(lang, t): int(seen[lang][:, t].sum()) for lang in seen for t in (0, 1)}
+    assert got == {(lang, t): known.count((lang, t)) for lang in ("en", None) for t in (0, 1)}
+
+
+def test_small_languages_lean_on_all():
+    shape = (2 * toxicity.MOST * toxicity.BINS, 2)
+    common, small, large = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+    low, high = toxicity._bins(np.array([0.2, 0.7]))
+    common[high, 1], common[low, 0] = 500, 4000
+    for counts, n in ((small, 1), (large, 900)):
+        counts[low, 1], counts[low - 9, 0] = n, 9 * n
+    model = toxicity.Model(*[None] * 6)
+    toxicity.calibrate(model, {"en": common, "fr": small, "de": large, None: np.zeros(shape)})
+    assert set(model.thresholds) == {"en", "fr", "de"}
+    assert model.thresholds["de"] < 0.2 < model.thresholds["fr"] < 0.7 and 0.2 < model.thresholds["en"] < 0.7
+
+
+def test_bins_agree(spark):
+    score = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.77, 1 - 1e-9, 1.0]
+    df = spark.createDataFrame([(x,) for x in score], "s double").coalesce(1)
+    assert [r.b for r in df.select(toxicity._bin(F.col("s")).alias("b")).collect()] == toxicity._bins(np.array(score)).tolist()
