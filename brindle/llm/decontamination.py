@@ -19,8 +19,15 @@ SPAN = 11
 #: Words compared around a seed, and the percentage of them that must be equal.
 WINDOW = 15
 IDENTITY = 80
-#: Most benchmark seeds that are broadcast (24 bytes each); above it, they are shuffled.
+#: Words before a seed's place that a window can reach.
+LEAD = WINDOW - SPAN
+#: Most benchmark seeds that are broadcast, and their bytes; above either, they are shuffled.
 MAX_BROADCAST_SEEDS = 2_000_000
+MAX_BROADCAST_BYTES = 128 << 20
+#: Bytes of a seed's row beside its item's id.
+SEED_BYTES = 8 * (WINDOW + 12)
+#: Tasks over which a seed's windows are dealt where they are shuffled.
+SALTS = 8
 
 
 def hashed_words(text: Column) -> Column:
@@ -40,6 +47,20 @@ def _seeds(df: DataFrame) -> DataFrame:
     return at.select("*", F.explode(F.array(*masks)).alias("seed"))
 
 
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """(item_id, seed, lead, theirs): of each seed only the words to compare, and
+    how many of them lie before its place."""
+    n = F.least(F.lit(WINDOW), F.size("th"))
+    first = F.greatest(F.lit(0), F.least(F.col("pos") - LEAD // 2, F.size("th") - n))
+    return _seeds(items).select("item_id", "seed", (F.col("pos") - first).alias("lead"), F.slice("th", first + 1, n).alias("theirs"))
+
+
+def _near(hit: DataFrame) -> DataFrame:
+    """The words of ``th`` that a window around ``pos`` can reach, and the place in them."""
+    first = F.greatest(F.lit(0), F.col("pos") - LEAD)
+    return hit.select("doc_id", "seed", F.slice("th", first + 1, LEAD + WINDOW).alias("th"), (F.col("pos") - first).alias("pos"))
+
+
 def _windows(hit: DataFrame) -> DataFrame:
     """Of each seed only the words to compare: ``own`` and ``theirs``, aligned.
 
@@ -47,13 +68,11 @@ def _windows(hit: DataFrame) -> DataFrame:
     document never leave it with a hit, and that code stays small enough for the
     JVM to compile.
     """
-    n = F.least(F.lit(WINDOW), F.size("item_th"))
-    first = F.greatest(F.lit(0), F.least(F.col("item_pos") - (WINDOW - SPAN) // 2, F.size("item_th") - n))
+    n = F.size("theirs")
     # Words of the window that would lie before the document's first one.
-    before = F.greatest(F.lit(0), F.col("item_pos") - F.col("pos") - first)
-    start = first + before
-    own = F.slice("th", F.col("pos") - F.col("item_pos") + start + 1, n - before)
-    return hit.select("doc_id", "item_id", n.alias("window"), own.alias("own"), F.slice("item_th", start + 1, n - before).alias("theirs"))
+    before = F.greatest(F.lit(0), F.col("lead") - F.col("pos"))
+    own = F.slice("th", F.col("pos") - F.col("lead") + before + 1, n - before)
+    return hit.select("doc_id", "item_id", n.alias("window"), own.alias("own"), F.slice("theirs", before + 1, n - before).alias("theirs"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -63,15 +82,24 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     seed. Documents or items of fewer than ``SPAN`` words, and null or empty
     texts, have no windows and match nothing. Rows of one id (null included)
     count as one document. Documents are not shuffled unless the benchmark has
-    more than ``MAX_BROADCAST_SEEDS`` seeds, which is counted first; repeated
-    seeds, passages or documents only add rows to a partial aggregation.
+    more than ``MAX_BROADCAST_SEEDS`` seeds or ``MAX_BROADCAST_BYTES`` of them,
+    which is counted first; repeated seeds, passages or documents only add rows
+    to a partial aggregation. What is shuffled beyond that is a row of at most
+    ``LEAD + WINDOW`` words for each window and mask, whatever the text's length.
     """
     items = benchmark.select(F.col(item_col).alias("item_id"), hashed_words(F.col(item_text_col)).alias("item_th")).where(F.size("item_th") >= SPAN).distinct()
-    seeds = _seeds(items.withColumnRenamed("item_th", "th")).select("item_id", F.col("pos").alias("item_pos"), "seed", F.col("th").alias("item_th"))
-    n = items.agg(F.sum((F.size("item_th") - SPAN + 1).cast("long") * len(MASKS))).first()[0] or 0
-    small = n <= MAX_BROADCAST_SEEDS
+    seeds = _item_seeds(items.withColumnRenamed("item_th", "th"))
+    own_seeds = (F.size("item_th") - SPAN + 1).cast("long") * len(MASKS)
+    id_bytes = F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0))
+    n, n_bytes = items.agg(F.sum(own_seeds), F.sum(own_seeds * (id_bytes + SEED_BYTES))).first()
     own = docs.select(F.col(id_col).alias("doc_id"), hashed_words(F.col(text_col)).alias("th"))
-    hit = _seeds(own).join(F.broadcast(seeds) if small else seeds, "seed")
+    if (n or 0) <= MAX_BROADCAST_SEEDS and (n_bytes or 0) <= MAX_BROADCAST_BYTES:
+        hit = _seeds(own).join(F.broadcast(seeds), "seed")
+    else:
+        # A passage of very many documents is dealt over SALTS tasks.
+        dealt = _near(_seeds(own)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        hit = dealt.join(salted.hint("merge"), ["seed", "salt"])
     both = F.sequence(F.lit(0), F.least(F.size("own"), F.size("theirs")) - 1)
     equal = F.size(F.filter(both, lambda k: F.get("own", k) == F.get("theirs", k)))
     compared = _windows(hit).select("doc_id", "item_id", (100.0 * equal / F.col("window")).alias("identity"))

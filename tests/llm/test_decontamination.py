@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from brindle.llm import decontamination
 from brindle.llm.decontamination import IDENTITY, MASKS, SPAN, WINDOW, contaminated, overlaps, remove_contaminated
 
 
@@ -56,3 +59,24 @@ def test_edges(spark):
     assert left.columns == d.columns
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
     assert contaminated(d.limit(0), b).count() == 0 and contaminated(d, b.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", ["MAX_BROADCAST_SEEDS", "MAX_BROADCAST_BYTES"])
+def test_shuffled_seeds_match_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, limit, 0)
+    test_matches_brute_force(spark)
+    test_edges(spark)
+
+
+def test_seed_rows_do_not_grow_with_texts(spark, monkeypatch):
+    """A long item and a long document with the item's last words, by both ways."""
+    words = [f"w{k}" for k in range(3000)]
+    d = spark.createDataFrame([(1, " ".join(words[-14:] + ["x"] * 3000)), (2, " ".join(["y"] * 3000 + words[:15]))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    items = b.select("item_id", decontamination.hashed_words("text").alias("th"))
+    docs = d.select("doc_id", decontamination.hashed_words("text").alias("th"))
+    assert max(len(r.theirs) for r in decontamination._item_seeds(items).collect()) == WINDOW
+    assert max(len(r.th) for r in decontamination._near(decontamination._seeds(docs)).collect()) <= WINDOW + SPAN
+    broadcast = sorted(overlaps(d, b).collect())
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_SEEDS", 0)
+    assert sorted(overlaps(d, b).collect()) == broadcast and {r.doc_id for r in broadcast} == {1, 2}
