@@ -1,6 +1,11 @@
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
-from brindle.llm.html_text import extract, main_text
+from brindle.llm import html_text
+from brindle.llm.html_text import WINDOW, extract, main_text, stretches
 
 LONG = "This sentence is one of those that make up the text of an article. "
 PAGE = f"""<!DOCTYPE html><html><head><title>Not this</title><style>p{{x}}</style></head><body>
@@ -40,3 +45,110 @@ def test_table(spark):
     got = [(r.page_id, r.text) for r in out.collect()]
     assert got.count((1, main_text(PAGE))) == 2 and (None, "") in got and (2, ("word " * 60000).strip()) in got
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><div class='layout with-sidebar'><article><p>{LONG}</p><p>End.</p></article></div></body>",
+        f"<body><div id='page' class='has-header'><div class=content><p>{LONG}</p><p>End.</p></div></div></body>",
+        f"<body><div class='search-result-page'><p>{LONG}</p><p>End.</p></div></body>",
+        f"<body><form id=aspnet><div><p>{LONG}</p><p>End.</p></div></form></body>",
+        f"<body><nav><a href=/>Home</a><article><p>{LONG}</p><p>End.</p></article></body>",
+    ],
+)
+def test_marks_on_wrappers(page):
+    assert main_text(page) == f"{LONG}End."
+
+
+def test_lists_and_sections_of_an_article():
+    items = "".join(f"<li>{LONG}</li>" for _ in range(9))
+    page = f"<body><div id=menu><a href=/>x</a></div><div id=content><p>Intro.</p><ul>{items}</ul><p>End.</p></div><div class=cookie-bar>{LONG * 3}</div><div>tiny</div></body>"
+    assert main_text(page) == f"Intro. {LONG * 9}End."
+    parts = f"<div class=part><p>{LONG}</p></div><div class=ad>Buy</div>" * 4
+    assert main_text(f"<body><div class=post><h2>Head</h2>{parts}</div><div class=side><p>Other</p></div></body>") == f"Head {LONG * 4}".strip()
+
+
+def brute_stretches(weights, share):
+    """Line by line: a line is kept if a full enough window has weight on both sides of it or at it."""
+    n = len(weights)
+    windows = []
+    for k in range(n):
+        own = []
+        for j in range(k, min(k + WINDOW, n)):
+            if weights[j] is None:
+                break
+            own.append(j)
+        windows.append(own)
+    sums = [sum(weights[j] for j in own) for own in windows]
+    least = max(1, share * max(sums, default=0))
+    out, k = [], 0
+    while k < n:
+        if weights[k] is None or sums[k] < least:
+            k += 1
+            continue
+        lines = set()
+        while k < n and weights[k] is not None and sums[k] >= least:
+            lines |= set(windows[k])
+            k += 1
+        weighty = [j for j in lines if weights[j]]
+        out.append((min(weighty), max(weighty) + 1))
+        k = max(k, out[-1][1])
+    return out
+
+
+def test_stretches_match_brute_force():
+    rng = random.Random(5)
+    for _ in range(3000):
+        weights = [rng.choice((None, 0, 0, 0, 1, 5, 80, 300)) for _ in range(rng.randrange(0, 25))]
+        for share in (0, 0.3):
+            assert stretches(weights, share) == brute_stretches(weights, share), (weights, share)
+
+
+class Article(HTMLParser):
+    """The text of the article element of the pages of the tables."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("p", "br", "h1"):
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1] += data
+
+
+def pages(spark):
+    return [(r.page_id, r.html) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+
+
+def test_pages_of_the_table(spark):
+    for key, page in pages(spark):
+        parser = Article()
+        parser.feed(page)
+        assert main_text(page) == " ".join(" ".join(b.split()) for b in parser.blocks if b.split()), key
+
+
+@pytest.mark.parametrize("other", [lambda w, share: [(0, len(w))], lambda w, share: [(k := max(range(len(w)), key=lambda i: w[i] or 0), k + 1)], lambda w, share: []])
+def test_the_distribution_decides(spark, monkeypatch, other):
+    own = {key: main_text(page) for key, page in pages(spark)}
+    monkeypatch.setattr(html_text, "stretches", other)
+    assert all(main_text(page) != own[key] for key, page in pages(spark))
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<div>", "<head>", "<a title=\"x ", "<a \">\" ", "<p class=ad>x", "<", "<span class=ad>x", "<div><p>t</div>", "</p></div>", "<!--", "<!a ", "<script>", "<div class='a-b'>x", "&amp"],
+)
+def test_hostile_pages_take_linear_time(unit):
+    page = unit * (1_000_000 // len(unit)) + "text"
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 8
