@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +28,15 @@ def words(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it.
 
-    Where neither ``spark.checkpoint.dir`` nor an earlier call set one (tests
-    on one machine), a temporary folder is set and removed at exit.
+    Where neither ``spark.checkpoint.dir`` nor an earlier call set one, a session
+    on one machine (tests) gets a temporary folder, removed at exit. On a cluster
+    that is an error: a folder of the driver's machine is not shared.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="brindle-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
@@ -40,6 +44,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the session's JVM ends: what a
+    result is read from must outlive the call that wrote it."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run ``df`` now and cut its lineage through the shared checkpoint folder."""
     shared_folder(df.sparkSession)

@@ -5,10 +5,12 @@ repeated as often as its target needs. The stream is cut into blocks of equal
 numbers of words. A golden-ratio sequence is mapped through the cumulative target
 shares to one source per slot, so every stretch of the schedule holds the sources
 in about their shares; the k-th slot of a source is joined with the k-th block
-of its stream.
+of its stream. What a document gives to the mix, how often, and where in the mix
+its copies stand, all come from that join.
 
 Sums over a source's documents are made in two steps (hash ranges, then
-documents of one range), so a source with a third of all rows is spread out.
+documents of one range), so a source with a third of all rows is spread out;
+so are the sums over sources.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, hex60, words
+from brindle.llm.common import cut, words
 
 #: Words of a block.
 BLOCK = 1024
@@ -26,12 +28,16 @@ BLOCK = 1024
 WEIGHTS = (3, 1, 2)
 #: Words of the mix as a share of all words, and the most uses of a source.
 SHARE, MOST = 1.5, 2
-#: Hash ranges of a source; cells of the unit interval for the slot join.
-RANGES, CELLS = 4096, 4096
-#: Consecutive slots that are ranked together.
+#: Documents of a source, on average, whose places are summed together.
+TOGETHER = 1 << 16
+#: Cells of the unit interval for the slot join.
+CELLS = 4096
+#: Consecutive slots that are ranked together, and sources that are summed together.
 STRETCH = 1 << 16
 #: Most sources that are broadcast.
 MAX_BROADCAST_SOURCES = 100_000
+#: Rounds of resharing; each bounds one source more at least.
+MAX_ROUNDS = 1000
 #: floor(2**32 / golden ratio), odd.
 _STEP = 2654435769
 
@@ -43,77 +49,108 @@ def golden(i: Column) -> Column:
     return F.pmod(low * F.lit(_STEP) + top, F.lit(1 << 32))
 
 
+def _before(df: DataFrame, value: Column, part: str, order: Sequence[str | Column], name: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sum of ``value`` over all earlier rows (of ``by``).
+
+    Rows are in the order of ``part``, then ``order``: sums of whole parts
+    first, then sums inside one part.
+    """
+    sums = df.groupBy(*by, part).agg(F.sum(value).alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(*by, part, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    inside = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return summed.join(base, [*by, part]).withColumn(name, (F.col("__base") + F.col("__inside")).cast("long")).drop("__base", "__inside")
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(source, k, source_size, target): one row a source, null last.
+    """(source, k, source_size, n_rows, target): one row a source, null last.
 
     Each source gets its weight's part of ``share`` times all words, at most
-    ``most`` times its own; the excess goes to the others by weight. That is one
-    level for all sources below their bound, found by sums in order of bound
-    over weight. One row a source passes through one task.
+    ``most`` times its own; the excess goes to the others by weight, round by
+    round, until none is above its bound. A round is one aggregate over the sources.
     """
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    one = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = by_source.withColumn("k", F.row_number().over(one) - 1).withColumn("w", F.get(F.array(*(F.lit(float(x)) for x in weights)), F.col("k") % len(weights)))
-    ratio = most * F.col("source_size") / F.col("w")
-    order = Window.orderBy("ratio", "k")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    level = ranked.withColumn("ratio", ratio).withColumns(
-        {
-            "left": share * F.sum("source_size").over(whole) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)),
-            "w_left": F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-            "place": F.row_number().over(order),
-        }
-    )
-    level = level.withColumn("level", F.col("left") / F.col("w_left"))
-    # The first source, by bound over weight, that stays below its bound sets the level.
-    first = F.min_by(F.when(F.col("level") <= F.col("ratio"), F.col("level")), F.when(F.col("level") <= F.col("ratio"), F.col("place"))).over(whole)
+    by_source = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
+    # Ranges of sources, numbered in order; cut, so that the ranges stay as they are.
+    ranged = cut(by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    ranked = _before(ranged, F.lit(1), "part", [F.col("source").asc_nulls_last()], "k").drop("part")
+    ranked = cut(ranked.withColumn("w", F.get(F.array(*(F.lit(float(x)) for x in weights)), (F.col("k") % len(weights)).cast("int"))))
+    ratio, level, bounded = most * F.col("source_size") / F.col("w"), None, 0
+    for _ in range(MAX_ROUNDS):
+        free = F.lit(True) if level is None else ratio >= level
+        total, n_bounded, size, w = ranked.agg(F.sum("source_size"), F.count_if(~free), F.sum(F.when(~free, F.col("source_size"))), F.sum(F.when(free, F.col("w")))).first()
+        if level is not None and n_bounded == bounded:
+            break
+        bounded, level = n_bounded, (share * (total or 0) - most * (size or 0)) / w if w else None
+        if level is None:
+            break
+    else:
+        raise RuntimeError(f"sources are still above their bounds after {MAX_ROUNDS} rounds")
     bound = most * F.col("source_size").cast("double")
-    return level.withColumn("shared", first).select("source", "k", "source_size", F.coalesce(F.least(bound, F.col("w") * F.col("shared")), bound).alias("target"))
+    target = bound if level is None else F.least(bound, F.col("w") * F.lit(float(level)))
+    return ranked.select("source", "k", "source_size", "n_rows", target.alias("target"))
+
+
+def takes() -> Column:
+    """A source's target in whole words."""
+    return F.round("target").cast("long")
 
 
 def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     """(k, rank, slot): the slot of the rank-th block of each source.
 
-    Slots past what a source needs are passed over; where the sequence gives a
-    source too few (it is off by a few slots at most), they follow at the end.
+    ``sources``: (k, target), materialised. Slots past what a source needs are
+    passed over; where the sequence gives a source too few (it is off by a few
+    slots at most), they follow at the end, by rank. Each block has one slot.
     """
     spark = sources.sparkSession
-    need = sources.select("k", "target", F.ceil(F.round("target") / block).alias("need"))
-    total = need.agg(F.sum("need").alias("n"), F.sum("target").alias("t")).first()
-    n, share = int(total["n"] or 0), float(total["t"] or 0) or 1.0
-    high = F.sum("target").over(Window.orderBy("k")) / share * float(1 << 32)
-    spans = need.withColumn("high", F.ceil(high)).withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("k")), F.lit(0))).where("high > low")
+    need = sources.select("k", takes().alias("takes"), F.ceil(takes() / F.lit(block)).alias("need")).withColumn("part", F.floor(F.col("k") / STRETCH))
+    count, n, total = need.agg(F.count("*"), F.sum("need"), F.sum("takes")).first()
+    n, total = int(n or 0), int(total or 0) or 1
+    # Whole numbers: the place of a share's end times the words of all, over 2**32.
+    at = lambda words: F.expr(f"cast(cast({words} as decimal(20,0)) * 4294967296 div {total} as long)")
+    spans = _before(need, F.col("takes"), "part", ["k"], "before").withColumn("upto", F.col("before") + F.col("takes"))
+    spans = spans.select("k", "need", at("before").alias("low"), at("upto").alias("high")).where("high > low")
     width = (1 << 32) // CELLS
     cells = spans.select("*", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor((F.col("high") - 1) / width))).alias("cell"))
+    cells = F.broadcast(cells) if count <= MAX_BROADCAST_SOURCES else cells
     points = spark.range(n).select(F.col("id").alias("slot"), golden(F.col("id")).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
     mapped = points.join(cells, "cell").where("u >= low and u < high").select("slot", "k", "need", F.floor(F.col("slot") / STRETCH).alias("stretch"))
-    counts = mapped.groupBy("k", "stretch").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("k").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("k", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("k", "stretch").orderBy("slot")
-    ranked = mapped.withColumn("inside", F.row_number().over(inside) - 1).join(starts, ["k", "stretch"]).select("k", (F.col("base") + F.col("inside")).alias("rank"), "slot", "need")
-    got = counts.groupBy("k").agg(F.sum("n").alias("got"))
+    ranked = _before(mapped, F.lit(1), "stretch", ["slot"], "rank", by=["k"]).where("rank < need").select("k", "rank", "slot")
+    got = mapped.groupBy("k").agg(F.count("*").alias("got"))
     short = need.join(got, "k", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
-    late = short.select("k", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-    late = late.select("k", "rank", (F.lit(n) + F.col("rank")).alias("slot"))
-    return ranked.where("rank < need").select("k", "rank", "slot").unionByName(late)
-
-
-def _streams(df: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """``df`` (doc_id, source, size) with its source's row and ``at``, its place
-    in the source's shuffled stream."""
-    known = sources if sources.count() > MAX_BROADCAST_SOURCES else F.broadcast(sources)
-    known = known.withColumnRenamed("source", "__source")
-    keyed = df.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    keyed = keyed.withColumn("h", hex60(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string"))))
-    keyed = keyed.withColumn("range", F.floor(F.col("h") / ((1 << 60) // RANGES)))
-    sums = keyed.groupBy("k", "range").agg(F.sum("size").alias("n"))
-    earlier = Window.partitionBy("k").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("k", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("k", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["k", "range"])
-    return placed.withColumn("at", F.col("base") + F.col("inside")).drop("range", "h", "base", "inside")
+    late = short.select("k", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank")).withColumn("part", F.floor(F.col("rank") / 64))
+    late = _before(late, F.lit(1), "part", ["rank", "k"], "late").select("k", "rank", (F.lit(n) + F.col("late")).alias("slot"))
+    return ranked.unionByName(late)
+
+
+def _key(id_col: str, text_col: str, seed: int) -> Column:
+    """What a row is known and shuffled by; equal for equal ids and texts."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).cast("binary"))
+
+
+def _starts(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, sources): each row of ``docs`` with its key, size, source's row, and
+    ``starts``, its places in the source's repeated stream that the target reaches."""
+    sized = docs.select(
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+        F.size(words(F.col(f"`{text_col}`").cast("string"))).cast("long").alias("size"), _key(id_col, text_col, seed).alias("key"),
+    )
+    sized = cut(sized)
+    sources = cut(targets(sized, weights, share, most))
+    n_sources, largest = sources.agg(F.count("*"), F.max("n_rows")).first()
+    known = sources.withColumnRenamed("source", "__source").drop("n_rows")
+    known = F.broadcast(known) if n_sources <= MAX_BROADCAST_SOURCES else known
+    keyed = sized.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    # More ranges for more rows; the order, by key, does not depend on how many.
+    digits = 3
+    while 16**digits * TOGETHER < (largest or 0):
+        digits += 1
+    placed = _before(keyed.withColumn("range", F.substring("key", 1, digits)), F.col("size"), "range", ["key", "doc_id", "size"], "at", by=["k"])
+    turns = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("at") + e * F.col("source_size"))
+    reached = F.filter(turns, lambda start: start < F.col("takes"))
+    placed = placed.withColumn("takes", takes()).select("doc_id", "key", "k", "size", "source_size", "target", "takes", reached.alias("starts"))
+    return cut(placed.withColumn("row", F.monotonically_increasing_id())), sources
 
 
 def mix(
@@ -135,29 +172,43 @@ def mix(
     ``first_slot`` the earliest slot that holds a part of it (null: none). A
     null text has no words. A null source is a source of its own. A document
     without words is taken as 0 and has a copy where its place in the stream is
-    taken. Rows of one id keep their own rows. Reruns agree: the order is by
-    hash of ``seed`` and id.
+    taken. Rows of one id keep their own rows. A very long text lies in many blocks,
+    a row each. Reruns agree: the order is by hash of ``seed``, id and text. An
+    empty table gives an empty result.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")))
-    sources = cut(targets(sized, weights, share, most))
-    placed = cut(_streams(sized, sources, seed).withColumn("row", F.monotonically_increasing_id()))
-    takes = F.round("target").cast("long")
-    turns = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.col("at") + e * F.col("source_size"))
-    # A document's place in each repetition of the stream that the target reaches.
-    copies = placed.select("row", "k", "size", takes.alias("takes"), F.explode(F.filter(turns, lambda start: start < takes)).alias("start"))
-    parts = copies.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.least(F.col("start") + F.col("size"), F.col("takes")) - 1) / block))).alias("rank"))
+    placed, sources = _starts(docs, id_col, text_col, source_col, weights, share, most, seed)
+    turns = placed.select("row", "k", "size", "takes", F.explode("starts").alias("start"))
+    end = F.least(F.col("start") + F.col("size"), F.col("takes"))
+    # A document without words lies in the block of its place.
+    last = F.floor((F.greatest(end, F.col("start") + 1) - 1) / block)
+    parts = turns.withColumn("end", end).select("*", F.explode(F.sequence(F.floor(F.col("start") / block), last)).alias("rank"))
     joined = parts.join(schedule(sources, block), ["k", "rank"])
-    overlap = F.least(F.col("start") + F.col("size"), F.col("takes"), (F.col("rank") + 1) * block) - F.greatest(F.col("start"), F.col("rank") * block)
-    taken = joined.groupBy("row").agg(F.sum(overlap).alias("taken"), F.min("slot").alias("first_slot"))
-    n_copies = F.size(F.filter(turns, lambda start: start < takes)).cast("long")
-    return placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), n_copies.alias("copies"), "first_slot")
+    overlap = F.least("end", (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)
+    given = joined.groupBy("row").agg(
+        F.sum(overlap).alias("taken"),
+        F.count_if(F.floor(F.col("start") / block) == F.col("rank")).alias("copies"),
+        F.min("slot").alias("first_slot"),
+    )
+    none = F.lit(0).cast("long")
+    return placed.join(given, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), F.coalesce("copies", none).alias("copies"), "first_slot")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix has copies of it.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", in_order: bool = True, block: int = BLOCK, seed: int = 1, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """``docs`` with every row as often as scheduled blocks hold its start, its
+    columns unchanged.
 
-    Rows of one id, null included, share the largest number of copies.
+    ``in_order``: the rows come in the order of their slots, places within a
+    slot in that of the stream; this shuffles the texts once more. Rows of one
+    id and text share the largest number of copies. Null texts and sources,
+    long texts and empty tables are as for :func:`mix`.
     """
-    copies = mix(docs, id_col, **options).groupBy(F.col("doc_id").alias("__brindle_id")).agg(F.max("copies").cast("int").alias("__brindle_copies")).where("__brindle_copies > 0")
-    both = docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col("__brindle_id")))
-    return both.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("__brindle_copies"))).alias("__brindle_copy")).drop("__brindle_copy")
+    placed, sources = _starts(docs, id_col, text_col, source_col, weights, share, most, seed)
+    turns = placed.select("row", "key", "k", F.explode("starts").alias("start")).withColumn("rank", F.floor(F.col("start") / block))
+    slotted = turns.join(schedule(sources, block), ["k", "rank"])
+    by_row = slotted.groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("slot", "start"))).alias("at"))
+    by_key = by_row.groupBy("key").agg(F.max(F.struct(F.size("at").alias("n"), "at"))["at"].alias("__brindle_at")).withColumnRenamed("key", "__brindle_key")
+    both = docs.join(by_key, _key(id_col, text_col, seed) == F.col("__brindle_key"))
+    out = both.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode("__brindle_at").alias("__brindle_at"))
+    if in_order:
+        out = out.repartitionByRange("__brindle_at").sortWithinPartitions("__brindle_at")
+    return out.drop("__brindle_at")

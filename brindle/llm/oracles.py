@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from brindle.llm.decontamination import IDENTITY, MASKS, SPAN, WINDOW
 from brindle.llm.line_templates import DEPTH, FIXED, LEAST_WORDS, MIN_DOCS
-from brindle.llm.mixing import MOST, SHARE, WEIGHTS
+from brindle.llm.mixing import BLOCK, MOST, SHARE, WEIGHTS
 from brindle.llm.quality import RULES, STOP_WORDS
 from brindle.llm.secrets import BASE, LEAST_CHARACTERS, MAX_OWNERS, MAX_REPOS
 from brindle.llm.sharding import TABLE_SIZE, fill_table
@@ -84,24 +84,32 @@ def op4() -> str:
 
 
 def op5() -> str:
-    """Targets by the level of all sources below their bound; words taken by
-    where a document lies in its source's repeated stream."""
+    """Targets by the level of all sources below their bound; slots from whole
+    numbers; words taken, copies and first slots from the blocks of the slots."""
     weights = f"[{', '.join(f'{w}.0::DOUBLE' for w in WEIGHTS)}]"
-    return rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+    return rf"""WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, md5(concat_ws(':', '1', doc_id, text)) AS key, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
  s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
- r AS (SELECT *, {weights}[(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS w FROM s),
- q AS (SELECT *, {MOST} * source_size / w AS ratio FROM r),
+ r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS k FROM s),
+ q AS (SELECT *, w, {MOST} * source_size / w AS ratio FROM (SELECT *, {weights}[k % {len(WEIGHTS)} + 1] AS w FROM r)),
  v AS (SELECT a.source, ({SHARE} * (SELECT sum(source_size) FROM q) - {MOST} * coalesce(sum(b.source_size), 0)) / (any_value(t.w) - coalesce(sum(b.w), 0)) AS level, any_value(a.ratio) AS ratio
   FROM q a CROSS JOIN (SELECT sum(w) AS w FROM q) t LEFT JOIN q b ON b.ratio < a.ratio GROUP BY a.source),
  x AS (SELECT min(ratio) AS first_ratio FROM v WHERE level <= ratio),
  l AS (SELECT any_value(level) AS level FROM v, x WHERE v.ratio = first_ratio),
- g AS (SELECT source, source_size, coalesce(least({MOST} * source_size::DOUBLE, w * level), {MOST} * source_size::DOUBLE) AS target FROM q LEFT JOIN l ON true),
- p AS (SELECT d.*, g.source_size, g.target, round(g.target)::BIGINT AS takes,
-  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY ('0x' || left(md5('1:' || doc_id), 15))::BIGINT, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
- SELECT doc_id, size, source_size, target,
- (greatest(0, least(place + size, takes) - place) + greatest(0, least(place + source_size + size, takes) - place - source_size))::BIGINT AS taken,
- (CASE WHEN place < takes THEN 1 ELSE 0 END + CASE WHEN place + source_size < takes THEN 1 ELSE 0 END)::BIGINT AS copies FROM p"""
+ g AS (SELECT source, k, source_size, coalesce(least({MOST} * source_size::DOUBLE, w * level), {MOST} * source_size::DOUBLE) AS target FROM q LEFT JOIN l ON true),
+ h AS (SELECT *, round(target)::BIGINT AS takes, (round(target)::BIGINT + {BLOCK - 1}) // {BLOCK} AS need FROM g),
+ i AS (SELECT *, (sum(takes) OVER (ORDER BY k))::HUGEINT AS upto, (sum(takes) OVER ())::HUGEINT AS total FROM h),
+ z AS (SELECT k, need, ((upto - takes) * 4294967296) // greatest(total, 1) AS low, (upto * 4294967296) // greatest(total, 1) AS high FROM i),
+ u AS (SELECT slot, (slot * 2654435769) % 4294967296 AS u FROM (SELECT unnest(range(0, (SELECT coalesce(sum(need), 0)::BIGINT FROM h))) AS slot)),
+ m AS (SELECT slot, k, need, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM u JOIN z ON u >= low AND u < high),
+ o AS (SELECT h.k, need, coalesce(got, 0) AS got FROM h LEFT JOIN (SELECT k, count(*) AS got FROM m GROUP BY k) USING (k)),
+ t AS (SELECT k, unnest(range(got, need)) AS rank FROM o WHERE got < need),
+ w AS (SELECT k, rank, slot FROM m WHERE rank < need UNION ALL SELECT k, rank, (SELECT sum(need) FROM h)::BIGINT + row_number() OVER (ORDER BY rank, k) - 1 FROM t),
+ p AS (SELECT d.*, h.k, h.source_size, h.target, h.takes, coalesce(sum(size) OVER (PARTITION BY h.k ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
+  FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source),
+ c AS (SELECT row, k, size, takes, unnest([{", ".join(f"place + {e} * source_size" for e in range(MOST))}]) AS start FROM p),
+ b AS (SELECT *, least(start + size, takes) AS stop, unnest(range(start // {BLOCK}, (greatest(least(start + size, takes), start + 1) - 1) // {BLOCK} + 1)) AS rank FROM c WHERE start < takes),
+ e AS (SELECT row, sum(least(stop, (rank + 1) * {BLOCK}) - greatest(start, rank * {BLOCK}))::BIGINT AS taken, count(*) FILTER (start // {BLOCK} = rank) AS copies, min(slot) AS first_slot FROM b JOIN w USING (k, rank) GROUP BY row)
+ SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(copies, 0) AS copies, first_slot FROM p LEFT JOIN e USING (row)"""
 
 
 def op7() -> str:

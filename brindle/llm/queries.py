@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import decontamination, html_text, line_templates, minhash, mixing, oracles, quality, secrets, sharding, token_store, toxicity
-from brindle.llm.common import read, shared_folder
+from brindle.llm.common import read, scratch_folder
 
 #: Production parameters of the placement query.
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
@@ -25,7 +23,7 @@ def tokenizer_path() -> str:
 
 
 def op1_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "tokens")
     token_store.write_tokens(read(spark, sf_dir, "documents"), folder, tokenizer_path(), end_id=END_ID)
     return token_store.read_tokens(spark, folder)
 
@@ -46,7 +44,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("first_slot")
+    return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,57 @@ def test_edges(spark):
     assert mix(df.limit(0)).count() == 0
     empty = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.taken, r.target) for r in mix(empty).collect()] == [(0, 0, 0.0)] * 2
+
+
+def brute_slots(target, block):
+    """The slots of each source's blocks by plain whole numbers; ``target``: words by k."""
+    takes = {k: round(t) for k, t in target.items()}
+    need = {k: -(-n // block) for k, n in takes.items()}
+    total, upto, spans = sum(takes.values()) or 1, 0, []
+    for k in sorted(takes):
+        spans.append((upto * 2**32 // total, (upto + takes[k]) * 2**32 // total, k))
+        upto += takes[k]
+    slots = {k: [] for k in takes}
+    for slot in range(sum(need.values())):
+        u = slot * 2654435769 % 2**32
+        k = next(k for low, high, k in spans if low <= u < high)
+        if len(slots[k]) < need[k]:
+            slots[k].append(slot)
+    late = sorted((rank, k) for k in takes for rank in range(len(slots[k]), need[k]))
+    for n, (_, k) in enumerate(late):
+        slots[k].append(sum(need.values()) + n)
+    return slots
+
+
+def test_schedule_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STRETCH", 3)
+    target = {k: t for k, t in enumerate((9000.4, 77.0, 3000.0, 12.5, 0.0, 640.0, 641.0))}
+    sources = spark.createDataFrame(list(target.items()), "k long, target double")
+    got = {k: {} for k in target}
+    for r in schedule(sources, 64).collect():
+        got[r.k][r["rank"]] = r.slot
+    assert {k: [own[n] for n in range(len(own))] for k, own in got.items()} == brute_slots(target, 64)
+
+
+def test_the_schedule_decides_the_order(spark, monkeypatch):
+    df = rows(spark)
+    key = lambda got: sorted((str(r.doc_id), r.size, r.taken, r.copies) for r in got)
+    own = mix(df, block=64).collect()
+    order = [r.doc_id for r in mixed(df, block=64).collect()]
+    monkeypatch.setattr(mixing, "_STEP", 1181783497)
+    other = mix(df, block=64).collect()
+    assert key(own) == key(other) and sorted(map(str, own)) != sorted(map(str, other))
+    assert order != [r.doc_id for r in mixed(df, block=64).collect()]
+
+
+def test_mixed_follows_the_slots(spark):
+    df = rows(spark, 100).where("doc_id < 1000")
+    first = {r.doc_id: r.first_slot for r in mix(df, block=64).collect() if r.copies}
+    slots = [first[k] for k in dict.fromkeys(r.doc_id for r in mixed(df, block=64).collect())]
+    # A document's first slot may hold its end, one stream before; starts come in order.
+    assert sum(a <= b for a, b in zip(slots, slots[1:])) > 0.9 * (len(slots) - 1)
+
+
+def test_the_schedule_is_in_the_plan(spark):
+    for made in (mix, mixed):
+        assert "Range (" in made(rows(spark))._jdf.queryExecution().optimizedPlan().toString()
