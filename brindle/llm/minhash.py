@@ -27,6 +27,7 @@ Nothing is capped: both ways are exact for every pair that shares a bucket.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,26 +96,25 @@ def _planes(least: np.ndarray) -> list[int]:
     return out
 
 
-def _sign(size: int):
+def _sign(size: int, n_bands: int, n_rows: int):
     """Arrow batches of (doc_id, text) -> signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = constants(BANDS * ROWS, 3)
+        seeds = constants(max(n_bands * n_rows, PACKED), 3)
         low, high = seeds.astype(np.uint32) | np.uint32(1), (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-        band = constants(ROWS, 4)
-        salt = constants(BANDS, 5)
-        fold = constants(2, 6)
+        band = constants(n_rows, 4)
+        salt = constants(n_bands, 5)
         for batch in batches:
             count, keys, bands, bits = [], [], [], []
             with np.errstate(over="ignore"):
                 for own in _sets(batch.column(1), size):
                     count.append(len(own))
-                    # Two sums of mixed hashes: equal for equal sets, whatever their order.
-                    key = np.array([mix(own * f).sum(dtype=np.uint64) for f in fold], np.uint64)
-                    keys.append(key.tobytes() + len(own).to_bytes(8, "little"))
+                    # A strong digest of the sorted set: equal for equal sets only.
+                    keys.append(hashlib.blake2b(own.astype("<u8").tobytes(), digest_size=16).digest())
                     if len(own):
                         least = _minima(own, low, high)
-                        bands.append(mix((least.astype(np.uint64).reshape(BANDS, ROWS) * band).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
+                        banded = least[: n_bands * n_rows].astype(np.uint64).reshape(n_bands, n_rows)
+                        bands.append(mix((banded * band).sum(axis=1, dtype=np.uint64) + salt).view(np.int64))
                         bits.append(_planes(least))
                     else:
                         bands.append(np.zeros(0, np.int64))
@@ -127,14 +127,14 @@ def _sign(size: int):
     return run
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, key, bands, bits) of each row.
 
-    ``key`` is equal for equal sets. A text without words, or null, has an
+    ``key``, a digest, is equal for equal sets. A text without words, or null, has an
     empty set, no bands and no bits.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(_sign(size), T._parse_datatype_string(_SCHEMA))
+    return own.mapInArrow(_sign(size, n_bands, n_rows), T._parse_datatype_string(_SCHEMA))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -281,7 +281,7 @@ def links(signed: DataFrame, docs: DataFrame, size: int = 2, percent: int = 80)
     return reps, classes
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts are linked if 100 * |intersection| >= ``percent`` * |union| of their
@@ -290,10 +290,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks it. A null text or one without words links with nothing. A row
     with a null id links with nothing, has no component and is kept. Rows of one
     id are one document: equal rows share a component, and if their texts differ
-    the links of both count for the one that represents its class.
+    the links of both count for the one that represents its class. ``n_bands``
+    bands of ``n_rows`` minima choose the candidates. Texts of any length are read
+    whole; an empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(signatures(own, size=size))
+    signed = cut(signatures(own, size=size, n_bands=n_bands, n_rows=n_rows))
     reps, classes = links(signed, own, size, percent)
     top = reps.join(classes, F.col("rep") == F.col("id"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(top, "key", "left")
@@ -301,12 +303,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, **options: int) -> DataFrame:
     """``docs`` with one document of each component, its columns unchanged.
 
     Rows of the kept id stay, all of them if it is repeated, and so do rows
     with a null id. Only the ids to drop are shuffled or broadcast to the texts.
     """
-    found = near_duplicates(docs, id_col, text_col, size, percent)
+    found = near_duplicates(docs, id_col, text_col, size, percent, **options)
     gone = found.where("not kept").select(F.col("doc_id").alias("__brindle_gone")).distinct()
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__brindle_gone"), "left_anti")

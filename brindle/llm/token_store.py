@@ -38,6 +38,8 @@ BLOCK = 1 << 16
 #: Pieces whose ids a task remembers before it starts anew.
 REMEMBERED = 1 << 19
 LEVEL = 3
+#: Bytes of the longest piece that is remembered; a multiple of 8.
+LONGEST = 64
 #: Bytes of text cut into pieces together.
 TOGETHER = 1 << 19
 
@@ -60,6 +62,23 @@ def _byte_kinds() -> np.ndarray:
     return kinds
 
 
+def _words_at(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place of ``raw`` on, as one number; it ends in 8 more bytes."""
+    return np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+
+
+def _same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether two pieces of equal size, up to ``LONGEST``, are equal byte by byte, 8 at a time."""
+    same = np.ones(len(size), bool)
+    for offset in range(0, LONGEST, 8):
+        own = np.flatnonzero(size > offset)
+        if not len(own):
+            break
+        unused = (8 * np.maximum(0, 8 - (size[own] - offset))).astype(np.uint64)
+        same[own] &= (a[a_at[own] + offset] ^ b[b_at[own] + offset]) << unused == 0
+    return same
+
+
 class PieceCache:
     """Ids of texts, piece by piece.
 
@@ -69,8 +88,10 @@ class PieceCache:
     and the letters of Latin-1 are cut here; any other word (other characters,
     an apostrophe, a special token) is one piece that the tokenizer cuts itself.
     Each different piece is encoded once, letters many at a time as one text that
-    is cut at its end-of-word tokens. After ``REMEMBERED`` pieces all are forgotten.
-    A Python worker keeps its cache from task to task.
+    is cut at its end-of-word tokens. Pieces are found by hash and their bytes are
+    compared; one of more than ``LONGEST`` bytes, or that shares its hash with
+    another, is encoded wherever it occurs. After ``REMEMBERED`` pieces all are
+    forgotten. A Python worker keeps its cache from task to task.
     """
 
     _kept: dict[str, PieceCache] = {}
@@ -100,6 +121,8 @@ class PieceCache:
         #: Sorted hashes of the pieces, and where each one's ids are in ``flat``.
         self.hashes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        #: The bytes of each piece one after another, 8 more at the end, and where they start.
+        self.bytes, self.at = np.zeros(8, np.uint8), np.zeros(1, np.int64)
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """The row of each piece; -1: not known."""
@@ -118,12 +141,17 @@ class PieceCache:
             out += np.split(ids, cuts[:-1]) if len(cuts) == len(part) else self._ids(part)
         return out
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str], letters: np.ndarray) -> None:
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes], letters: np.ndarray) -> None:
         own = [np.flatnonzero(letters), np.flatnonzero(~letters)]
-        got = self._letters([pieces[k] for k in own[0]]) + self._ids([pieces[k] for k in own[1]])
+        order = np.concatenate(own).tolist()
+        texts = [pieces[k].decode() for k in order]
+        got = self._letters(texts[: len(own[0])]) + self._ids(texts[len(own[0]) :])
         known = len(self.first) - 1
         self.flat = np.concatenate([self.flat, *got])
         self.first = np.append(self.first, self.first[-1] + np.cumsum([len(x) for x in got], dtype=np.int64))
+        new = b"".join(pieces[k] for k in order) + bytes(8)
+        self.bytes = np.concatenate([self.bytes[:-8], np.frombuffer(new, np.uint8)])
+        self.at = np.append(self.at, self.at[-1] + np.cumsum([len(pieces[k]) for k in order], dtype=np.int64))
         both = np.concatenate([self.hashes, hashes[np.concatenate(own)]])
         rows = np.concatenate([self.rows, np.arange(known, known + len(got), dtype=np.int32)])
         order = np.argsort(both, kind="stable")
@@ -163,22 +191,45 @@ class PieceCache:
                 sums, down = span_sums(low)
                 hashes = span_hash(sums, down, starts, ends)
             del sums
-            inverse, unique = pd.factorize(hashes)
+            padded = np.append(low, np.zeros(8, np.uint8))
+            data, view, size = low.tobytes(), _words_at(padded), ends - starts
+            short = np.flatnonzero(size <= LONGEST)
+            inverse, unique = pd.factorize(hashes[short])
             where = np.empty(len(unique), np.int64)
-            where[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+            where[inverse[::-1]] = short[::-1]
+            # Each piece is compared with the first one of its hash, and that with the one known.
+            first = where[inverse]
+            same = size[first] == size[short]
+            same[same] = _same_bytes(view, starts[short[same]], view, starts[first[same]], size[short[same]])
             rows = self._find(unique)
             new = np.flatnonzero(rows < 0)
+            old = np.flatnonzero(rows >= 0)
             if len(new):
-                data = low.tobytes()
                 place = where[new]
-                pieces = [data[a:b].decode() for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
+                pieces = [data[a:b] for a, b in zip(starts[place].tolist(), ends[place].tolist(), strict=True)]
                 self._learn(unique[new], pieces, (kinds[starts[place]] == _LETTER) & ~odd[word[place]])
                 rows = self._find(unique)
-            row = rows[inverse]
+            known = np.ones(len(unique), bool)
+            known[old] = self.at[rows[old] + 1] - self.at[rows[old]] == size[where[old]]
+            old = old[known[old]]
+            known[old] = _same_bytes(_words_at(self.bytes), self.at[rows[old]], view, starts[where[old]], size[where[old]])
+            row = np.full(len(starts), -1, np.int64)
+            row[short] = np.where(same & known[inverse], rows[inverse], -1)
+            alone = np.flatnonzero(row < 0)
+            got = self._ids([data[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist(), strict=True)]) if len(alone) else []
             sizes = self.first[row + 1] - self.first[row]
+            sizes[alone] = [len(x) for x in got]
             total = np.append(0, np.cumsum(sizes))
-            ids = self.flat[np.repeat(self.first[row] - total[:-1], sizes) + np.arange(total[-1])]
-            yield ids, np.diff(total[np.append(np.searchsorted(starts, text_starts), len(starts))])
+            source = np.repeat(self.first[row] - total[:-1], sizes) + np.arange(total[-1])
+            if len(alone):
+                # Their ids follow the remembered ones for this part alone.
+                flat = np.concatenate([self.flat, *got])
+                at = len(self.flat) + np.append(0, np.cumsum(sizes[alone]))
+                for k, piece in enumerate(alone.tolist()):
+                    source[total[piece] : total[piece + 1]] = np.arange(at[k], at[k + 1])
+            else:
+                flat = self.flat
+            yield flat[source], np.diff(total[np.append(np.searchsorted(starts, text_starts), len(starts))])
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -246,10 +297,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     A null text counts as an empty one; every document ends with ``end_id``.
     Null ids come first; rows of one id follow each other, by text. An empty
     table makes a store without blocks. Texts are shuffled once, into ranges of
-    ids; a task holds one block and one batch of rows.
+    ids and, where many rows have one id, of the texts' first characters; a task
+    holds one block and one batch of rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = own.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = own.repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     blocks = ordered.mapInArrow(_write_task(tokenizer, end_id, bits), T._parse_datatype_string(_BLOCKS))
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
     written = docs.sparkSession.read.schema(_BLOCKS).parquet(f"{folder}/blocks")

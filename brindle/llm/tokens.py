@@ -2,11 +2,14 @@
 
 The bytes of many short texts are hashed together: a running sum of
 ``table[byte] * BASE**place`` gives the polynomial hash of any span as a
-difference of two sums, so no Python object is made for a word.
+difference of two sums, so no Python object is made for a word. Long texts can
+be built whose polynomial hashes are equal whatever the base, so words of more
+than ``LONGEST`` bytes, which are rare, get a BLAKE2 digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,6 +18,8 @@ import pyarrow as pa
 
 #: Bytes of text hashed together; a longer text is hashed alone.
 CHUNK = 1 << 18
+#: Bytes of a word that is hashed with the others.
+LONGEST = 32
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -124,6 +129,8 @@ def hashed_words(column: pa.Array, word_bytes: np.ndarray = NOT_SPACE, prefix: i
         with np.errstate(over="ignore"):
             sums, down = span_sums(text)
             hashes = span_hash(sums, down, starts, ends)
+            for k in np.flatnonzero(ends - starts > LONGEST).tolist():
+                hashes[k] = int.from_bytes(hashlib.blake2b(text[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
             prefixes = span_hash(sums, down, starts, np.minimum(starts + prefix, ends)) if prefix else None
         counts = np.diff(np.append(np.searchsorted(starts, text_starts), len(starts)))
         yield Words(first, counts, hashes, prefixes)

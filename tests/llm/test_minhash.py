@@ -108,3 +108,21 @@ def test_components(spark):
             root[y] = x
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def thue_morse(n):
+    """Two different words of ``n`` letters with equal polynomial hashes modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_polynomial_hashes_are_not_linked(spark):
+    rows = [(k, f"{word} one two") for k, word in enumerate([*thue_morse(1024), *thue_morse(4096), *thue_morse(64)])]
+    check(spark, rows)
+    check(spark, [(k, t.split()[0]) for k, t in rows])
+
+
+def test_other_bands(spark):
+    rows = corpus(5, families=4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_bands=40, n_rows=4).collect()}
+    assert got == brute(rows)

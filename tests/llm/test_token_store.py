@@ -98,3 +98,31 @@ def test_planes_and_checksums():
             assert token_store.from_planes(token_store.to_planes(ids, bits), n).tolist() == ids.tolist()
     a, b = rng.bytes(1000), rng.bytes(77)
     assert token_store.crc32_join(zlib.crc32(a), zlib.crc32(b), 77) == zlib.crc32(a + b)
+
+
+def thue_morse(n):
+    """Two different words of ``n`` letters with equal polynomial hashes modulo 2**64."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_hashes_keep_their_own_ids():
+    cache = token_store.PieceCache(tokenizer_path())
+    texts = [*thue_morse(1024), *thue_morse(4096), *thue_morse(64), "c " + thue_morse(1024)[1]]
+    for _ in range(2):
+        assert pieces(cache, texts) == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_are_compared_and_not_only_hashed(monkeypatch):
+    """With one hash for all pieces, and with one for those of one size."""
+    for hashed in (lambda starts, ends: np.zeros(len(starts), np.uint64), lambda starts, ends: (ends - starts).astype(np.uint64)):
+        monkeypatch.setattr(token_store, "span_hash", lambda sums, down, starts, ends: hashed(starts, ends))
+        cache = token_store.PieceCache(tokenizer_path())
+        texts = ["some words of texts", "other longer wordings with extraordinarily longish words", "some words again 12 3", "", "extraordinarylike"]
+        for _ in range(2):
+            assert pieces(cache, texts) == [cache.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    rows = [(None, f"{chr(97 + k % 26)} text {k}") for k in range(200)] + [(7, "same")] * 20
+    assert stored(spark, tmp_path, rows) == brute(rows)
