@@ -7,12 +7,10 @@ stages but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import decontamination, minhash, mixing, token_store, toxicity
-from brindle.llm.common import read, shared_folder
+from brindle.llm.common import read, scratch_folder
 from brindle.llm.queries import END_ID, tokenizer_path
 
 #: Words of a shingle and the similarity in percent of the near-duplicate stage.
@@ -49,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32), read back from the token files."""
-    folder = f"{shared_folder(spark)}/pipeline-tokens-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline-tokens")
     token_store.write_tokens(docs, folder, tokenizer_path(), end_id=END_ID)
     return token_store.read_tokens(spark, folder)
 
@@ -69,7 +67,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over ``documents``, each written and reread."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
