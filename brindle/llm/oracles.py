@@ -65,15 +65,15 @@ def op4() -> str:
         # Runs of one class are listed only if they are long: the others are dropped anyway.
         scanned = pattern if name in ("assign", "access") else pattern[:-1] + f"{{{least},}}"
         parts.append(
-            f"""SELECT doc_id, source, {k} AS kind, '{name}' AS name, m[i] AS match, v[i] AS value,
+            f"""SELECT doc_id, source, repo, {k} AS kind, '{name}' AS name, m[i] AS match, v[i] AS value,
  list_sum(list_transform(g[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
- FROM (SELECT doc_id, source, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, regexp_extract_all(text, '{scanned}') AS m,
+ FROM (SELECT doc_id, source, repo, m, v, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, source, md5(text) AS repo, regexp_extract_all(text, '{scanned}') AS m,
  regexp_extract_all(text, '{scanned}', {group}) AS v, string_split_regex(text, '{scanned}') AS g FROM documents WHERE text IS NOT NULL))
  WHERE length(v[i]) >= {least}"""
             + (" AND regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[a-z]') AND regexp_matches(v[i], '[A-Z]')" if name == "owned" else "")
         )
     return f"""WITH s AS ({" UNION ALL ".join(parts)}),
- o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT coalesce(doc_id::VARCHAR, chr(0))) AS repos FROM s GROUP BY value),
+ o AS (SELECT value, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT repo) AS repos FROM s GROUP BY value),
  j AS (SELECT s.*, name || ':' || s || ':' || (s + length(match)) AS span, owners <= {MAX_OWNERS} AND repos <= {MAX_REPOS} AND len(list_distinct(string_split(value, ''))) >= {LEAST_CHARACTERS} AS live,
   owners > {MAX_OWNERS} OR repos > {MAX_REPOS} AS example FROM s JOIN o USING (value)),
  d AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,

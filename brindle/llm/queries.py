@@ -38,7 +38,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.secrets(read(spark, sf_dir, "documents"))
+    """A text is a repository, however many copies it has; a source is an owner."""
+    docs = read(spark, sf_dir, "documents").withColumn("repo", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    out = secrets.secrets(docs, repo_col="repo")
     digest = F.sha2(F.col("base_spans").cast("binary"), 256)
     return out.select("doc_id", "n_assign", "n_access", "n_hex", digest.alias("base_sha256"), "spans", "n_live", "n_example")
 

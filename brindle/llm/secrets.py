@@ -44,6 +44,8 @@ MAX_OWNERS = 2
 MAX_REPOS = 16
 #: A live-looking value has this many different characters at least.
 LEAST_CHARACTERS = 8
+#: Matches whose places are summed together.
+TOGETHER = 128
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -58,17 +60,29 @@ def _matches(kind: Kind) -> dict[str, Column]:
 
 
 def _spans(kind: Kind) -> Column:
-    """Places of the matches in code points: running sums over gaps and matches."""
+    """Places of the matches in code points: running sums over gaps and matches.
+
+    Appending to an array copies it, so sums run over ``TOGETHER`` matches, and
+    then over those parts.
+    """
     m, g, v = (F.col(f"__{x}_{kind.name}") for x in "mgv")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    n, empty = F.size(m), F.array().cast("array<int>")
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.get(g, i))
-        end = start + F.length(F.get(m, i))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), F.get(v, i).alias("value"))).alias("out"))
+        return F.struct((start + F.length(F.get(m, i))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
+
+    def part(acc: Column, p: Column) -> Column:
+        places = F.sequence(p * TOGETHER, F.least(n, (p + 1) * TOGETHER) - 1)
+        own = F.aggregate(places, F.struct(F.lit(0).alias("at"), empty.alias("starts")), step)
+        # One place for the sums of a part, which are used twice.
+        return F.transform(F.array(own), lambda x: F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["parts"], F.transform(x["starts"], lambda s: s + acc["at"])).alias("parts")))[0]
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), zero, step)["out"]
-    return F.when(F.size(m) > 0, F.filter(found, lambda s: F.length(s["value"]) >= kind.least)).otherwise(F.array().cast(_SPAN))
+    last = F.floor((n - 1) / TOGETHER).cast("int")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("parts"))
+    starts = F.flatten(F.aggregate(F.sequence(F.lit(0), last), zero, part)["parts"])
+    found = F.transform(starts, lambda s, i: F.struct(s.alias("start"), (s + F.length(F.get(m, i))).alias("end"), F.get(v, i).alias("value")))
+    return F.when(n > 0, F.filter(found, lambda s: F.length(s["value"]) >= kind.least)).otherwise(F.array().cast(_SPAN))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source") -> DataFrame:
@@ -129,8 +143,10 @@ def secrets(
     ``n_assign``, ``n_access``, ``n_hex``: base spans by kind; ``n_live``: spans
     whose value is owner-specific and live-looking; ``n_example``: spans whose
     value is widely copied; ``base_spans`` and ``spans``: ``kind:start:end`` by
-    start, comma-joined ('' for none). The texts are read once and are not
-    shuffled; only the spans are.
+    start, comma-joined ('' for none). A null text counts as an empty one, a null
+    owner or repository as one of its own; an empty table gives an empty result.
+    Texts of any length are searched whole, in time close to linear. They are read
+    once and are not shuffled; only the spans are.
     """
     scanned = cut(scan(df, id_col, text_col, repo_col, owner_col).withColumn("row", F.monotonically_increasing_id()))
     live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos) & (F.col("s.characters") >= LEAST_CHARACTERS)

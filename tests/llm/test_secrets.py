@@ -1,4 +1,5 @@
 import re
+import time
 
 from brindle.llm.secrets import secrets
 
@@ -58,3 +59,14 @@ def test_ownership_separates_examples_from_live_values(spark):
 
 def test_empty_table(spark):
     assert rows(spark, []) == []
+
+
+def test_very_many_matches_in_one_text(spark):
+    n = 100_000
+    text = "password: abcdefgh1 " * n
+    df = spark.createDataFrame([(1, text, "a"), (2, "é" * 300 + "token=abcdefgh9 " * 300, "b")], "doc_id long, text string, source string")
+    start = time.monotonic()
+    got = {r.doc_id: r for r in secrets(df).collect()}
+    assert time.monotonic() - start < 60
+    assert got[1].n_assign == n and got[1].base_spans == ",".join(f"assign:{20 * k}:{20 * k + 19}" for k in range(n))
+    assert got[2].base_spans == ",".join(f"assign:{300 + 16 * k}:{315 + 16 * k}" for k in range(300))
