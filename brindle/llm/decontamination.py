@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import cut
+
 #: Places that each mask looks at, in a window of SPAN words.
 MASKS = ((0, 1, 2, 4, 7, 9, 10), (0, 1, 3, 4, 6, 8, 9), (0, 2, 3, 5, 7, 8, 10))
 SPAN = 11
@@ -26,6 +28,8 @@ MAX_BROADCAST_SEEDS = 2_000_000
 MAX_BROADCAST_BYTES = 128 << 20
 #: Bytes of a seed's row beside its item's id.
 SEED_BYTES = 8 * (WINDOW + 12)
+#: Most contaminated documents whose ids are broadcast.
+MAX_BROADCAST_IDS = 1_000_000
 #: Tasks over which a seed's windows are dealt where they are shuffled.
 SALTS = 8
 
@@ -48,11 +52,16 @@ def _seeds(df: DataFrame) -> DataFrame:
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
-    """(item_id, seed, lead, theirs): of each seed only the words to compare, and
-    how many of them lie before its place."""
+    """(item_id, seed, lead, theirs, times): of each seed only the words to compare,
+    how many of them lie before its place, and how often the item has it.
+
+    A text that repeats itself has few different seeds, so a document that does
+    so too meets each of its places with those few, not with every place.
+    """
     n = F.least(F.lit(WINDOW), F.size("th"))
     first = F.greatest(F.lit(0), F.least(F.col("pos") - LEAD // 2, F.size("th") - n))
-    return _seeds(items).select("item_id", "seed", (F.col("pos") - first).alias("lead"), F.slice("th", first + 1, n).alias("theirs"))
+    found = _seeds(items).select("item_id", "seed", (F.col("pos") - first).alias("lead"), F.slice("th", first + 1, n).alias("theirs"))
+    return found.groupBy("item_id", "seed", "lead", "theirs").agg(F.count("*").alias("times"))
 
 
 def _near(hit: DataFrame) -> DataFrame:
@@ -72,7 +81,7 @@ def _windows(hit: DataFrame) -> DataFrame:
     # Words of the window that would lie before the document's first one.
     before = F.greatest(F.lit(0), F.col("lead") - F.col("pos"))
     own = F.slice("th", F.col("pos") - F.col("lead") + before + 1, n - before)
-    return hit.select("doc_id", "item_id", n.alias("window"), own.alias("own"), F.slice("theirs", before + 1, n - before).alias("theirs"))
+    return hit.select("doc_id", "item_id", "times", n.alias("window"), own.alias("own"), F.slice("theirs", before + 1, n - before).alias("theirs"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -102,9 +111,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         hit = dealt.join(salted.hint("merge"), ["seed", "salt"])
     both = F.sequence(F.lit(0), F.least(F.size("own"), F.size("theirs")) - 1)
     equal = F.size(F.filter(both, lambda k: F.get("own", k) == F.get("theirs", k)))
-    compared = _windows(hit).select("doc_id", "item_id", (100.0 * equal / F.col("window")).alias("identity"))
+    compared = _windows(hit).select("doc_id", "item_id", "times", (100.0 * equal / F.col("window")).alias("identity"))
     # Filtered after the aggregation, so that the comparison stays out of the join.
-    best = compared.groupBy("doc_id", "item_id").agg(F.count_if(F.col("identity") >= IDENTITY).alias("n_seeds"), F.max("identity").alias("identity"))
+    best = compared.groupBy("doc_id", "item_id").agg(F.coalesce(F.sum(F.when(F.col("identity") >= IDENTITY, F.col("times"))), F.lit(0)).cast("long").alias("n_seeds"), F.max("identity").alias("identity"))
     return best.where("n_seeds > 0")
 
 
@@ -124,6 +133,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataF
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns: str) -> DataFrame:
-    """``docs`` without the contaminated documents, its columns unchanged."""
-    bad = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **columns).select(F.col("doc_id").alias("__brindle_bad"))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("__brindle_bad")), "left_anti")
+    """``docs`` without the contaminated documents, its columns unchanged.
+
+    Rows of one id are one document and go together; a row without an id is
+    known by its text, so only such rows that hold a passage go. Null, empty and
+    short texts stay, and an empty benchmark removes nothing. The ids to remove are
+    broadcast if a count shows that they are few; then no text is shuffled.
+    """
+    key = F.coalesce(F.concat(F.lit("id:"), F.col(f"`{id_col}`").cast("string")), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"))))
+    own = docs.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    bad = cut(overlaps(own, benchmark, id_col="key", text_col="text", **columns).select(F.col("doc_id").alias("__brindle_bad")).distinct())
+    return docs.join(F.broadcast(bad) if bad.count() <= MAX_BROADCAST_IDS else bad, key == F.col("__brindle_bad"), "left_anti")
