@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.common import cut
 from brindle.llm.tokens import LETTERS, hashed_words
 
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 17, 15, 5
@@ -30,6 +31,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 6
 #: Most labelled rows that training takes, by label.
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
+#: Most bytes of their hashed words (12 a word) that training takes, by label.
+MAX_BYTES = 96 << 20
 #: Batches that a model learns.
 STEPS = 825
 #: Rows with this remainder of crc32(doc_id as text) modulo 4 are never learnt from.
@@ -250,19 +253,23 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(counts)
             for k, (end, n) in enumerate(zip(ends, counts, strict=True)):
                 words[first + k] = part[:, end - n : end].tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(words, pa.binary())], ["toxic", "part", "lang", "words"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(words, pa.binary())], ["toxic", "part", "lang", "__id", "words"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES) -> Model:
     """Train on up to ``max_positive + max_negative`` labelled rows.
 
     The rows are those of least hash among the labelled ids that are not held
-    out, so the sample is the same at every run. The thresholds by language
+    out, so the sample is the same at every run; of each label they take up to
+    ``max_bytes`` of hashed words, and one whole text at least. An id counts once:
+    toxic if one of its labels is, with the least of its texts. The thresholds by language
     come from all labelled rows that are not held out: sampled rows are scored
     by models that did not learn from them, the others by the model itself, in
-    Spark. The language is not a feature. Rows with a null label are left out.
-    Without labelled rows every score is 0.5.
+    Spark. The language is not a feature. Rows with a null label or id are left
+    out; null and empty texts count as texts without words. Without labelled rows
+    of both labels, as in empty tables, every score is 0.5 and nothing is rejected.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("__id").isNotNull() & ~held_out("__id"))
     known = known.groupBy("__id").agg(F.max("toxic").alias("toxic")).withColumn("__rank", F.xxhash64("__id"))
     picked = [known.where(F.col("toxic") == k).orderBy("__rank", "__id").limit(n) for k, n in ((1, max_positive), (0, max_negative))]
@@ -270,10 +277,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = n_toxic / n_known if n_toxic else 0.1
     sample = picked[0].unionByName(picked[1]).select("__id", "toxic", F.pmod("__rank", F.lit(FOLDS)).cast("int").alias("part"))
     # The sample is bounded, so it is what is broadcast.
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang"))
     rows = own.join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    schema = T._parse_datatype_string("toxic int, part int, lang string, words binary")
-    got = rows.select("text", "toxic", "part", "lang").mapInArrow(_featurise, schema).collect()
+    rows = rows.groupBy("__id", "toxic", "part").agg(F.min(F.struct("text", "lang")).alias("row")).select("row.text", "toxic", "part", "row.lang", "__id")
+    schema = T.StructType([T.StructField("toxic", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("__id", rows.schema["__id"].dataType), T.StructField("words", T.BinaryType())])
+    featured = cut(rows.mapInArrow(_featurise, schema))
+    fitting, taken = [], {0: 0, 1: 0}
+    for r in featured.select("__id", "toxic", F.octet_length("words").alias("n")).orderBy(F.xxhash64("__id"), "__id").collect():
+        if not taken[r.toxic] or taken[r.toxic] + r.n <= max_bytes:
+            taken[r.toxic] += r.n
+            fitting.append(r["__id"])
+    chosen = spark.createDataFrame([(k,) for k in fitting], T.StructType([T.StructField("__id", rows.schema["__id"].dataType)]))
+    got = featured.join(F.broadcast(chosen), "__id", "left_semi").collect()
     got.sort(key=lambda r: (r.words, r.toxic))
     texts = [np.frombuffer(r.words, np.int32).reshape(3, -1) for r in got]
     toxic, part = np.array([r.toxic for r in got], np.int64), np.array([r.part for r in got], np.int64)
@@ -299,9 +314,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             logit = judge.pooled(texts[k], np.array([texts[k].shape[1]])).astype(np.float64) @ judge.output + judge.intercept
             at = _bins(1 / (1 + np.exp(-np.clip(logit, -500, 500))))[0]
             counts.setdefault(got[k].lang, np.zeros((2 * MOST * BINS, 2)))[at, toxic[k]] += 1
-    if n_toxic > max_positive or n_known - n_toxic > max_negative:
+    if n_known > len(got):
         # Texts are scored where they are; only ids, languages and bins are shuffled.
-        others = known.join(F.broadcast(sample.select("__id")), "__id", "left_anti").select("__id", "toxic")
+        others = known.join(F.broadcast(chosen), "__id", "left_anti").select("__id", "toxic")
         binned = score(own, model, keep=["doc_id", "lang"]).select("doc_id", "lang", _bin(F.col(SCORE)).alias("bin"))
         for r in binned.join(others, F.col("doc_id") == F.col("__id")).groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n")).collect():
             counts.setdefault(r.lang, np.zeros((2 * MOST * BINS, 2)))[r.bin, r.toxic] += r.n
@@ -309,13 +324,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
-    """``keep`` (all columns of ``df``, unless given) with ``toxicity_score``,
-    which replaces a column of that name.
+def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[str] | None = None, score_col: str = SCORE) -> DataFrame:
+    """``keep`` (all columns of ``df``, unless given) with ``score_col``, which
+    replaces a column of that name.
 
-    A null or empty text has no words; its score is that of the intercept.
+    A null or empty text has no words; its score is that of the intercept. Texts
+    of any length are read whole, piece by piece.
     """
-    kept = [c for c in (df.columns if keep is None else keep) if c != SCORE]
+    kept = [c for c in (df.columns if keep is None else keep) if c != score_col]
     read = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__brindle_text"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -323,9 +339,9 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[st
         own = shared.value
         for batch in batches:
             found = own.scores(batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, SCORE])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, score_col])
 
-    return read.mapInArrow(run, T.StructType([*read.schema.fields[:-1], T.StructField(SCORE, T.DoubleType())]))
+    return read.mapInArrow(run, T.StructType([*read.schema.fields[:-1], T.StructField(score_col, T.DoubleType())]))
 
 
 def threshold(model: Model, lang_col: str = "lang") -> Column:
@@ -337,6 +353,13 @@ def threshold(model: Model, lang_col: str = "lang") -> Column:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", lang_col: str = "lang", **columns: str) -> DataFrame:
-    """``docs`` without the rows whose score reaches their language's threshold."""
+    """``docs`` without the rows whose score reaches their language's threshold.
+
+    Its columns are unchanged, whatever their names. Every row is judged by its
+    own text, so rows of one text and language stay or go together, those with a
+    null id too; null and empty texts stay unless the intercept alone reaches the
+    threshold. An empty table stays empty, and without labels every row stays.
+    """
     model = fit(docs, labels, text_col=text_col, lang_col=lang_col, **columns)
-    return score(docs, model, text_col).where(F.col(SCORE) < threshold(model, lang_col)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    name = "__brindle_score"
+    return score(docs, model, text_col, score_col=name).where(F.col(name) < threshold(model, lang_col)).select(*(F.col(f"`{c}`") for c in docs.columns))

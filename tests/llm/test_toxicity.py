@@ -89,3 +89,44 @@ def test_bins_agree(spark):
     score = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.77, 1 - 1e-9, 1.0]
     df = spark.createDataFrame([(x,) for x in score], "s double").coalesce(1)
     assert [r.b for r in df.select(toxicity._bin(F.col("s")).alias("b")).collect()] == toxicity._bins(np.array(score)).tolist()
+
+
+def test_scores_match_plain_loops(scored, spark):
+    """Every window of every filter, word by word."""
+    model, _ = scored
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()] + ["", "one", "one two"]
+    for text in texts:
+        words = [toxicity.features(pa.array([text], pa.string()))]
+        words = next(iter(words[0]), (0, None, np.zeros((3, 0), int)))[2]
+        x = [model.word_1[a] + model.word_2[b] + model.prefix[c] for a, b, c in words.T]
+        logit = model.intercept
+        for i, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                best = max((sum(float(x[at + k] @ model.filters[i][k, :, f]) for k in range(width) if at + k < len(x)) for at in range(len(x))), default=0.0)
+                j = i * toxicity.FILTERS + f
+                logit += max(0.0, best + model.bias[j] if len(x) else 0.0) * model.output[j]
+        assert model.scores(pa.array([text], pa.string()))[0] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
+
+
+def test_rejecting_keeps_columns_of_any_name(spark):
+    rows = [(k, "bad idiot words" if k % 3 == 0 else "fine words here", "en", k / 7, str(k)) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxicity_score double, `toxic` string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(90)], "doc_id long, toxic int")
+    left = toxicity.reject_toxic(docs, labels)
+    assert left.dtypes == docs.dtypes
+    assert sorted(map(tuple, left.collect())) == [r for r in rows if r[0] % 3]
+    assert toxicity.reject_toxic(docs.limit(0), labels).count() == 0
+    assert toxicity.reject_toxic(docs, labels.limit(0)).count() == 90
+
+
+def test_the_sample_is_bounded_in_rows_of_an_id_and_bytes(spark, monkeypatch):
+    rows = [(k % 50, f"{'bad idiot' if k % 5 == 0 else 'fine'} words {k // 50}", "en") for k in range(500)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(50)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, *a, **k: seen.append(texts) or toxicity._start(np.random.default_rng(1)))
+    toxicity.fit(docs, labels)
+    assert len(seen[0]) == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(50))
+    seen.clear()
+    toxicity.fit(docs, labels, max_bytes=100)
+    for own in seen[:1]:
+        assert sum(t.nbytes for t in own) <= 200
