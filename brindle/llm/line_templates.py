@@ -21,14 +21,16 @@ from brindle.llm.common import SPACE_CHARS, cut, words
 
 #: Leading words that lead to a leaf.
 DEPTH = 3
-#: Different texts that a leaf, a word at its place, and a template must be in.
+#: Different texts that a leaf and a template must be in, and lines of a leaf (copies
+#: of one text counted once) that a word at its place must be in.
 MIN_DOCS = 8
 #: Share of a template's words that must be fixed.
 FIXED = 0.6
 #: Most keys of 8 bytes that are broadcast.
 MAX_BROADCAST_KEYS = 1_000_000
 FIELD = "<*>"
-#: Shorter lines are no templates: common words alone would make them recur.
+#: Shorter lines are no templates unless the caller says so: common words alone
+#: would make them recur.
 LEAST_WORDS = 4
 
 
@@ -36,10 +38,10 @@ def _masked(word: Column) -> Column:
     return F.when(word.rlike(r"\d"), F.lit(FIELD)).otherwise(word)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, leaf, words): each line of ``LEAST_WORDS`` words or more."""
+def _lines(docs: DataFrame, least_words: int) -> DataFrame:
+    """(doc, line, leaf, words): each line of ``least_words`` words or more."""
     split = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.trim("raw", F.lit(SPACE_CHARS)) != "")
-    found = split.select("doc", "line", words(F.col("raw")).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    found = split.select("doc", "line", words(F.col("raw")).alias("words")).where(F.size("words") >= least_words)
     lead = (F.coalesce(_masked(F.get("words", F.lit(k))), F.lit("")) for k in range(DEPTH))
     return found.select("doc", "line", F.xxhash64(F.size("words"), *lead).alias("leaf"), "words")
 
@@ -50,9 +52,9 @@ def _keys(df: DataFrame, key: str) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= MAX_BROADCAST_KEYS else kept
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, fixed: float = FIXED, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc, line) of ``docs`` (doc, text): the lines of recurring templates."""
-    lines = _lines(docs)
+    lines = _lines(docs, least_words)
     in_docs = lines.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
     # Copies of one text have the same lines; each is one row from here on.
     own = cut(lines.join(_keys(in_docs, "leaf"), "leaf", "left_semi").distinct())
@@ -76,18 +78,20 @@ def _templates(marked: DataFrame) -> DataFrame:
     return grouped.select("doc", "line", F.xxhash64("leaf", "total").alias("template"), "n_fixed", "n_words")
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, fixed: float = FIXED) -> DataFrame:
+def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, fixed: float = FIXED, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per row of ``df``: doc_id, n_lines, n_dropped, text.
 
     ``n_lines`` counts the lines that have a word, ``n_dropped`` those dropped;
     ``text`` joins what is left, blank lines included. A line is dropped if its
     template is in ``min_docs`` different texts or more; copies of one text count
-    once. A null text stays null and has no lines, an empty one stays empty. Ids
-    may be null or repeated: a row is known by a hash of its text.
+    once. Lines of fewer than ``least_words`` words stay. A null text stays null and
+    has no lines, an empty one stays empty; texts of any length are read whole, and
+    an empty table gives an empty result. Ids may be null or repeated: a row is
+    known by the 128 bits of its text's MD5.
     """
-    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("doc", F.xxhash64("text"))
+    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("doc", F.unhex(F.md5(F.col("text").cast("binary"))))
     texts = own.where("text is not null").select("doc", "text")
-    dropped = recurring_lines(texts, min_docs, fixed).distinct().groupBy("doc").agg(F.collect_set("line").alias("gone"))
+    dropped = recurring_lines(texts, min_docs, fixed, least_words).distinct().groupBy("doc").agg(F.collect_set("line").alias("gone"))
     # Cut, so that the join deals out both sides and Spark can split a text of many copies.
     out = own.join(cut(dropped), "doc", "left")
     split = F.split("text", "\n")

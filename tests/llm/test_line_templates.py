@@ -85,3 +85,10 @@ def test_edges(spark):
     assert by[52].n_dropped == 5000 and by[52].n_lines == 5000
     assert by[3].text == "ownxxx words of this one text\n\n" and by[3].n_dropped == 1
     assert drop_recurring_lines(df.limit(0)).count() == 0
+
+
+def test_short_lines_go_where_the_caller_says_so(spark):
+    df = spark.createDataFrame([(k, " ".join(chr(97 + k) * n for n in range(2, 9)) + "\nRead more\n") for k in range(9)], "doc_id long, text string")
+    assert {r.n_dropped for r in drop_recurring_lines(df).collect()} == {0}
+    got = drop_recurring_lines(df, least_words=2).collect()
+    assert all("Read more" not in r.text and r.n_dropped == 1 for r in got)
