@@ -307,8 +307,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one document of each component, its columns unchanged.
 
     Rows of the kept id stay, all of them if it is repeated, and so do rows
-    with a null id. Only the ids to drop are shuffled or broadcast to the texts.
+    with a null id. The ids to drop are broadcast to the texts up to
+    ``MAX_BROADCAST_IDS``, counted first; beyond that both are shuffled.
     """
     found = near_duplicates(docs, id_col, text_col, size, percent, **options)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__brindle_gone")).distinct()
+    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__brindle_gone")).distinct())
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__brindle_gone"), "left_anti")

@@ -145,7 +145,12 @@ def compile_rules(rules: Sequence[Rule] = RULES) -> Column:
 
 def quality(df: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """:func:`measure` with ``failed`` (metrics out of bounds), ``base_failed``
-    and ``kept``. Empty and null texts have too few words and are not kept."""
+    and ``kept``. Empty and null texts have too few words and are not kept.
+
+    One row per row of ``df``, repeated ones and null ids included, and nothing is
+    shuffled. Texts of any length are read whole; an empty table gives an empty
+    result.
+    """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = measure(df, id_col, text_col, stop_words).withColumn("failed", compile_rules(rules)).withColumn("base_failed", base)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))

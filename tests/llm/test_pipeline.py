@@ -101,3 +101,19 @@ def test_nulls_and_empty_tables(spark):
             out.count()
         assert stage(spark, docs.limit(0), SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 4
+
+
+def test_extra_columns_and_very_long_texts(spark):
+    """Columns of names that the stages use themselves, and a text of 100,000 words."""
+    long_text = " ".join(f"long{k % 700}" for k in range(100_000))
+    names = ["toxicity_score", "text_length", "id", "key", "slot", "source_size", "at", "row", "size", "label"]
+    rows = [(k, t, "en", s, len(t), *(k + j for j in range(len(names)))) for k, (t, s) in enumerate([(long_text, "a"), ("a few words of a short text", "b"), (long_text + " end", "a"), ("", "b")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes, name
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows), name
+        assert got == set(rows) if name in ("toxicity", "decontamination") else len(got) == 3 if name == "near_duplicates" else got, name
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert {r.doc_id: r.n_tokens > 100_000 for r in out.collect()} == {0: True, 1: False, 2: True, 3: False}

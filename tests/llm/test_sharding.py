@@ -1,15 +1,18 @@
+import hashlib
 from collections import Counter
 
 import pytest
 
-from brindle.llm.sharding import _seed, assign_shards, fill_table
+from brindle.llm.sharding import assign_shards, fill_table
 
 
 def brute(shards, size):
     """Each shard's whole preference list, then turns over the lists."""
     lists = []
     for name in shards:
-        a, b = _seed(name, "offset", size), _seed(name, "skip", size - 1) + 1
+        # The first 64 bits of the MD5 of "offset:<name>" and "skip:<name>".
+        a = int(hashlib.md5(f"offset:{name}".encode()).hexdigest()[:16], 16) % size
+        b = int(hashlib.md5(f"skip:{name}".encode()).hexdigest()[:16], 16) % (size - 1) + 1
         lists.append([(a + j * b) % size for j in range(size)])
     table = {}
     while len(table) < size:
