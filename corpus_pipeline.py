@@ -20,8 +20,9 @@ SHINGLE, PERCENT = 5, 80
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the calibrated toxicity threshold of their language.
 
-    The model learns from the labelled rows of ``docs``. Null and empty texts
-    hold nothing toxic and stay.
+    The model learns from the labelled rows of ``docs``. Every row is judged by
+    its own text, so repeated rows go or stay together. Null and empty texts hold
+    nothing toxic and stay; without labels every row does.
     """
     return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
 
@@ -36,17 +37,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of ``benchmark``."""
+    """Documents that hold no passage of ``benchmark``.
+
+    Rows of one id go or stay together; a row without an id is known by its text.
+    Null, empty and short texts hold no passage and stay.
+    """
     return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice."""
+    """Documents as often as the mix takes them (none, once or twice), in the
+    order of the schedule's slots.
+
+    A null source is a source of its own; null and empty texts have no words and
+    come where their place in the stream does. Equal ids and texts share their
+    number of copies. Ties in the shuffle's hash are equal rows.
+    """
     return mixing.mixed(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32), read back from the token files."""
+    """(doc_id, start, n_tokens, ids_crc32), read back from the token files.
+
+    One row per row: null ids first, then by id, rows of one id by text. A null or
+    empty text has the end id alone; no rows make a store without blocks.
+    """
     folder = scratch_folder(spark, "pipeline-tokens")
     token_store.write_tokens(docs, folder, tokenizer_path(), end_id=END_ID)
     return token_store.read_tokens(spark, folder)
