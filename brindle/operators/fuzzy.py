@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from brindle.functions.shapes import SHAPES, Shape
 
-#: Most rows of a set table, and of a rule table that is read to plan by.
-MAX_SETS, MAX_DRIVER_RULES = 100_000, 200
+#: Most rows of a set table; more are an error.
+MAX_SETS = 100_000
+#: Most rules that are read to plan by; more are joined, with the same result.
+MAX_DRIVER_RULES = 200
+#: Most rules that are broadcast as one value.
+MAX_VALUE_RULES = 10_000
 
 
 @dataclass(frozen=True)
@@ -144,9 +148,13 @@ def set_table(spark: SparkSession, domains: Sequence[Domain]) -> DataFrame:
 
 
 def domains_from(table: DataFrame) -> dict[str, Domain]:
-    """The domains of a set table, which is read to the driver: a rule base's size."""
+    """The domains of a set table, which is read to the driver: a rule base's size.
+    One of more than ``MAX_SETS`` rows is an error."""
+    rows = table.orderBy("domain", "position").limit(MAX_SETS + 1).collect()
+    if len(rows) > MAX_SETS:
+        raise ValueError(f"a set table has at most {MAX_SETS} rows")
     out: dict[str, Domain] = {}
-    for r in table.orderBy("domain", "position").limit(MAX_SETS).collect():
+    for r in rows:
         out.setdefault(r.domain, Domain(r.domain)).add(r.set_name, r["shape"], *r.points[: SHAPES[r["shape"]].n_points])
     return out
 
@@ -156,40 +164,77 @@ def rule_table(spark: SparkSession, rules: Sequence[FuzzyRule]) -> DataFrame:
     return spark.createDataFrame(rows, "domain_1 string, set_1 string, domain_2 string, set_2 string, out_set string")
 
 
+def _known_outputs(rules: DataFrame, output: Domain) -> DataFrame:
+    """The distinct rules; one with an unknown output set is an error before any result."""
+    unknown = rules.select("out_set").where(~F.col("out_set").isin(output.names) | F.col("out_set").isNull()).first()
+    if unknown is not None:
+        raise KeyError(f"{output.name} has no set {unknown.out_set}")
+    return rules.distinct()
+
+
+def infer_table(df: DataFrame, inputs: dict[str, Domain], columns: dict[str, str], output: Domain, rules: DataFrame, name: str, normalize: bool = False) -> DataFrame:
+    """``df`` with ``name`` by a rule table, row by row: no row is shuffled.
+
+    The rules, up to ``MAX_VALUE_RULES`` of them, are one value that every task
+    gets; degrees are a map of the row. A set that no domain has counts as null.
+    """
+    n = rules.count()
+    if n > MAX_VALUE_RULES:
+        raise ValueError(f"{n} rules are more than {MAX_VALUE_RULES}: use infer_long")
+    sides = F.struct(*(F.concat_ws("\0", f"domain_{k}", f"set_{k}").alias(f"side_{k}") for k in (1, 2)), "out_set")
+    value = _known_outputs(rules, output).agg(F.collect_list(sides).alias("rules")).scalar()
+    firsts = {column_of(d, s.name): (f"{d}\0{s.name}", s.shape.degree(F.col(columns[d]))) for d, domain in inputs.items() for s in reversed(domain.sets)}
+    degrees = F.create_map(*(c for key, degree in firsts.values() for c in (F.lit(key), degree))) if firsts else F.create_map().cast("map<string,double>")
+    held = df.withColumn("__rules", value).withColumn("__degrees", degrees)
+
+    def strength(rule: Column) -> Column:
+        a, b = (F.try_element_at(F.col("__degrees"), rule[f"side_{k}"]) for k in (1, 2))
+        return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
+
+    held = held.withColumn("__fired", F.transform("__rules", lambda r: F.struct(r["out_set"].alias("out_set"), strength(r).alias("strength"))))
+    own = lambda name: F.transform(F.filter("__fired", lambda f: f["out_set"] == name), lambda f: f["strength"])
+    outputs = {column_of(output.name, name): F.greatest(F.array_max(own(name)), F.lit(0.0)) for name in output.names}
+    done = held.withColumns(outputs).withColumn(name, defuzzify(output, normalize))
+    return done.select(*(c for c in df.columns if c != name), name)
+
+
 def infer_long(memberships: DataFrame, rules: DataFrame, output: Domain, keep: Sequence[str], normalize: bool = False) -> DataFrame:
     """``keep`` and ``power`` from (``keep``, domain, set_name, degree) and a rule table.
 
-    Up to ``MAX_DRIVER_RULES`` rules, which are counted first, are read to plan
-    one aggregation by observation: a column for each set that a rule names.
-    Longer rule tables are joined.
+    One row an observation, also where no rule names its sets (all degrees 0). A
+    rule with an unknown output set is an error. Up to ``MAX_DRIVER_RULES`` rules,
+    which are counted first, are read to plan one aggregation by observation: a
+    column for each set that a rule names. Longer rule tables are joined; rows,
+    values and errors are the same.
     """
+    known = _known_outputs(rules, output)
     if rules.count() > MAX_DRIVER_RULES:
-        return _infer_joined(memberships, rules, output, keep, normalize)
-    parsed = [FuzzyRule(r.domain_1, r.set_1, r.domain_2, r.set_2, r.out_set) for r in rules.distinct().collect()]
+        return _infer_joined(memberships, known, output, keep, normalize)
+    parsed = [FuzzyRule(r.domain_1, r.set_1, r.domain_2, r.set_2, r.out_set) for r in known.collect()]
     used = sorted({side for r in parsed for side in ((r.domain_1, r.set_1), (r.domain_2, r.set_2))})
     own = lambda d, s: F.max(F.when((F.col("domain") == d) & (F.col("set_name") == s), F.col("degree")))
     wide = memberships.groupBy(*keep).agg(*([own(d, s).alias(column_of(d, s)) for d, s in used] or [F.count("*").alias("__n")]))
     strengths: dict[str, list[Column]] = {s.name: [F.lit(0.0), F.lit(0.0)] for s in output.sets}
     for r in parsed:
         x, y = F.col(column_of(r.domain_1, r.set_1)), F.col(column_of(r.domain_2, r.set_2))
-        strengths[output.find(r.out_set).name].append(F.when(x.isNotNull() & y.isNotNull(), F.least(x, y)))
+        strengths[r.out_set].append(F.when(x.isNotNull() & y.isNotNull(), F.least(x, y)))
     done = wide.withColumns({column_of(output.name, name): F.greatest(*cols) for name, cols in strengths.items()})
     return done.select(*keep, defuzzify(output, normalize).alias("power"))
 
 
 def _infer_joined(memberships: DataFrame, rules: DataFrame, output: Domain, keep: Sequence[str], normalize: bool) -> DataFrame:
     """The same by joins: the two degrees of a rule meet by observation and rule."""
-    numbered = rules.distinct().withColumn("rule", F.xxhash64(*rules.columns))
+    numbered = rules.withColumn("rule", F.struct(*rules.columns))
     side = lambda k: F.struct(F.col(f"domain_{k}").alias("domain"), F.col(f"set_{k}").alias("set_name"), F.lit(k).alias("k"))
     sides = numbered.select("rule", "out_set", F.explode(F.array(side(1), side(2))).alias("__s")).select("rule", "out_set", "__s.*")
-    matched = memberships.join(sides, ["domain", "set_name"])
-    fired = matched.groupBy(*keep, "rule", "out_set").agg(F.when(F.count("degree") == 2, F.min("degree")).alias("strength"))
-    typical = F.coalesce(*(F.when(F.col("out_set") == s.name, F.lit(s.shape.typical)) for s in output.sets))
-    ored = fired.groupBy(*keep, "out_set").agg(F.greatest(F.max("strength"), F.lit(0.0)).alias("degree"))
-    value = F.sum(typical * F.col("degree"))
-    if normalize:
-        value = value / F.nullif(F.sum("degree"), F.lit(0.0))
-    return ored.groupBy(*keep).agg(value.alias("power"))
+    # The outer join keeps the observations that no rule names.
+    matched = memberships.join(sides, ["domain", "set_name"], "left")
+    degree = lambda k: F.max(F.when(F.col("k") == k, F.col("degree")))
+    fired = matched.groupBy(*keep, "rule", "out_set").agg(degree(1).alias("a"), degree(2).alias("b"))
+    strength = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b"))
+    strongest = lambda s: F.greatest(F.max(F.when(F.col("out_set") == s.name, strength)), F.lit(0.0))
+    wide = fired.groupBy(*keep).agg(*(strongest(s).alias(name) for name, s in {column_of(output.name, s.name): s for s in reversed(output.sets)}.items()))
+    return wide.select(*keep, defuzzify(output, normalize).alias("power"))
 
 
 def best_set(df: DataFrame, domain: Domain, column: str, name: str) -> DataFrame:

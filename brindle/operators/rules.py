@@ -8,9 +8,6 @@ semi-naively: in each round a rule must use a fact that the last round made.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import cut
+
 
 @dataclass(frozen=True)
 class Var:
@@ -93,19 +92,6 @@ def fire(rule: Rule, facts: Sequence[DataFrame], schemas: dict[str, DataFrame])
     return made, text
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` and cut its lineage in the folder the cluster names; a
-    temporary one is set only where none is (tests on one machine)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            folder = tempfile.mkdtemp(prefix="brindle-rules-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def _without(new: DataFrame, old: DataFrame) -> DataFrame:
     """Rows of ``new`` that are not in ``old``; nulls equal nulls."""
     names = [f"__old_{c}" for c in old.columns]
@@ -135,6 +121,7 @@ class Engine:
         delta, messages = dict(known), []
         for turn in range(1, self.max_rounds + 1):
             made: dict[str, list[DataFrame]] = {}
+            texts: list[DataFrame] = []
             for rule in self.rules:
                 for k, pattern in enumerate(rule.patterns):
                     if pattern.template not in delta:
@@ -147,11 +134,15 @@ class Engine:
                     for template, df in new.items():
                         made.setdefault(template, []).append(df)
                     if text is not None:
-                        messages.append(_cut(text))
+                        texts.append(text)
+            # One cut a round for all messages, and one or two a template for its facts.
+            if texts:
+                messages.append(cut(reduce(DataFrame.unionByName, texts)))
             delta, known, fresh = {}, dict(known), {}
             for template, frames in made.items():
-                all_new = _cut(reduce(DataFrame.unionByName, frames))
-                new = _cut(_without(all_new.distinct(), known[template]))
+                all_new = reduce(DataFrame.unionByName, frames)
+                all_new = all_new if self.distinct_facts else cut(all_new)
+                new = cut(_without(all_new.distinct(), known[template]))
                 if not new.isEmpty():
                     fresh[template] = new
                     known[template] = known[template].unionByName(new if self.distinct_facts else all_new)

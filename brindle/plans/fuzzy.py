@@ -92,11 +92,8 @@ def fuzzy_power_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalogue.add(f"{_wide_sql()} SELECT l_orderkey, round(sum({_POWER}), 6) AS power FROM o GROUP BY l_orderkey")
 def fuzzy_rules_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """:func:`fuzzy_power` with sets and rules as tables."""
-    # Order and line number are no key: each row is an observation.
-    lines, keep = load(spark, sf_dir, "lineitem").withColumn("row", F.monotonically_increasing_id()), ["l_orderkey", "row"]
     domains = fuzzy.domains_from(fuzzy.set_table(spark, [QUANTITY, DISCOUNT]))
-    memberships = fuzzy.fuzzify_long(lines, domains, COLUMNS, keep)
-    done = fuzzy.infer_long(memberships, fuzzy.rule_table(spark, RULES), EFFORT, keep)
+    done = fuzzy.infer_table(load(spark, sf_dir, "lineitem"), domains, COLUMNS, EFFORT, fuzzy.rule_table(spark, RULES), "power")
     return done.groupBy("l_orderkey").agg(r6(F.sum("power")).alias("power"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +53,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     naive = [name for name, kind in df.dtypes if kind == "timestamp_ntz"]
     return df.withColumns({name: F.col(name).cast("timestamp") for name in naive}) if naive else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run ``df`` now and cut its lineage in the folder that ``spark.checkpoint.dir``
+    names. A session on one machine (tests) without one gets a temporary folder,
+    removed at exit; on a cluster that is an error, as executors share no local folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="brindle-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

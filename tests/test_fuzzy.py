@@ -99,3 +99,34 @@ def test_best_set_takes_the_first_of_equals(spark):
     two = Domain("x").add("a", "Lambda", 0, 5, 10).add("b", "Lambda", 0, 5, 10)
     df = spark.createDataFrame([(5.0,), (None,)], "x double")
     assert sorted(str(r.best) for r in fuzzy.best_set(df, two, "x", "best").collect()) == ["None", "a"]
+
+
+@pytest.mark.parametrize("most", [200, 0])
+@pytest.mark.parametrize("normalize", [False, True])
+def test_both_ways_to_read_rules_agree(spark, monkeypatch, most, normalize):
+    """Unknown sets, rows that no rule names, nulls and a repeated rule, by the plan and by joins."""
+    monkeypatch.setattr(fuzzy, "MAX_DRIVER_RULES", most)
+    rows = [(k, x, y) for k, (x, y) in enumerate([(12.0, 4.0), (None, 4.0), (-50.0, 90.0), (30.0, 0.0), (8.0, None), (6.0, 1.0)])] + [(None, 12.0, 4.0)]
+    obs = spark.createDataFrame(rows, "id int, distance double, angle double")
+    rules = [*RULES, RULES[0], FuzzyRule("distance", "medium", "distance", "medium", "zero"), FuzzyRule("distance", "nowhere", "angle", "zero", "pos_medium")]
+    table = fuzzy.rule_table(spark, rules)
+    members = fuzzy.fuzzify_long(obs, INPUTS, COLUMNS, ["id"])
+    got = {r.id: r.power for r in fuzzy.infer_long(members, table, POWER, ["id"], normalize).collect()}
+    known = [r for r in rules if r.set_1 != "nowhere"]
+    want = {r.id: r.kw for r in fuzzy.power(obs, INPUTS, COLUMNS, POWER, known, "kw", normalize).collect()}
+    in_row = {r.id: r.kw for r in fuzzy.infer_table(obs, INPUTS, COLUMNS, POWER, table, "kw", normalize).collect()}
+    assert set(got) == set(want) == set(in_row)
+    for k, x in want.items():
+        assert got[k] == pytest.approx(x) and in_row[k] == pytest.approx(x), k
+    alone = members.where("set_name = 'too_far'")
+    assert {r.id: r.power for r in fuzzy.infer_long(alone, table, POWER, ["id"], normalize).collect()} == dict.fromkeys(got, None if normalize else 0.0)
+    bad = fuzzy.rule_table(spark, [*RULES, FuzzyRule("distance", "far", "angle", "zero", "nowhere")])
+    for call in (lambda: fuzzy.infer_long(members, bad, POWER, ["id"]), lambda: fuzzy.infer_table(obs, INPUTS, COLUMNS, POWER, bad, "kw")):
+        with pytest.raises(KeyError):
+            call()
+
+
+def test_too_many_sets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "MAX_SETS", 3)
+    with pytest.raises(ValueError):
+        fuzzy.domains_from(fuzzy.set_table(spark, [DISTANCE]))
