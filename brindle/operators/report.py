@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +13,16 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text
 from brindle.functions.timebucket import cutoff, to_text
+from brindle.session import cut
 
 BATCH_SIZE = 50
+#: Most rows of one model call.
+MOST_ROWS = 1000
 ATTEMPTS = 5
 RECENT_HOURS = 24
 
+HEADING = "# Daily Article Summaries:  *"
+
 SUMMARY = "title string, link string, publish_date string, summary array<string>, tags array<string>"
 
 
@@ -75,8 +81,22 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 
 
 def batches(df: DataFrame, order: Sequence[str], by: Sequence[str], size: int = BATCH_SIZE, name: str = "batch_id") -> DataFrame:
-    """Rows numbered into batches of ``size`` by ``order`` within ``by``."""
-    return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / F.lit(size)).cast("bigint"))
+    """Rows numbered into batches of ``size`` by ``order`` within ``by``.
+
+    In two steps: ranges of rows in order, then rows of one range, so a group of any
+    size is spread over tasks. The ranges are cut through the shared folder: pass
+    the columns that number the rows, and join long ones afterwards.
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [f"__by_{k}" for k in range(len(by))]
+    bases = counts.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col("__part").alias("__at"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
+    numbered = ranged.withColumn("__k", F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1)
+    same = F.col("__part") == F.col("__at")
+    for c, k in zip(by, keys, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    return numbered.join(bases, same).select(*df.columns, F.floor((F.col("__base") + F.col("__k")) / F.lit(size)).cast("bigint").alias(name))
 
 
 def call_model(
@@ -87,6 +107,7 @@ def call_model(
     order: Sequence[str],
     attempts: int = ATTEMPTS,
     pause_s: float = 0.0,
+    most: int = MOST_ROWS,
 ) -> DataFrame:
     """One call of ``model`` per batch: (``keys``, answer, attempts, exception).
 
@@ -94,8 +115,12 @@ def call_model(
     JSON once repaired; anything else is tried again, ``attempts`` times in all.
     A batch that still fails is a row with an exception, not a failed job. Write
     the result before using it: a call costs and may not give the same twice.
+    A batch's rows come together in one task, so one of more than ``most`` rows is
+    an error: number them with :func:`batches` and join what the calls return.
     """
-    packed = df.groupBy(*keys).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*inputs).alias("r")))), lambda x: x["r"])).alias("__rows"))
+    n = F.count("*")
+    rows = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*inputs).alias("r")))), lambda x: x["r"]))
+    packed = df.groupBy(*keys).agg(F.when(n <= most, rows).otherwise(F.raise_error(F.concat(F.lit("a batch has "), n.cast("string"), F.lit(f" rows, more than {most}")))).alias("__rows"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -162,15 +187,31 @@ def ordered_join(df: DataFrame, by: Sequence[str], order: Sequence[str], value:
     return df.groupBy(*by).agg(F.array_join(F.transform(parts, lambda p: p["v"]), separator).alias(name))
 
 
-def article_report(sections: DataFrame, by: Sequence[str], order: Sequence[str], title: Column | None = None, updated: Column | None = None) -> DataFrame:
-    """One Markdown report a group, with an optional title and update line."""
+def article_report(sections: DataFrame, by: Sequence[str], order: Sequence[str], title: Column | None = None, updated: Column | None = None, heading: str = HEADING) -> DataFrame:
+    """One Markdown report a group, with an optional title and update line.
+
+    A group's sections come together in one row; :func:`report_parts` bounds them.
+    """
     body = ordered_join(sections, by, order, "section", "__body")
-    head = [F.when(title.isNotNull(), F.concat(F.lit("# Daily Article Summaries:  *"), title, F.lit("*\n")))] if title is not None else []
+    head = [F.when(title.isNotNull(), F.concat(F.lit(heading), title, F.lit("*\n")))] if title is not None else []
     if updated is not None:
         head += [F.concat(F.lit("**Updated:** "), to_text(updated), F.lit("\n")), F.lit("*Summaries and tags are written by a language model from the articles below:*\n")]
     return body.select(*by, F.concat_ws("\n", *head, F.col("__body")).alias("report"))
 
 
+def report_parts(sections: DataFrame, by: Sequence[str], order: Sequence[str], size: int = BATCH_SIZE, name: str = "part") -> DataFrame:
+    """(``by``, ``name``, report, n): a group's report in parts of ``size`` sections.
+
+    The parts of a group, one after another with a line break between, are its report.
+    ``order`` must tell the rows of a group apart.
+    """
+    keys = [*by, *order]
+    numbered = batches(sections.select(*keys), order, by, size, name)
+    joined = sections.join(numbered.select(*(F.col(k).alias(f"__{k}") for k in keys), name), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)))
+    parts = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col("section").alias("v"))))
+    return joined.groupBy(*by, name).agg(F.array_join(F.transform(parts, lambda p: p["v"]), "\n").alias("report"), F.count("*").alias("n"))
+
+
 def strategy_lines(df: DataFrame, line: str) -> DataFrame:
     """List lines reworked: blank ones dropped, ``a; b`` as two sentences."""
     return df.where(text.strip(F.col(line)) != "").withColumn(line, text.split_semicolon(text.bullet(F.col(line))))

@@ -45,24 +45,32 @@ def recency_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.recent(events, "ts", events.agg(F.max("ts")).scalar()).select("event_id", "event_type")
 
 
-@catalogue.add("SELECT doc_id, n_chars FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 3 AND try_cast(CASE WHEN doc_id % 5 = 0 THEN 'soon' ELSE '2024-01-02' END AS DATE) IS NOT NULL")
+@catalogue.add("SELECT doc_id, n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE text IS NOT NULL AND source IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
 def article_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles with all fields and a date that can be parsed."""
-    docs = _documents(spark, sf_dir).withColumn("link", F.when(F.col("doc_id") % 7 != 3, F.concat(F.lit("http://x/"), F.col("doc_id"))))
-    dated = docs.withColumn("published", F.try_to_timestamp(F.when(F.col("doc_id") % 5 == 0, "soon").otherwise("2024-01-02"), F.lit("yyyy-MM-dd")))
-    return report.complete(dated, ["text", "link", "published"]).select("doc_id", "n_chars")
+    """Articles with all fields: a document without a label lacks two of them."""
+    docs = _documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id", "left")
+    return report.complete(docs, ["text", "source", "quality", "toxic"]).select("doc_id", "n_chars")
 
 
-@catalogue.add("SELECT source AS title, 'http://' || source AS url, 'error at ' || doc_id AS exception, 24::BIGINT AS hours_cutoff FROM documents WHERE doc_id % 50 = 7")
+@catalogue.add(
+    "SELECT source AS title, 'http://' || source AS url, CASE WHEN coalesce(text, '') = '' THEN 'empty answer' ELSE 'short answer of ' || length(text) || ' characters' END AS exception,"
+    " 24::BIGINT AS hours_cutoff FROM documents WHERE coalesce(length(text), 0) < 200"
+)
 def feed_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feeds whose fetch failed, as data, with the run's parameter attached."""
-    pulls = _documents(spark, sf_dir).select(
-        F.col("source").alias("title"), F.concat(F.lit("http://"), "source").alias("url"),
-        F.when(F.col("doc_id") % 50 == 7, F.concat(F.lit("error at "), F.col("doc_id"))).alias("exception"),
-    )
+    """Feeds whose fetch failed (here: gave less than 200 characters), as data, with
+    the run's parameter attached."""
+    size = F.coalesce(F.length("text"), F.lit(0))
+    failed = F.when(size == 0, F.lit("empty answer")).when(size < 200, F.concat(F.lit("short answer of "), size, F.lit(" characters")))
+    pulls = _documents(spark, sf_dir).select(F.col("source").alias("title"), F.concat(F.lit("http://"), "source").alias("url"), failed.alias("exception"))
     return report.failures(pulls).withColumn("hours_cutoff", F.lit(report.RECENT_HOURS).cast("bigint"))
 
 
+@catalogue.add("SELECT doc_id, quality FROM labels WHERE quality = 1")
+def required_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled articles of quality; a run without any is an error."""
+    return report.require_rows(load(spark, sf_dir, "labels").where("quality = 1").select("doc_id", "quality"), "articles")
+
+
 @catalogue.add("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def topic_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = load(spark, sf_dir, "labels").where("toxic = 1")
@@ -86,27 +94,25 @@ def qa_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.has_rows(_documents(spark, sf_dir), ["source"], F.col("n_chars") > 20000)
 
 
-_FIRST = "list_distinct(regexp_extract_all(left(text, 200), '[A-Za-z]+'))"
+_ALL = "list_distinct(regexp_extract_all(text, '[A-Za-z]+'))"
+_TAGS = f"SELECT doc_id, array_to_string(list_sort({_ALL}), ', ') AS tags, len({_ALL}) AS n FROM documents"
 
 
-def _first_words() -> F.Column:
-    return F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 200), F.lit("[A-Za-z]+"), F.lit(0)))
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
+    return _documents(spark, sf_dir).select("doc_id", words.alias("w")).select("doc_id", report.sorted_tags(F.col("w")).alias("tags"), F.size("w").cast("bigint").alias("n"))
 
 
-@catalogue.add(f"SELECT doc_id, array_to_string(list_sort({_FIRST}), ', ') AS tags, len({_FIRST}) AS n FROM documents")
+@catalogue.add(_TAGS)
 def tags_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words as tags: distinct, in code-point order, joined."""
-    return _documents(spark, sf_dir).select("doc_id", report.sorted_tags(_first_words()).alias("tags"), F.size(_first_words()).cast("bigint").alias("n"))
+    """The words of a text as tags: distinct, in code-point order, joined."""
+    return _tags(spark, sf_dir)
 
 
-_ALL = "list_distinct(regexp_extract_all(text, '[A-Za-z]+'))"
-
-
-@catalogue.add(f"SELECT doc_id, array_to_string(list_sort({_ALL}), ', ') AS tags, len({_ALL}) AS n FROM documents")
+@catalogue.add(_TAGS)
 def tags_sorted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of the whole text as tags; :func:`tags_sorted` reads 200 characters, as its SQL does."""
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)))
-    return _documents(spark, sf_dir).select("doc_id", report.sorted_tags(words).alias("tags"), F.size(words).cast("bigint").alias("n"))
+    """The earlier name of :func:`tags_sorted` over whole texts."""
+    return _tags(spark, sf_dir)
 
 
 _MD = r"regexp_replace({}, '([\\`*_{{}}\[\]()#+\-.!|<>$])', '\\\1', 'g')"
@@ -119,20 +125,23 @@ def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalogue.add(
-    f"""WITH a AS (SELECT d.doc_id, source, regexp_replace({_MD.format("left(text, 40)")}, '^\\s+|\\s+$', '', 'g') AS t, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
- SELECT source, md5(string_agg('## [' || t || '](http://x/' || doc_id || ')' || chr(10) || '* ' || t || chr(10) || '* q' || quality || chr(10) || chr(10) || '**Tags:** ' || source || ', z'
- || chr(10) || chr(10) || '**Publish Date:** 2024-01-01' || chr(10), chr(10) ORDER BY doc_id)) AS report, count(*) AS n FROM a GROUP BY source"""
+    f"""WITH a AS (SELECT d.doc_id, source, regexp_replace({_MD.format("text")}, '^\\s+|\\s+$', '', 'g') AS t, quality, (row_number() OVER (PARTITION BY source ORDER BY d.doc_id) - 1) // 50 AS part
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+ SELECT source, part, md5(string_agg('## [' || t || '](http://x/' || doc_id || ')' || chr(10) || '* ' || t || chr(10) || '* q' || quality || chr(10) || chr(10) || '**Tags:** ' || source || ', z'
+ || chr(10) || chr(10) || '**Publish Date:** 2024-01-01' || chr(10), chr(10) ORDER BY doc_id)) AS report, count(*) AS n FROM a GROUP BY source, part"""
 )
 def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown report a source: its labelled articles in order."""
+    """The Markdown report of a source over whole texts: its labelled articles in
+    order, in parts of 50, so that no row grows with a source."""
+    parts = report.report_parts(_sections(spark, sf_dir), ["source"], ["doc_id"])
+    return parts.select("source", "part", F.md5(F.col("report").cast("binary")).alias("report"), "n")
+
+
+def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
-    short = F.substring("text", 1, 40)
-    section = report.article_section(
-        short, F.concat(F.lit("http://x/"), F.col("doc_id")), F.array(short, F.concat(F.lit("q"), F.col("quality"))), F.array(F.lit("z"), F.col("source")), F.lit("2024-01-01")
-    )
-    sections = docs.select("source", "doc_id", section.alias("section"))
-    counts = sections.groupBy("source").agg(F.count("*").alias("n"))
-    return report.article_report(sections, ["source"], ["doc_id"]).join(counts, "source").select("source", F.md5(F.col("report").cast("binary")).alias("report"), "n")
+    summary = F.array(F.col("text"), F.concat(F.lit("q"), F.col("quality")))
+    section = report.article_section(F.col("text"), F.concat(F.lit("http://x/"), F.col("doc_id")), summary, F.array(F.lit("z"), F.col("source")), F.lit("2024-01-01"))
+    return docs.select("source", "doc_id", section.alias("section"))
 
 
 @catalogue.add(
@@ -143,10 +152,31 @@ def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sections of each source's report with the whole texts, a row each: the order
     within a source is that of doc_id, and no row grows with a source."""
-    docs = _documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
-    summary = F.array(F.col("text"), F.concat(F.lit("q"), F.col("quality")))
-    section = report.article_section(F.col("text"), F.concat(F.lit("http://x/"), F.col("doc_id")), summary, F.array(F.lit("z"), F.col("source")), F.lit("2024-01-01"))
-    return docs.select("source", "doc_id", F.md5(section.cast("binary")).alias("section"))
+    return _sections(spark, sf_dir).select("source", "doc_id", F.md5(F.col("section").cast("binary")).alias("section"))
+
+
+@catalogue.add(f"SELECT doc_id, md5(CASE WHEN lang = 'en' THEN {_MD.format('text')} ELSE text END) AS content FROM documents")
+def content_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content converted only where its type says so; English stands for text/html."""
+    kind = F.when(F.col("lang") == "en", F.lit(" text/html ")).otherwise(F.lit("text/plain"))
+    content = report.html_only_when(F.col("text"), kind, text.escape_markdown(F.col("text")))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(content.cast("binary")).alias("content"))
+
+
+@catalogue.add(
+    """WITH s AS (SELECT r_regionkey, r_name, string_agg('* ' || n_name || '. Key ' || n_nationkey, chr(10) || chr(10) ORDER BY n_nationkey) AS body FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL),
+ j AS (SELECT string_agg('### ' || r_name || chr(10) || chr(10) || body || chr(10) || chr(10) || '[Source Material](' || lower(r_name) || '_summaries.html)' || chr(10), chr(10) ORDER BY r_regionkey) AS body FROM s)
+ SELECT regexp_replace('# Review' || chr(10) || chr(10) || 'How to read.' || chr(10) || chr(10) || '**Updated:** 2024-01-02 03:04:05' || chr(10) || chr(10) || '## Topics' || chr(10) || chr(10) || body, '^\\s+|\\s+$', '', 'g') AS report FROM j"""
+)
+def strategy_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report over topics (here: regions and their nations); one without lines is left out."""
+    slug = F.concat(F.lit("feeds_"), F.lower("r_name"))
+    region = load(spark, sf_dir, "region")
+    topics = region.select(slug.alias("slug"), F.col("r_name").alias("title"), F.col("r_regionkey").alias("position"))
+    topics = topics.unionByName(spark.createDataFrame([("feeds_none", "None", 99)], "slug string, title string, position int"))
+    lines = load(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = lines.select(slug.alias("slug"), F.col("n_nationkey").alias("n"), F.concat(F.lit("- "), "n_name", F.lit("; key "), "n_nationkey").alias("line"))
+    return report.strategy_report(topics, lines, "Review", ["How to read."], F.lit("2024-01-02 03:04:05.678").cast("timestamp"))
 
 
 _LINE = """CASE WHEN conv_id % 3 = 0 THEN '- ' || role || ' ' || turn WHEN conv_id % 3 = 1 THEN '  - ' || role || ' ' || turn || '; then ' || conv_id
@@ -220,25 +250,30 @@ def stub_model(rows: list[dict]) -> str:
 @catalogue.add("SELECT doc_id::VARCHAR AS link, split_part(text, ' ', 1) AS title, length(text)::VARCHAR AS publish_date, lang, true AS is_known FROM documents")
 def llm_batch_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of 50 through a stub model, parsed, with echoed links checked."""
-    numbered = report.batches(_documents(spark, sf_dir).select("lang", "doc_id", "text"), ["doc_id"], ["lang"])
-    answers = report.call_model(numbered, stub_model, ["doc_id", "text"], ["lang", "batch_id"], ["doc_id"])
+    docs = _documents(spark, sf_dir).select("doc_id", "lang", "text")
+    # Only ids are numbered; the texts are joined to their batches.
+    numbered = report.batches(docs.select("lang", "doc_id"), ["doc_id"], ["lang"])
+    answers = report.call_model(docs.join(numbered.select("doc_id", "batch_id"), "doc_id"), stub_model, ["doc_id", "text"], ["lang", "batch_id"], ["doc_id"])
     rows = report.parse_summaries(answers, ["lang", "batch_id"])
     known = numbered.select("lang", "batch_id", F.col("doc_id").cast("string").alias("link"))
     return report.check_echo(rows, known, ("lang", "batch_id", "link")).select("link", "title", "publish_date", "lang", "is_known")
 
 
 def stub_strategy(rows: list[dict]) -> str:
-    """A deterministic stand-in for the strategy model: one answer a document."""
+    """A deterministic stand-in for the strategy model: one answer a batch."""
     import json
 
-    return json.dumps({"articles": [{"title": f"{len(rows)} articles", "link": str(rows[0]["doc_id"]), "publish_date": str(sum(r["n_chars"] for r in rows))}]})
+    return json.dumps({"articles": [{"title": str(len(rows)), "link": str(rows[0]["doc_id"]), "publish_date": str(sum(r["n_chars"] for r in rows))}]})
 
 
 @catalogue.add("SELECT source, count(*) || ' articles' AS title, min(doc_id)::VARCHAR AS link, sum(n_chars)::BIGINT::VARCHAR AS publish_date FROM documents GROUP BY source")
 def llm_topic_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model call per topic, here per source."""
-    answers = report.call_model(_documents(spark, sf_dir).select("source", "doc_id", "n_chars"), stub_strategy, ["doc_id", "n_chars"], ["source"], ["doc_id"])
-    return report.parse_summaries(answers, ["source"]).select("source", "title", "link", "publish_date")
+    """A topic (here: a source) in model calls of 50 articles, whose answers are joined in Spark."""
+    numbered = report.batches(_documents(spark, sf_dir).select("source", "doc_id", "n_chars"), ["doc_id"], ["source"])
+    answers = report.call_model(numbered, stub_strategy, ["doc_id", "n_chars"], ["source", "batch_id"], ["doc_id"])
+    parsed = report.parse_summaries(answers, ["source"])
+    total = lambda c: F.sum(F.col(c).cast("bigint")).cast("string")
+    return parsed.groupBy("source").agg(F.concat(total("title"), F.lit(" articles")).alias("title"), F.min(F.col("link").cast("bigint")).cast("string").alias("link"), total("publish_date").alias("publish_date"))
 
 
 @catalogue.add()

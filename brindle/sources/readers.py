@@ -10,11 +10,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from brindle.functions.text import strip
 from brindle.operators.crowd import RECORD
-from brindle.operators.report import SUMMARY
 
 _FEEDS = "feeds array<struct<title: string, url: string>>"
 _ARTICLES = "articles array<struct<title: string, link: string, publish_date: string, summary: array<string>, tags: array<string>>>"
 _ITEM = "title string, description string, encoded string, link string, pubDate string"
+_TEXT = "struct<_VALUE: string, _type: string>"
+_ENTRY = f"title {_TEXT}, summary {_TEXT}, content {_TEXT}, link array<struct<_href: string, _rel: string>>, published string, updated string"
 
 
 def feed_list(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -40,6 +41,23 @@ def rss_items(spark: SparkSession, path: str | Sequence[str], row_tag: str = "it
     )
 
 
+def atom_entries(spark: SparkSession, path: str | Sequence[str], row_tag: str = "entry") -> DataFrame:
+    """Articles of saved Atom files, with the columns of :func:`rss_items`.
+
+    The link is the first alternate one (or without a relation), else the first;
+    the date is ``published``, or ``updated`` where that is missing.
+    """
+    raw = spark.read.schema(_ENTRY).format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").load(path)
+    plain = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    link = F.coalesce(F.get(plain, F.lit(0)), F.get("link", F.lit(0)))["_href"]
+    date = F.coalesce("published", "updated")
+    value = lambda c: strip(F.col(c)["_VALUE"])
+    return raw.select(
+        value("title").alias("title"), value("summary").alias("summary_from_feed"), value("content").alias("content"),
+        strip(link).alias("link"), date.alias("publish_date"), F.try_to_timestamp(strip(date)).alias("published"),
+    )
+
+
 def fetch_feeds(feeds: DataFrame, fetch: Callable[[str], list[dict]], parallel: int = 15) -> DataFrame:
     """Articles of each feed: one call of ``fetch`` (url -> article dicts) a feed.
 
@@ -109,6 +127,13 @@ def page_union(pages: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _client(options: dict) -> Callable:
+    import importlib
+
+    module, _, name = options["client"].partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 class _Page(InputPartition):
     def __init__(self, token: int) -> None:
         super().__init__(token)
@@ -140,11 +165,40 @@ class _PagedReader(DataSourceReader):
         return [_Page(k) for k in range(int(self.options.get("pages", 1)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
+        yield from _client(self.options)(partition.value)
+
 
-        module, _, name = self.options["client"].partition(":")
-        yield from getattr(importlib.import_module(module), name)(partition.value)
 
+class TokenPagedRecords(DataSource):
+    """An interface whose pages name the next one, as a data source.
 
-def summary_schema() -> str:
-    return SUMMARY
+    Options: ``client``, an importable ``module:function`` from a token (None for
+    the first page) to (rows of the schema, next token; None or "" after the last
+    page), and ``most_pages``, beyond which reading is an error. Each page is asked
+    for once, after the one that names it, so one task reads the chain and holds a
+    page at a time.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "brindle_token_paged"
+
+    def schema(self):
+        return self.options.get("schema", RECORD)
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TokenPagedReader(dict(self.options))
+
+
+class _TokenPagedReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.options = options
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        client, token = _client(self.options), None
+        for _ in range(int(self.options.get("most_pages", 1_000_000))):
+            rows, token = client(token)
+            yield from rows
+            if not token:
+                return
+        raise RuntimeError("more pages than most_pages")

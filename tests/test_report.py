@@ -179,3 +179,68 @@ def test_tags_and_sections_hold_the_whole_text(spark, tmp_path):
     shown = text.replace("*", "\\*")
     section = f"## [{shown}](http://x/1)\n* {shown}\n* q1\n\n**Tags:** s, z\n\n**Publish Date:** 2024-01-01\n"
     assert [tuple(r) for r in plans.article_sections(spark, str(tmp_path)).collect()] == [("s", 1, hashlib.md5(section.encode()).hexdigest())]
+
+
+TOKEN_PAGES = {None: ([(0, (0, (1.0, 2.0)))], "b"), "b": ([], "c"), "c": ([(2, (1, (1.0, 2.0))), (3, (2, None))], "")}
+
+
+def token_page(token):
+    return TOKEN_PAGES[token]
+
+
+def test_chained_pages_are_read_once_each(spark):
+    spark.dataSource.register(readers.TokenPagedRecords)
+    df = spark.read.format("brindle_token_paged").option("client", "tests.test_report:token_page")
+    assert sorted(r.Timestamp for r in df.load().collect()) == [0, 2, 3]
+    with pytest.raises(Exception, match="most_pages"):
+        df.option("most_pages", "2").load().collect()
+
+
+def test_atom_entries(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><title>Feed</title>'
+        '<entry><title type="text"> A </title><link rel="self" href="s"/><link rel="alternate" href="l"/><published>2024-01-02T03:04:05Z</published><updated>2024-01-03T00:00:00Z</updated><summary>S</summary><content type="html">&lt;p&gt;C&lt;/p&gt;</content></entry>'
+        '<entry><title>B</title><link href="m"/><updated>2024-01-03T00:00:00+01:00</updated></entry><entry><title>C</title><updated>soon</updated></entry></feed>'
+    )
+    got = {r.title: r for r in readers.atom_entries(spark, str(tmp_path / "a.xml")).collect()}
+    assert (got["A"].link, got["A"].summary_from_feed, got["A"].content, got["A"].published) == ("l", "S", "<p>C</p>", dt.datetime(2024, 1, 2, 3, 4, 5))
+    assert (got["B"].link, got["B"].published) == ("m", dt.datetime(2024, 1, 2, 23, 0)) and got["C"].link is None and got["C"].published is None
+
+
+def test_batches_in_two_steps(spark):
+    rows = [(("a", "b", None)[k % 3 if k % 5 else 0], k) for k in range(700)]
+    df = spark.createDataFrame(rows, "g string, k long").repartition(7)
+    got = {(r.g, r.k): r.batch_id for r in report.batches(df, ["k"], ["g"], 20).collect()}
+    for g in ("a", "b", None):
+        own = sorted(k for x, k in rows if x == g)
+        assert {k: got[g, k] for k in own} == {k: n // 20 for n, k in enumerate(own)}
+    assert len(got) == 700 and report.batches(df.limit(0), ["k"], ["g"]).count() == 0
+
+
+def test_no_window_over_a_bare_group_key(spark):
+    plan = plans.batch_50(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "row_number" in line]
+    assert windows and all("__part" in line for line in windows)
+
+
+def test_too_large_a_batch_is_an_error(spark):
+    df = spark.createDataFrame([(0, k, f"t{k}") for k in range(4)], "batch_id long, k int, t string")
+    with pytest.raises(Exception, match="more than 3"):
+        report.call_model(df, model(0), ["t"], ["batch_id"], ["k"], most=3).collect()
+
+
+def test_report_parts_make_up_the_report(spark):
+    sections = spark.createDataFrame([(g, k, f"{g}{k}") for g in ("a", "b") for k in range(7)], "topic string, n int, section string")
+    parts = sorted(report.report_parts(sections, ["topic"], ["n"], 3).collect())
+    whole = {r.topic: r.report for r in report.article_report(sections, ["topic"], ["n"]).collect()}
+    assert [r.n for r in parts if r.topic == "a"] == [3, 3, 1]
+    assert {g: "\n".join(r.report for r in parts if r.topic == g) for g in ("a", "b")} == whole
+
+
+def test_type_and_required_rows(spark):
+    df = spark.createDataFrame([(1, " text/html"), (2, "text/plain"), (3, None)], "k int, t string")
+    got = {r.k: r.c for r in df.select("k", report.html_only_when(F.lit("raw"), F.col("t"), F.lit("converted")).alias("c")).collect()}
+    assert got == {1: "converted", 2: "raw", 3: "raw"}
+    assert report.require_rows(df, "rows") is df
+    with pytest.raises(ValueError, match="no rows left"):
+        report.require_rows(df.limit(0), "rows")
