@@ -33,6 +33,8 @@ FILTERS = 6
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 3000
 #: Most bytes of their hashed words (12 a word) that training takes, by label.
 MAX_BYTES = 96 << 20
+#: Most labelled ids that are broadcast to the texts.
+MAX_BROADCAST_IDS = 1_000_000
 #: Batches that a model learns.
 STEPS = 825
 #: Rows with this remainder of crc32(doc_id as text) modulo 4 are never learnt from.
@@ -315,10 +317,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             at = _bins(1 / (1 + np.exp(-np.clip(logit, -500, 500))))[0]
             counts.setdefault(got[k].lang, np.zeros((2 * MOST * BINS, 2)))[at, toxic[k]] += 1
     if n_known > len(got):
-        # Texts are scored where they are; only ids, languages and bins are shuffled.
-        others = known.join(F.broadcast(chosen), "__id", "left_anti").select("__id", "toxic")
-        binned = score(own, model, keep=["doc_id", "lang"]).select("doc_id", "lang", _bin(F.col(SCORE)).alias("bin"))
-        for r in binned.join(others, F.col("doc_id") == F.col("__id")).groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n")).collect():
+        # Only labelled texts are scored, where they are; ids, languages and bins are shuffled.
+        others = cut(known.join(F.broadcast(chosen), "__id", "left_anti").select("__id", "toxic"))
+        few = n_known <= MAX_BROADCAST_IDS
+        labelled = own.join(F.broadcast(others), F.col("doc_id") == F.col("__id")) if few else own
+        kept = ["lang", "toxic"] if few else ["doc_id", "lang"]
+        binned = score(labelled, model, keep=kept).select(*kept, _bin(F.col(SCORE)).alias("bin"))
+        binned = binned if few else binned.join(others, F.col("doc_id") == F.col("__id"))
+        for r in binned.groupBy("lang", "bin", "toxic").agg(F.count("*").alias("n")).collect():
             counts.setdefault(r.lang, np.zeros((2 * MOST * BINS, 2)))[r.bin, r.toxic] += r.n
     calibrate(model, counts)
     return model

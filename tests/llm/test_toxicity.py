@@ -59,12 +59,14 @@ def test_best_threshold():
     assert toxicity.best_threshold(score, toxic) == pytest.approx(0.5)
 
 
-def test_thresholds_count_all_labelled_rows_at_their_mix(spark, monkeypatch):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_thresholds_count_all_labelled_rows_at_their_mix(spark, monkeypatch, few):
     """A sample of few clean rows does not hide the clean rows of equal scores."""
     rows = [(k, "bad idiot words here" if k % 10 == 0 else "bad idiot words" if k % 10 == 1 else "fine words here", "en" if k % 3 else None) for k in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, int(k % 10 == 0)) for k, *_ in rows], "doc_id long, toxic int")
     seen = {}
+    monkeypatch.setattr(toxicity, "MAX_BROADCAST_IDS", few)
     monkeypatch.setattr(toxicity, "calibrate", lambda model, counts: seen.update(counts))
     toxicity.fit(docs, labels, max_positive=20, max_negative=10)
     known = [(lang, int(k % 10 == 0)) for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2]
