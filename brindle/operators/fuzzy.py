@@ -175,10 +175,16 @@ def _known_outputs(rules: DataFrame, output: Domain) -> DataFrame:
 def infer_table(df: DataFrame, inputs: dict[str, Domain], columns: dict[str, str], output: Domain, rules: DataFrame, name: str, normalize: bool = False) -> DataFrame:
     """``df`` with ``name`` by a rule table, row by row: no row is shuffled.
 
-    The rules, up to ``MAX_VALUE_RULES`` of them, are one value that every task
-    gets; degrees are a map of the row. A set that no domain has counts as null.
+    Up to ``MAX_DRIVER_RULES`` rules are read to plan the wide form, which runs in
+    generated code. More, up to ``MAX_VALUE_RULES``, are one value that every task
+    gets, with degrees as a map of the row. A set that no domain has counts as
+    null; results and errors are the same.
     """
     n = rules.count()
+    if n <= MAX_DRIVER_RULES:
+        parsed = [FuzzyRule(r.domain_1, r.set_1, r.domain_2, r.set_2, r.out_set) for r in _known_outputs(rules, output).collect()]
+        has = lambda d, s: d in inputs and s in inputs[d].names
+        return power(df, inputs, columns, output, [r for r in parsed if has(r.domain_1, r.set_1) and has(r.domain_2, r.set_2)], name, normalize)
     if n > MAX_VALUE_RULES:
         raise ValueError(f"{n} rules are more than {MAX_VALUE_RULES}: use infer_long")
     sides = F.struct(*(F.concat_ws("\0", f"domain_{k}", f"set_{k}").alias(f"side_{k}") for k in (1, 2)), "out_set")
