@@ -281,8 +281,18 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
 
 
-@catalogue.add()
+#: White space as the converter knows it.
+_BLANK = r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+# Escaped text has no header, list, emphasis or link of its own: only paragraphs are left.
+@catalogue.add(
+    f"""WITH m AS (SELECT doc_id, regexp_replace('# Document' || chr(10) || chr(10) || {_MD.format("text")}, '{_BLANK}+$', '') AS md FROM documents),
+ p AS (SELECT doc_id, regexp_replace(replace(replace(replace(md, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\\n{_BLANK}*\\n', '</p>' || chr(10) || '<p>', 'g') AS md FROM m)
+ SELECT doc_id, replace('<h1>Document</h1>' || CASE WHEN md = '# Document' THEN '' ELSE substr(md, length('# Document</p>') + 1) || '</p>' END, '\\$', '$') AS html FROM p"""
+)
 def markdown_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text escaped below a header, and converted."""
     docs = _documents(spark, sf_dir)
     return docs.select("doc_id", html.markdown_to_html(F.concat(F.lit("# Document\n\n"), text.escape_markdown(F.col("text")))).alias("html"))
 
