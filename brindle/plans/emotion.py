@@ -47,8 +47,9 @@ def emotion_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalogue.add(
-    f"""WITH p AS ({_PLACED}) SELECT event_id, user_id,
- round(sum(value / ((i + 1) * (i + 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) + value / (i + 2), 6) AS running FROM p"""
+    f"""WITH RECURSIVE p AS MATERIALIZED ({_PLACED}), r AS (SELECT event_id, user_id, i, value AS running, value AS total FROM p WHERE i = 0 UNION ALL
+ SELECT p.event_id, p.user_id, p.i, (p.value + r.total) / (p.i + 1), r.total + (p.value + r.total) / (p.i + 1) FROM r JOIN p ON p.user_id = r.user_id AND p.i = r.i + 1)
+ SELECT event_id, user_id, round(running, 6) AS running FROM r"""
 )
 def emotion_running_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = emotion.running_average(load(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"])
