@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -258,6 +259,12 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[1:5], pa.array(words, pa.binary())], ["toxic", "part", "lang", "__id", "words"])
 
 
+def _views(words: pa.ChunkedArray, order: np.ndarray) -> list[np.ndarray]:
+    """The features of each row in ``order``, without copying the column."""
+    found = [np.frombuffer(x.as_buffer(), np.int32).reshape(3, -1) for chunk in words.chunks for x in chunk]
+    return [found[k] for k in order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE, max_bytes: int = MAX_BYTES) -> Model:
     """Train on up to ``max_positive + max_negative`` labelled rows.
 
@@ -290,10 +297,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             taken[r.toxic] += r.n
             fitting.append(r["__id"])
     chosen = spark.createDataFrame([(k,) for k in fitting], T.StructType([T.StructField("__id", rows.schema["__id"].dataType)]))
-    got = featured.join(F.broadcast(chosen), "__id", "left_semi").collect()
-    got.sort(key=lambda r: (r.words, r.toxic))
-    texts = [np.frombuffer(r.words, np.int32).reshape(3, -1) for r in got]
-    toxic, part = np.array([r.toxic for r in got], np.int64), np.array([r.part for r in got], np.int64)
+    # As Arrow: the texts are views of one buffer, not a copy and an object each.
+    got = featured.join(F.broadcast(chosen), "__id", "left_semi").select("toxic", "part", "lang", "words").toArrow().combine_chunks()
+    order = pc.sort_indices(got, sort_keys=[("words", "ascending"), ("toxic", "ascending")]).to_numpy()
+    texts = _views(got["words"], order)
+    toxic, part = (got[c].to_numpy().astype(np.int64)[order] for c in ("toxic", "part"))
+    langs = got["lang"].to_pylist()
     if len(set(toxic.tolist())) < 2:
         model = _start(np.random.default_rng(7))
         model.output[:] = 0
@@ -315,8 +324,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for k in held:
             logit = judge.pooled(texts[k], np.array([texts[k].shape[1]])).astype(np.float64) @ judge.output + judge.intercept
             at = _bins(1 / (1 + np.exp(-np.clip(logit, -500, 500))))[0]
-            counts.setdefault(got[k].lang, np.zeros((2 * MOST * BINS, 2)))[at, toxic[k]] += 1
-    if n_known > len(got):
+            counts.setdefault(langs[order[k]], np.zeros((2 * MOST * BINS, 2)))[at, toxic[k]] += 1
+    if n_known > len(texts):
         # Only labelled texts are scored, where they are; ids, languages and bins are shuffled.
         others = cut(known.join(F.broadcast(chosen), "__id", "left_anti").select("__id", "toxic"))
         few = n_known <= MAX_BROADCAST_IDS
