@@ -55,6 +55,12 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that :func:`scratch_folder` gave, or one in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Run ``df`` now and cut its lineage through the shared checkpoint folder."""
     shared_folder(df.sparkSession)

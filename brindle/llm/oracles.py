@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.llm import ball_kmeans, filtering_lloyd
 from brindle.llm.decontamination import IDENTITY, MASKS, SPAN, WINDOW
 from brindle.llm.line_templates import DEPTH, FIXED, LEAST_WORDS, MIN_DOCS
 from brindle.llm.mixing import BLOCK, MOST, SHARE, WEIGHTS
@@ -151,3 +152,41 @@ def op10(shards: tuple[str, ...]) -> str:
     return f"WITH t AS (SELECT string_split('{owners}', ',') AS t) SELECT doc_id, {slot} AS slot, t[{slot} + 1] AS shard FROM documents, t"
 
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def op11() -> str:
+    """Every part compared with every entry of its codebook, round after round."""
+    m = filtering_lloyd
+    nearest = lambda k: f"""a{k} AS MATERIALIZED (SELECT r, part, min(far * {m.ENTRIES} + entry) AS best FROM (SELECT p.r, p.part, b.entry, sum((p.x - b.x) * (p.x - b.x))::BIGINT AS far
+  FROM p JOIN b{k} b USING (part, place) GROUP BY p.r, p.part, b.entry) GROUP BY r, part)"""
+    moved = lambda k: f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce(u.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT part, best % {m.ENTRIES} AS entry, place, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS x
+  FROM a{k} JOIN p USING (r, part) GROUP BY part, best % {m.ENTRIES}, place) u USING (part, entry, place))"""
+    rounds = ",\n ".join(f"{nearest(k)},\n {moved(k)}" for k in range(m.ROUNDS))
+    return rf"""WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor({m.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE {_FINITE}),
+ p AS MATERIALIZED (SELECT r, k // d AS part, k % d AS place, v[k + 1] AS x FROM (SELECT r, v, len(v) // {m.PARTS} AS d, unnest(range(len(v))) AS k FROM e)),
+ b0 AS MATERIALIZED (SELECT part, r AS entry, place, x FROM p WHERE r < {m.ENTRIES}),
+ {rounds},
+ {nearest(m.ROUNDS)},
+ c AS (SELECT r, string_agg(lower(printf('%02x', best % {m.ENTRIES})), '' ORDER BY part) AS code, sum(best // {m.ENTRIES})::BIGINT AS error FROM a{m.ROUNDS} GROUP BY r),
+ h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{m.ROUNDS})
+ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN c USING (r), h"""
+
+
+def op13() -> str:
+    """Every vector compared with every centroid, round after round."""
+    m = ball_kmeans
+    nearest = lambda k: f"""a{k} AS MATERIALIZED (SELECT r, min(far * {m.CLUSTERS} + cluster) AS best FROM (SELECT p.r, c.cluster, sum((p.x - c.x) * (p.x - c.x))::BIGINT AS far
+  FROM p JOIN c{k} c USING (place) GROUP BY p.r, c.cluster) GROUP BY r)"""
+    moved = lambda k: f"""c{k + 1} AS MATERIALIZED (SELECT c.cluster, c.place, coalesce(u.x, c.x) AS x FROM c{k} c LEFT JOIN (SELECT best % {m.CLUSTERS} AS cluster, place, floor(sum(x) / count(*)::DOUBLE)::BIGINT AS x
+  FROM a{k} JOIN p USING (r) GROUP BY best % {m.CLUSTERS}, place) u USING (cluster, place))"""
+    rounds = ",\n ".join(f"{nearest(k)},\n {moved(k)}" for k in range(m.ROUNDS))
+    return rf"""WITH e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{m.SALT}:' || vec_id)) - 1 AS r, vec_id, list_transform(embedding, lambda x: floor({m.SCALE} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {m.DIMENSION} AND {_FINITE}),
+ p AS MATERIALIZED (SELECT r, k AS place, v[k + 1] AS x FROM (SELECT r, v, unnest(range(len(v))) AS k FROM e)),
+ c0 AS MATERIALIZED (SELECT r AS cluster, place, x FROM p WHERE r < {m.CLUSTERS}),
+ {rounds},
+ {nearest(m.ROUNDS)},
+ h AS (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY place)) AS centroid_sha256 FROM c{m.ROUNDS} GROUP BY cluster),
+ s AS (SELECT r, (best % {m.CLUSTERS})::INTEGER AS cluster, best // {m.CLUSTERS} AS distance FROM a{m.ROUNDS})
+ SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256 FROM s JOIN e USING (r) JOIN h USING (cluster)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontamination, html_text, line_templates, minhash, mixing, oracles, quality, secrets, sharding, token_store, toxicity
+from brindle.llm import ball_kmeans, decontamination, filtering_lloyd, html_text, line_templates, minhash, mixing, oracles, quality, secrets, sharding, token_store, toxicity
 from brindle.llm.common import read, scratch_folder
 
 #: Production parameters of the placement query.
@@ -80,8 +80,33 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filtering_lloyd.compress(read(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.clustered(read(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = (
+    op1_bit_plane_tokens,
+    op2_decontamination,
+    op3_quality_rules,
+    op4_secret_scan,
+    op5_source_mix,
+    op6_toxicity,
+    op7_minhash_near_dedup,
+    op8_html_extraction,
+    op9_line_templates,
+    op10_sharding,
+    op11_filtering_lloyd,
+    op13_ball_kmeans,
+)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_bit_plane_tokens, op2_decontamination, op3_quality_rules, op4_secret_scan, op5_source_mix, op6_toxicity, op7_minhash_near_dedup, op8_html_extraction, op9_line_templates, op10_sharding)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql():
@@ -93,4 +118,6 @@ def oracle_sql():
         "op7_minhash_near_dedup": oracles.op7(),
         "op9_line_templates": oracles.op9(),
         "op10_sharding": oracles.op10(SHARDS),
+        "op11_filtering_lloyd": oracles.op11(),
+        "op13_ball_kmeans": oracles.op13(),
     }
