@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import ball_kmeans, decontamination, filtering_lloyd, html_text, line_templates, minhash, mixing, oracles, quality, secrets, sharding, token_store, toxicity
+from brindle.llm import ball_kmeans, decontamination, filtering_lloyd, html_text, line_templates, minhash, mixing, oracles, pii, quality, secrets, sharding, token_store, toxicity
 from brindle.llm.common import read, scratch_folder
 
 #: Production parameters of the placement query.
@@ -85,6 +85,12 @@ def op11_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(read(spark, sf_dir, "documents"))
+    digest = F.sha2(F.col("base_spans").cast("binary"), 256)
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", digest.alias("base_sha256"), "spans", "n_added")
+
+
 def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.clustered(read(spark, sf_dir, "embeddings"))
 
@@ -101,6 +107,7 @@ _QUERIES = (
     op9_line_templates,
     op10_sharding,
     op11_filtering_lloyd,
+    op12_pii_boosting,
     op13_ball_kmeans,
 )
 
