@@ -179,7 +179,8 @@ def variants(kind: int, span: str) -> list[tuple[str, int]]:
     not match, and spoilt ones."""
     if kind == 0:
         local, _, domain = span.partition("@")
-        return [(f"{local} at {domain.replace('.', ' dot ')}", 1), (f"{local}[at]{domain.replace('.', '[dot]')}", 1), (f"{local} (at) {domain}", 1)]
+        word = re.match("[A-Za-z]*", local)[0] or "look"
+        return [(f"{local} at {domain.replace('.', ' dot ')}", 1), (f"{local}[at]{domain.replace('.', '[dot]')}", 1), (f"{local} (at) {domain}", 1), (f"{word} at {domain}", 0)]
     if kind == 1:
         parts = span.split(".")
         return [("[.]".join(parts), 1), (" dot ".join(parts), 1), (".".join(["999", *parts[1:]]), 0), ("[.]".join([*parts[:3], "600"]), 0)]

@@ -95,7 +95,7 @@ PLANTED = [
     (1006, "card 4111.1111.1111.1111 paid", "number"),
     (1007, "card 4111.1111.1111.1112 paid", None),
     (1008, "on 2024-03-15 at noon. the end", None),
-    (1009, "look at the house.", None),
+    (1009, "look at the house, or look at house.example.com", None),
     (1010, "no numbers here", None),
     (1011, "", None),
     (1012, None, None),
