@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import scan
+
 EMOTIONS = ("happy", "sad", "calm")
 
 
@@ -35,33 +37,43 @@ def grand_total(df: DataFrame, columns: Sequence[str] = EMOTIONS) -> Column:
     return F.sum(sum((F.coalesce(F.col(c), F.lit(0.0)) for c in columns[1:]), F.coalesce(F.col(columns[0]), F.lit(0.0)))).cast("bigint")
 
 
-def running_average(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str], name: str = "running") -> DataFrame:
+def running_average(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), name: str = "running", ranges: int | None = None) -> DataFrame:
     """The recursive average ``a_i = (v_i + a_0 + ... + a_(i-1)) / (i + 1)``.
 
     In closed form ``a_i = T_i + v_i / (i + 2)`` for i > 0, with ``T_i`` the
-    running sum of ``v_k / ((k + 1) (k + 2))``: one window, no loop.
+    running sum of ``v_k / ((k + 1) (k + 2))``: two prefix scans over ranges of
+    rows, so a series of any length is spread over tasks. A null value adds nothing
+    and has no average.
     """
-    window = Window.partitionBy(*by).orderBy(*order)
-    i = (F.row_number().over(window) - 1).cast("double")
-    step = df.withColumn("__i", i).withColumn("__step", F.col(value) / ((F.col("__i") + 1) * (F.col("__i") + 2)))
-    so_far = F.sum("__step").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return step.withColumn(name, so_far + F.col(value) / (F.col("__i") + 2)).drop("__i", "__step")
+    s = scan.series(df, order, by, ranges)
+    i = F.col("__i").cast("double")
+    steps = scan.numbered(s, "__i").withColumn("__step", F.col(value) / ((i + 1) * (i + 2)))
+    return scan.running_sum(s, steps, "__step", "__so_far").withColumn(name, F.col("__so_far") + F.col(value) / (i + 2)).select(*(c for c in df.columns if c != name), name)
 
 
-def change_points(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+def change_points(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
     """Rows whose value differs from the one before; before the first it is 0.
 
-    Without ``by`` all rows pass through one task: for summaries only.
+    The row before is looked up within ranges of rows and across their borders:
+    neither a long series nor one without ``by`` passes through one task.
     """
-    window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("__before", F.lag(value, 1, 0).over(window)).where(~F.col(value).eqNullSafe(F.col("__before"))).drop("__before")
+    s = scan.series(df, order, by, ranges)
+    return scan.previous(s, value, "__before", F.lit(0)).where(~F.col(value).eqNullSafe(F.col("__before"))).select(*df.columns)
+
 
+def decayed_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Sum of values weighted from 1 down in equal steps: ``v_i (n - i) / n``.
 
-def decayed_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Sum of values weighted from 1 down in equal steps: ``v_i (n - i) / n``."""
-    window = Window.partitionBy(*by).orderBy(*order)
-    placed = df.withColumn("__i", F.row_number().over(window) - 1).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
-    return placed.groupBy(*by).agg(F.sum(F.col(value) * (F.col("__n") - F.col("__i")) / F.col("__n")).alias("weighted"))
+    A range of rows adds up its values, and its values times their places in it; what
+    lies before the range is known from the ranges' counts, so no row is moved
+    a second time.
+    """
+    s = scan.series(df, order, by, ranges)
+    v = F.col(value).cast("double")
+    parts = s.placed().groupBy(*s.keys).agg(F.count("*").alias("__c"), F.sum(v).alias("__v"), F.sum(v * F.col(scan.PLACE)).alias("__vp"))
+    before = s.earlier(parts.withColumn("__before", F.col("__c")), ["__before"])
+    sums = before.groupBy(*by).agg(F.sum("__c").alias("__n"), F.sum("__v").alias("__s"), F.sum(F.col("__v") * F.col("__before") + F.col("__vp")).alias("__p"))
+    return sums.where(F.col("__n") > 0).select(*by, (F.col("__s") - F.col("__p") / F.col("__n")).alias("weighted"))
 
 
 def means(df: DataFrame, columns: Sequence[str] = EMOTIONS) -> DataFrame:

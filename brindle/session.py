@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
-
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +55,49 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("timestamp") for name in naive}) if naive else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` now and cut its lineage in the folder that ``spark.checkpoint.dir``
-    names. A session on one machine (tests) without one gets a temporary folder,
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as ``spark.checkpoint.dir`` or an earlier call
+    names it. A session on one machine (tests) without one gets a temporary folder,
     removed at exit; on a cluster that is an error, as executors share no local folder."""
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="brindle-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="brindle-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return folder
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the session's JVM ends: what a
+    result is read from must outlive the call that wrote it."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path, files = _path(spark, folder)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all in it."""
+    path, files = _path(spark, folder)
+    files.delete(path, True)
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _path(spark, folder)
+    return files.exists(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Run ``df`` now and cut its lineage through the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
