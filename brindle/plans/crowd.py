@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import timebucket
-from brindle.operators import crowd
+from brindle.operators import crowd, moments
 from brindle.plans.common import Catalogue, r6
-from brindle.session import load
+from brindle.session import load, scratch_folder
 
 catalogue = Catalogue()
 DAY_MS = 86_400_000
@@ -84,3 +84,18 @@ def person_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = F.when(F.col("event_type") != "error", F.struct(F.col("value").alias("Height"), (F.col("value") / 2).alias("Width")))
     records = load(spark, sf_dir, "events").select(timebucket.millis(F.col("ts")).alias("Timestamp"), F.struct(F.col("user_id").alias("Index"), box.alias("BoundingBox")).alias("Person"))
     return crowd.flatten(records)
+
+
+@catalogue.add(
+    """WITH s AS (SELECT user_id, strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, stddev_samp(value) AS sd FROM events GROUP BY ALL)
+ SELECT week, round(avg(sd), 6) AS metric FROM s GROUP BY week"""
+)
+def crowd_metric_by_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly metric from moments that are stored day by day: the last day comes
+    to a store of all others, which are not read again."""
+    days = load(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    last, path = days.agg(F.max("day")).scalar(), scratch_folder(spark, "moments")
+    for part in (days.where(F.col("day") < last), days.where(F.col("day") == last)):
+        moments.add_days(part, path, ["user_id"], "value")
+    week = F.date_format(F.date_trunc("week", F.col("day").cast("timestamp")), "yyyy-MM-dd")
+    return moments.metric(moments.stored(spark, path).withColumn("week", week), "user_id", ["week"]).select("week", r6("metric").alias("metric"))
