@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators import fuzzy
+from brindle.operators import fuzzy, intervals
 from brindle.operators.fuzzy import Domain, FuzzyRule
 from brindle.plans.common import Catalogue, r6
 from brindle.session import load
@@ -118,3 +118,21 @@ def fuzzy_value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     degrees = fuzzy.set_degree(BALANCE.degrees(F.col("c_acctbal")), "rich", F.lit(0.5))
     total = F.element_at("m", "rich") + F.element_at("m", "modest") + F.element_at("m", "solid")
     return load(spark, sf_dir, "customer").select("c_custkey", degrees.alias("m")).select("c_custkey", r6(total).alias("degree"))
+
+
+@catalogue.add(
+    """WITH p AS (SELECT v, lag(v) OVER (ORDER BY v) AS a, lead(v) OVER (ORDER BY v) AS b, row_number() OVER (ORDER BY v) - 1 AS position FROM (SELECT DISTINCT p_retailprice AS v FROM part)),
+ x AS (SELECT l_orderkey, l_linenumber, l_extendedprice / l_quantity * (1 - l_discount) AS x FROM lineitem),
+ m AS (SELECT l_orderkey, l_linenumber, position, CASE WHEN x <= v THEN CASE WHEN a IS NULL THEN 1.0::DOUBLE ELSE (x - a) / (v - a) END WHEN b IS NULL THEN 1.0::DOUBLE ELSE (b - x) / (b - v) END AS degree
+  FROM x JOIN p ON x BETWEEN coalesce(a, '-Infinity'::DOUBLE) AND coalesce(b, 'Infinity'::DOUBLE)),
+ o AS (SELECT * FROM m WHERE degree > 0)
+ SELECT l_orderkey, l_linenumber, count(*) AS n, round(sum(degree), 6) AS degrees, 'price-' || arg_max(position, (round(degree, 6), -position)) AS best FROM o GROUP BY l_orderkey, l_linenumber"""
+)
+def fuzzy_set_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounted unit prices in a domain with a set for every retail price: the sets
+    are a table as long as that of the parts, and are joined by intervals."""
+    sets = intervals.partition_sets(load(spark, sf_dir, "part"), "p_retailprice", "price")
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity") * (1 - F.col("l_discount"))).alias("x"))
+    found = intervals.fuzzify_table(lines, {"price": "x"}, sets, ["l_orderkey", "l_linenumber"])
+    best = F.max_by("set_name", F.struct(r6("degree"), -F.col("position")))
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), r6(F.sum("degree")).alias("degrees"), best.alias("best"))
