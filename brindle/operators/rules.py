@@ -4,6 +4,7 @@ A fact template is a schema and its facts are a DataFrame. A rule matches one or
 more patterns (constants are filters, shared variables are equi-joins), asserts
 new facts and may write a message. :class:`Engine` runs all rules to a fixpoint,
 semi-naively: in each round a rule must use a fact that the last round made.
+:class:`Memory` keeps facts between runs, so that later facts fire only what is new.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import cut
+from brindle.session import cut, drop_folder, exists
+
+#: Counts the matches that made a fact; no slot may have this name.
+SUPPORT = "support"
 
 
 @dataclass(frozen=True)
@@ -100,9 +104,14 @@ def _without(new: DataFrame, old: DataFrame) -> DataFrame:
 
 @dataclass
 class Result:
+    """``new``: the facts of this run by template, those inserted included; ``support``:
+    a derived fact with the number of matches that made it in this run."""
+
     facts: dict[str, DataFrame]
     messages: DataFrame
     rounds: int
+    new: dict[str, DataFrame]
+    support: dict[str, DataFrame]
 
 
 class Engine:
@@ -116,9 +125,18 @@ class Engine:
     def __init__(self, rules: Sequence[Rule], distinct_facts: bool = True, max_rounds: int = 50) -> None:
         self.rules, self.distinct_facts, self.max_rounds = list(rules), distinct_facts, max_rounds
 
-    def run(self, spark: SparkSession, facts: dict[str, DataFrame]) -> Result:
-        known = {t: df.distinct() if self.distinct_facts else df for t, df in facts.items()}
-        delta, messages = dict(known), []
+    def run(self, spark: SparkSession, facts: dict[str, DataFrame], new: dict[str, DataFrame] | None = None) -> Result:
+        """Fire the rules over ``facts``; with ``new``, only where a match uses one of
+        these facts or one made from them: ``facts`` are then known and fired before."""
+        known = {t: df.distinct() if self.distinct_facts and new is None else df for t, df in facts.items()}
+        if new is None:
+            delta = dict(known)
+        else:
+            delta = {t: cut(_without(df.select(*known[t].columns).distinct(), known[t])) for t, df in new.items()}
+            known |= {t: known[t].unionByName(df) for t, df in delta.items()}
+        added: dict[str, list[DataFrame]] = {t: [df] for t, df in delta.items()}
+        derived: dict[str, list[DataFrame]] = {}
+        messages: list[DataFrame] = []
         for turn in range(1, self.max_rounds + 1):
             made: dict[str, list[DataFrame]] = {}
             texts: list[DataFrame] = []
@@ -130,8 +148,8 @@ class Engine:
                     own = [delta[p.template] if i == k else self._old(known, delta, p.template) if i < k else known[p.template] for i, p in enumerate(rule.patterns)]
                     if any(x is None for x in own):
                         continue
-                    new, text = fire(rule, own, known)
-                    for template, df in new.items():
+                    found, text = fire(rule, own, known)
+                    for template, df in found.items():
                         made.setdefault(template, []).append(df)
                     if text is not None:
                         texts.append(text)
@@ -142,17 +160,21 @@ class Engine:
             for template, frames in made.items():
                 all_new = reduce(DataFrame.unionByName, frames)
                 all_new = all_new if self.distinct_facts else cut(all_new)
-                new = cut(_without(all_new.distinct(), known[template]))
-                if not new.isEmpty():
-                    fresh[template] = new
-                    known[template] = known[template].unionByName(new if self.distinct_facts else all_new)
+                derived.setdefault(template, []).append(all_new)
+                novel = cut(_without(all_new.distinct(), known[template]))
+                if not novel.isEmpty():
+                    fresh[template] = novel
+                    known[template] = known[template].unionByName(novel if self.distinct_facts else all_new)
+                    added.setdefault(template, []).append(novel)
             if not fresh:
                 break
             delta = fresh
         else:
             raise RuntimeError(f"no fixpoint after {self.max_rounds} rounds")
         none = spark.createDataFrame([], "rule string, text string")
-        return Result(known, reduce(DataFrame.unionByName, messages, none), turn)
+        union = lambda frames: reduce(DataFrame.unionByName, frames)
+        support = {t: union(frames).groupBy(*known[t].columns).agg(F.count("*").alias(SUPPORT)) for t, frames in derived.items()}
+        return Result(known, reduce(DataFrame.unionByName, messages, none), turn, {t: union(frames) for t, frames in added.items()}, support)
 
     @staticmethod
     def _old(known: dict[str, DataFrame], delta: dict[str, DataFrame], template: str) -> DataFrame | None:
@@ -160,3 +182,66 @@ class Engine:
         if template not in delta:
             return known[template]
         return None if delta[template] is known[template] else _without(known[template], delta[template])
+
+
+class Memory:
+    """A working memory that outlives its runs, as a log in a folder.
+
+    Each insert runs the rules on what is new and appends, under its run number, the
+    facts that were not known, how often each fact was derived, and the
+    messages. The run counts once its mark is written, last of all: what a failed
+    insert left behind is not read and is replaced by the next one. One insert runs
+    at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, rules: Sequence[Rule], templates: dict[str, str], max_rounds: int = 50) -> None:
+        """``templates``: the schema of each, as DDL."""
+        self.spark, self.folder, self.templates = spark, folder, dict(templates)
+        self.engine = Engine(rules, max_rounds=max_rounds)
+
+    def runs(self) -> int:
+        """Finished inserts."""
+        number = 0
+        while exists(self.spark, f"{self.folder}/marks/{number + 1}"):
+            number += 1
+        return number
+
+    def _log(self, kind: str, schema: str, runs: int) -> DataFrame:
+        """The rows of the finished runs, with ``run``."""
+        paths = [p for p in (f"{self.folder}/{kind}/run={k}" for k in range(1, runs + 1)) if exists(self.spark, p)]
+        if not paths:
+            return self.spark.createDataFrame([], f"{schema}, run int")
+        return self.spark.read.schema(f"{schema}, run int").option("basePath", f"{self.folder}/{kind}").parquet(*paths)
+
+    def facts(self, template: str, run: int | None = None) -> DataFrame:
+        """All facts, each once; or those that one run added."""
+        log = self._log(f"facts/{template}", self.templates[template], self.runs())
+        return (log if run is None else log.where(F.col("run") == run)).drop("run")
+
+    def support(self, template: str) -> DataFrame:
+        """Derived facts with the number of matches that made them, over all runs."""
+        log = self._log(f"support/{template}", f"{self.templates[template]}, {SUPPORT} long", self.runs())
+        return log.groupBy(*(c for c in log.columns if c not in (SUPPORT, "run"))).agg(F.sum(SUPPORT).alias(SUPPORT))
+
+    def messages(self) -> DataFrame:
+        """(rule, text, run) of all runs."""
+        return self._log("messages", "rule string, text string", self.runs())
+
+    def insert(self, new: dict[str, DataFrame]) -> int:
+        """Add facts and fire what follows from them; the number of the run. Facts
+        that are known already fire nothing."""
+        number = self.runs() + 1
+        known = {t: self.facts(t) for t in self.templates}
+        empty = {t: self.spark.createDataFrame([], schema) for t, schema in self.templates.items()}
+        result = self.engine.run(self.spark, known, {t: new.get(t, df) for t, df in empty.items()})
+        write = lambda df, kind: df.write.mode("overwrite").parquet(f"{self.folder}/{kind}/run={number}")
+        for t, df in result.new.items():
+            write(df, f"facts/{t}")
+        for t in self.templates:
+            if t in result.support:
+                write(result.support[t], f"support/{t}")
+            else:
+                drop_folder(self.spark, f"{self.folder}/support/{t}/run={number}")
+        write(result.messages, "messages")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.folder}/marks/{number}")
+        return number

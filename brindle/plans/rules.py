@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.rules import Engine, Pattern, Rule, Var
+from brindle.operators.rules import Engine, Memory, Pattern, Rule, Var
 from brindle.plans.common import Catalogue
-from brindle.session import load
+from brindle.session import load, scratch_folder
 
 catalogue = Catalogue()
 
@@ -87,3 +87,42 @@ def rule_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
         "within": spark.createDataFrame([], "`inner` string, `outer` string"),
     }
     return Engine(FIXPOINT).run(spark, facts).facts["within"]
+
+
+#: Facts about nations meet the persons of :data:`TWO_SLOTS`.
+ABROAD = Rule(
+    "abroad",
+    [Pattern("plan", {"plan": Var("plan"), "for_whom": Var("who")}), Pattern("person", {"name": Var("who"), "nation": Var("nation")}), Pattern("nation", {"nation": Var("nation"), "region": Var("region")})],
+    [("delivery", {"region": Var("region"), "plan": Var("plan")})],
+    lambda: F.format_string("%s of %s gets a %s plan.", F.col("who"), F.col("region"), F.col("plan")),
+)
+
+
+def _second_insert(spark: SparkSession, sf_dir: str) -> Memory:
+    """All persons with the nations of some regions, then the other nations."""
+    nations = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
+    late = F.col("region").isin("ASIA", "EUROPE")
+    templates = {"person": "name string, balance string, segment string, nation string", "plan": PLAN, "nation": "nation string, region string", "delivery": "region string, plan string"}
+    memory = Memory(spark, scratch_folder(spark, "memory"), (*TWO_SLOTS, ABROAD), templates)
+    memory.insert({"person": person_facts(spark, sf_dir), "nation": nations.where(~late)})
+    memory.insert({"nation": nations.where(late)})
+    return memory
+
+
+@catalogue.add(
+    f"""{_PLANS}, n AS (SELECT n_name AS nation, r_name AS region, CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 2 ELSE 1 END::INTEGER AS run FROM nation JOIN region ON n_regionkey = r_regionkey)
+ SELECT 1::INTEGER AS run, plan || '-plan' AS rule, for_whom || ' should take the ' || plan || ' plan.' AS text FROM r
+ UNION ALL SELECT run, 'abroad', name || ' of ' || region || ' gets a ' || plan || ' plan.' FROM r JOIN p ON for_whom = name JOIN n ON n.nation = p.nation"""
+)
+def rule_second_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages by run: later facts fire what they are part of, and nothing again."""
+    return _second_insert(spark, sf_dir).messages().select("run", "rule", "text")
+
+
+@catalogue.add(
+    f"""{_PLANS}, n AS (SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)
+ SELECT region, plan, count(*) AS support FROM r JOIN p ON for_whom = name JOIN n ON n.nation = p.nation GROUP BY region, plan"""
+)
+def rule_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived facts with the number of matches behind them, over both inserts."""
+    return _second_insert(spark, sf_dir).support("delivery")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.operators.rules import Engine, Pattern, Rule, Var
+from brindle.operators.rules import Engine, Memory, Pattern, Rule, Var
 
 PERSON = "name string, height string, color string, shape string"
 BAG = "size string, for_whom string"
@@ -77,3 +77,41 @@ def test_round_limit_and_unjoined_patterns(spark):
     bad = Rule("bad", [Pattern("edge", {"a": Var("x")}), Pattern("edge", {"b": Var("y")})])
     with pytest.raises(ValueError):
         Engine([bad]).run(spark, {"edge": edges})
+
+
+TEMPLATES = {"edge": "a int, b int", "path": "a int, b int"}
+
+
+def test_later_facts_fire_no_old_match(spark, tmp_path):
+    memory = Memory(spark, f"{tmp_path}/m", edge_rules(), TEMPLATES)
+    first, second = [(1, 2), (2, 3), (5, 5)], [(3, 1), (3, 4), (1, 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "a int, b int")
+    assert memory.runs() == 0 and memory.facts("path").count() == 0 and memory.messages().count() == 0
+    assert memory.insert({"edge": frame(first)}) == 1
+    assert [(r.text, r.run) for r in memory.messages().collect()] == [("loop at 5", 1)]
+    assert memory.insert({"edge": frame(second)}) == 2
+    whole = Engine(edge_rules()).run(spark, {"edge": frame(first + second), "path": frame([])})
+    for template in TEMPLATES:
+        assert sorted(memory.facts(template).collect()) == sorted(whole.facts[template].collect())
+        assert memory.facts(template).distinct().count() == memory.facts(template).count()
+    assert sorted(r.text for r in memory.messages().collect()) == sorted(r.text for r in whole.messages.collect())
+    assert sorted((r.text, r.run) for r in memory.messages().collect() if r.run == 2) == [(f"loop at {k}", 2) for k in (1, 2, 3)]
+    # Every match counts once, whichever run found it.
+    assert sorted(memory.support("path").collect()) == sorted(whole.support["path"].collect())
+    # Known facts fire nothing; another session goes on from the folder.
+    again = Memory(spark, f"{tmp_path}/m", edge_rules(), TEMPLATES)
+    assert again.insert({"edge": frame(first), "path": frame([(1, 3)])}) == 3
+    assert again.facts("edge", 3).count() == again.facts("path", 3).count() == again.messages().where("run = 3").count() == 0
+
+
+def test_a_failed_insert_is_not_read(spark, tmp_path):
+    memory = Memory(spark, f"{tmp_path}/m", edge_rules(), TEMPLATES)
+    frame = lambda rows: spark.createDataFrame(rows, "a int, b int")
+    memory.insert({"edge": frame([(1, 2)])})
+    # Written, but killed before its mark.
+    frame([(7, 8)]).write.parquet(f"{tmp_path}/m/facts/path/run=2")
+    frame([(7, 8)]).selectExpr("*", "1L as support").write.parquet(f"{tmp_path}/m/support/path/run=2")
+    assert sorted(map(tuple, memory.facts("path").collect())) == [(1, 2)]
+    assert memory.insert({"edge": frame([(2, 3)])}) == 2
+    assert sorted(map(tuple, memory.facts("path").collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert sorted(map(tuple, memory.support("path").collect())) == [(1, 2, 1), (1, 3, 1), (2, 3, 1)]
