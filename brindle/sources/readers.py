@@ -127,13 +127,27 @@ def page_union(pages: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _client(options: dict) -> Callable:
+def import_function(path: str) -> Callable:
+    """The function of an importable ``module:function``."""
     import importlib
 
-    module, _, name = options["client"].partition(":")
+    module, _, name = path.partition(":")
     return getattr(importlib.import_module(module), name)
 
 
+def filters_reach_sources(spark: SparkSession) -> str:
+    """Whether the session hands filters to Python sources; a source that takes them
+    fails where it does not."""
+    return (spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") or "false").lower()
+
+
+def every_plan_filtered(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with a filter that holds for every row. Spark keeps the partitions of a
+    Python source from plan to plan and makes new ones only for a plan that has
+    filters: without this one a frame would give the rows of its last filtered use."""
+    return df.where(F.col(column).isNotNull())
+
+
 class _Page(InputPartition):
     def __init__(self, token: int) -> None:
         super().__init__(token)
@@ -165,8 +179,7 @@ class _PagedReader(DataSourceReader):
         return [_Page(k) for k in range(int(self.options.get("pages", 1)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from _client(self.options)(partition.value)
-
+        yield from import_function(self.options["client"])(partition.value)
 
 
 class TokenPagedRecords(DataSource):
@@ -195,7 +208,7 @@ class _TokenPagedReader(DataSourceReader):
         self.options = options
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        client, token = _client(self.options), None
+        client, token = import_function(self.options["client"]), None
         for _ in range(int(self.options.get("most_pages", 1_000_000))):
             rows, token = client(token)
             yield from rows

@@ -31,6 +31,32 @@ def text_report(df: DataFrame, column: str, path: str) -> None:
     df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def ordered_text(df: DataFrame, column: str, order: Sequence[str], path: str, parts: int | None = None) -> DataFrame:
+    """Write rows in order as the lines of one text that lies in parts; the parts' index.
+
+    Rows are dealt out by ranges of ``order``, so each task writes a stretch of the
+    text and none sees it whole. The files one after another, by ``part``, are the
+    text: every row with a line break after it. The index (part, file, offset, bytes)
+    is also written beside them; with it a reader finds any byte of the text without
+    reading what lies before. A null row is an empty line; rows of equal ``order``
+    keep either order. No rows make a text without bytes.
+    """
+    spark = df.sparkSession
+    number = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(number, *order).sortWithinPartitions(*order)
+    dealt.select(F.coalesce(F.col(column), F.lit("")).alias("value")).write.mode("overwrite").text(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    files = sorted((f.getPath().getName(), f.getLen()) for f in listed if f.getPath().getName().startswith("part-"))
+    rows, offset = [], 0
+    for k, (name, size) in enumerate(files):
+        rows.append((k, name, offset, size))
+        offset += size
+    index = spark.createDataFrame(rows, "part int, file string, offset long, bytes long").coalesce(1)
+    index.write.mode("overwrite").json(f"{path}/_index")
+    return index
+
+
 def html_name(slug):
     """File name of a topic's page: a column of names."""
     return F.concat(F.replace(slug, F.lit("feeds_"), F.lit("")), F.lit("_summaries.html"))
