@@ -102,6 +102,53 @@ def _without(new: DataFrame, old: DataFrame) -> DataFrame:
     return new.join(old.toDF(*names), reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(o)) for c, o in zip(new.columns, names, strict=True))), "left_anti")
 
 
+def _closure(spark: SparkSession, template: str, base: DataFrame, rules: Sequence[Rule], known: dict[str, DataFrame], max_depth: int) -> DataFrame:
+    """``base`` with all that linear rules make of it, as a recursive query."""
+    columns = [f"`{c}`" for c in base.columns]
+    frames, steps = {"base": base}, []
+    for n, rule in enumerate(rules):
+        if sum(p.template == template for p in rule.patterns) > 1:
+            raise ValueError(f"{rule.name}: two patterns of {template} are no linear rule: use run")
+        joined, bound = "", set()
+        # The growing facts first, then what they meet.
+        for k, pattern in enumerate(sorted(rule.patterns, key=lambda p: p.template != template)):
+            if pattern.template == template:
+                slots = {slot: v for slot, v in pattern.slots.items()}
+                names = {v.name: slot for slot, v in reversed(slots.items()) if isinstance(v, Var)}
+                tests = [f"`{slot}` = {_literal(v)}" for slot, v in slots.items() if not isinstance(v, Var)]
+                tests += [f"`{slot}` = `{names[v.name]}`" for slot, v in slots.items() if isinstance(v, Var) and names[v.name] != slot]
+                chosen = ", ".join([f"`{slot}` AS `{name}`" for name, slot in names.items()] or ["true AS `__matched`"])
+                joined = f"(SELECT {chosen} FROM growing WHERE {' AND '.join(tests) or 'true'})"
+            else:
+                found = match(known[pattern.template], pattern)
+                names = {c: c for c in found.columns}
+                frames[f"met_{n}_{k}"] = found
+                shared = [c for c in names if c in bound]
+                if not shared:
+                    raise ValueError(f"{rule.name}: a pattern shares no variable with those before it")
+                joined += f" JOIN {{met_{n}_{k}}} USING ({', '.join(f'`{c}`' for c in shared)})"
+            if pattern.whole:
+                raise ValueError(f"{rule.name}: a whole fact is no variable of a recursive query: use run")
+            bound |= set(names)
+        for made, slots in rule.asserts:
+            if made == template:
+                values = [f"CAST({_literal(slots.get(c))} AS {t})" for c, t in base.dtypes]
+                steps.append(f"SELECT {', '.join(values)} FROM {joined}")
+    text = f"WITH RECURSIVE growing({', '.join(columns)}) MAX RECURSION LEVEL {max_depth} AS (SELECT {', '.join(columns)} FROM {{base}} UNION ALL ({' UNION ALL '.join(steps)})) SELECT DISTINCT * FROM growing"
+    return spark.sql(text, **frames)
+
+
+def _literal(x: object) -> str:
+    """A variable or constant as SQL."""
+    if isinstance(x, Var):
+        return f"`{x.name}`"
+    if x is None or isinstance(x, (bool, int)):
+        return "NULL" if x is None else str(x)
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    raise ValueError(f"{x!r} is no constant of a recursive query: use run")
+
+
 @dataclass
 class Result:
     """``new``: the facts of this run by template, those inserted included; ``support``:
@@ -176,6 +223,32 @@ class Engine:
         support = {t: union(frames).groupBy(*known[t].columns).agg(F.count("*").alias(SUPPORT)) for t, frames in derived.items()}
         return Result(known, reduce(DataFrame.unionByName, messages, none), turn, {t: union(frames) for t, frames in added.items()}, support)
 
+    def plan(self, spark: SparkSession, facts: dict[str, DataFrame], max_depth: int = 1000) -> Result:
+        """The facts and messages of :meth:`run` as one plan: no rounds, nothing written.
+
+        For rule sets without recursion, or where a template's facts are made from
+        facts of the same template by rules with one pattern of it each, which
+        assert variables and constants alone: these become a recursive query. Such
+        facts must not go round in circles: more than ``max_depth`` steps are an
+        error when the result is used. Other rule sets are an error here; they need
+        rounds. Equal facts are one.
+        """
+        makers: dict[str, list[Rule]] = {t: [r for r in self.rules if any(a == t for a, _ in r.asserts)] for t in facts}
+        needs = {t: {p.template for r in rules for p in r.patterns} for t, rules in makers.items()}
+        known: dict[str, DataFrame] = {}
+        while len(known) < len(facts):
+            ready = [t for t in facts if t not in known and needs[t] <= {t, *known}]
+            if not ready:
+                raise ValueError(f"rules on {sorted(set(facts) - set(known))} make facts for each other: use run")
+            for t in ready:
+                again = [r for r in makers[t] if any(p.template == t for p in r.patterns)]
+                made = [fire(r, [known[p.template] for p in r.patterns], facts)[0][t] for r in makers[t] if r not in again]
+                base = reduce(DataFrame.unionByName, made, facts[t]).distinct()
+                known[t] = _closure(spark, t, base, again, known, max_depth) if again else base
+        texts = [fire(r, [known[p.template] for p in r.patterns], facts)[1] for r in self.rules if r.message]
+        none = spark.createDataFrame([], "rule string, text string")
+        return Result(known, reduce(DataFrame.unionByName, texts, none), 1, known, {})
+
     @staticmethod
     def _old(known: dict[str, DataFrame], delta: dict[str, DataFrame], template: str) -> DataFrame | None:
         """Facts from before the last round."""

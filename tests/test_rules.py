@@ -115,3 +115,41 @@ def test_a_failed_insert_is_not_read(spark, tmp_path):
     assert memory.insert({"edge": frame([(2, 3)])}) == 2
     assert sorted(map(tuple, memory.facts("path").collect())) == [(1, 2), (1, 3), (2, 3)]
     assert sorted(map(tuple, memory.support("path").collect())) == [(1, 2, 1), (1, 3, 1), (2, 3, 1)]
+
+
+def linear_rules():
+    return [
+        Rule("base", [Pattern("edge", {"a": Var("x"), "b": Var("y")})], [("path", {"a": Var("x"), "b": Var("y")})]),
+        Rule("step", [Pattern("edge", {"a": Var("y"), "b": Var("z")}), Pattern("path", {"a": Var("x"), "b": Var("y")})], [("path", {"a": Var("x"), "b": Var("z")})]),
+        Rule("twin", [Pattern("path", {"a": Var("x"), "b": 4}), Pattern("edge", {"a": Var("x"), "b": Var("y")})], [("path", {"a": Var("x"), "b": 40})]),
+        Rule("end", [Pattern("path", {"a": Var("x"), "b": 4})], [("ends", {"a": Var("x"), "note": "it's a \\ end"})], lambda: F.format_string("%s ends", F.col("x"))),
+    ]
+
+
+def test_one_plan_gives_the_facts_of_the_rounds(spark):
+    edges = [(1, 2), (2, 3), (3, 4), (1, 3), (None, 1), (7, 8)]
+    facts = {"edge": spark.createDataFrame(edges, "a int, b int"), "path": spark.createDataFrame([(9, 1)], "a int, b int"), "ends": spark.createDataFrame([], "a int, note string")}
+    whole, plan = Engine(linear_rules()).run(spark, facts), Engine(linear_rules()).plan(spark, facts)
+    for template in facts:
+        assert sorted(map(str, plan.facts[template].collect())) == sorted(map(str, whole.facts[template].collect()))
+    assert sorted(r.text for r in plan.messages.collect()) == sorted(r.text for r in whole.messages.collect())
+    # Without recursion: two rules, and a rule on what they make.
+    rules = [bag_rule("large", {"height": "tall", "shape": "rectangular"}), bag_rule("small", {"height": "petite", "shape": "rectangular"}), CASCADE]
+    for got in (Engine(rules).run(spark, facts_of(spark)), Engine(rules).plan(spark, facts_of(spark))):
+        assert sorted(map(tuple, got.facts["bag"].collect())) == [("large", "Ada"), ("small", "Bea")] and got.messages.count() == 4
+
+
+def facts_of(spark):
+    return facts(spark, PEOPLE)
+
+
+def test_rule_sets_that_need_rounds(spark):
+    empty = {"edge": spark.createDataFrame([(1, 2), (2, 1)], "a int, b int"), "path": spark.createDataFrame([], "a int, b int")}
+    with pytest.raises(ValueError, match="two patterns"):
+        Engine(edge_rules()).plan(spark, empty)
+    there = Rule("there", [Pattern("edge", {"a": Var("x"), "b": Var("y")})], [("path", {"a": Var("x"), "b": Var("y")})])
+    back = Rule("back", [Pattern("path", {"a": Var("x"), "b": Var("y")})], [("edge", {"a": Var("y"), "b": Var("x")})])
+    with pytest.raises(ValueError, match="each other"):
+        Engine([there, back]).plan(spark, empty)
+    with pytest.raises(Exception, match="RECURSION_LEVEL"):
+        Engine(linear_rules()[:2]).plan(spark, empty, max_depth=20).facts["path"].collect()
