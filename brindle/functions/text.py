@@ -24,6 +24,11 @@ def capitalise_first(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substr(text, F.lit(2)))
 
 
+def upper_case(text: Column) -> Column:
+    """The whole text in upper case."""
+    return F.upper(text)
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -21,6 +21,7 @@ MOST_ROWS = 1000
 ATTEMPTS = 5
 RECENT_HOURS = 24
 
+#: Fixed value: what stands before a report's title.
 HEADING = "# Daily Article Summaries:  *"
 
 SUMMARY = "title string, link string, publish_date string, summary array<string>, tags array<string>"
@@ -169,7 +170,12 @@ def check_echo(summaries: DataFrame, articles: DataFrame, keys: Sequence[str] =
 
 
 def sorted_tags(tags: Column) -> Column:
-    return F.array_join(F.array_sort(F.transform(tags, lambda t: text.strip(text.escape_markdown(t)))), ", ")
+    """Tags escaped, in order and joined. Those that hold nothing to escape or strip, as
+    one look at all of them tells, are left as they are."""
+    special = "".join("\\" + c for c in text.MARKDOWN_SPECIAL)
+    odd = F.array_join(tags, "").rlike(rf"(?U)[{special}$\s]")
+    shaped = F.when(odd, F.transform(tags, lambda t: text.strip(text.escape_markdown(t)))).otherwise(tags)
+    return F.array_join(F.array_sort(shaped), ", ")
 
 
 def article_section(title: Column, link: Column, summary: Column, tags: Column, publish_date: Column) -> Column:

@@ -276,7 +276,33 @@ def llm_topic_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.groupBy("source").agg(F.concat(total("title"), F.lit(" articles")).alias("title"), F.min(F.col("link").cast("bigint")).cast("string").alias("link"), total("publish_date").alias("publish_date"))
 
 
-@catalogue.add()
+def _markdown_sql(page: str) -> str:
+    """Markdown of a page by the grammar of the given pages: one replacement a rule."""
+    steps = (
+        (r"(?s)<head>.*?</head>|<script>.*?</script>|<!--.*?-->|<!DOCTYPE[^>]*>", ""),
+        (r"\s+", " "),
+        (r'<a href="([^"]*)">([^<]*)</a>', r"[\2](\1)"),
+        (r"<h1>", r"\n\n# "),
+        (r"</?b>", "**"),
+        (r"<br>", r"\n"),
+        (r"<li>", r"\n* "),
+        (r"</?(p|ul)>|<(article|div)[^>]*>|</h1>", r"\n\n"),
+        (r"<[^>]+>", ""),
+        (r"&copy;", "©"),
+        (r"&middot;", "·"),
+        (r"&quot;", '"'),
+        (r"&amp;?", "&"),
+        (r" *\n *", r"\n"),
+        (r"\n{3,}", r"\n\n"),
+        (r"^\s+|\s+$", ""),
+    )
+    for pattern, new in steps:
+        quoted = " || chr(10) || ".join(f"'{part}'" for part in new.split(r"\n")) if r"\n" in new else f"'{new}'"
+        page = f"regexp_replace({page}, '{pattern}', {quoted}, 'g')"
+    return page
+
+
+@catalogue.add(f"SELECT page_id, {_markdown_sql('html')} AS markdown FROM pages")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", html.html_to_markdown("html").alias("markdown"))
 
@@ -297,6 +323,40 @@ def markdown_to_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", html.markdown_to_html(F.concat(F.lit("# Document\n\n"), text.escape_markdown(F.col("text")))).alias("html"))
 
 
+@catalogue.add(
+    f"""SELECT 'page ' || page_id AS item, md5({_markdown_sql("html")}) AS content FROM pages
+ UNION ALL SELECT 'turn ' || conv_id || ':' || turn, md5(text) FROM conversations"""
+)
+def content_by_type_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched content of two types: pages become Markdown, turns of conversations,
+    which are plain text, stay as they are."""
+    pages = load(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("item"), F.col("html").alias("raw"), F.lit("text/html; charset=utf-8").alias("type"))
+    turns = load(spark, sf_dir, "conversations").select(F.concat(F.lit("turn "), "conv_id", F.lit(":"), "turn").alias("item"), F.col("text").alias("raw"), F.lit("text/plain").alias("type"))
+    kind = F.split_part("type", F.lit(";"), F.lit(1))
+    fetched = pages.unionByName(turns).withColumn("content", report.html_only_when(F.col("raw"), kind, html.html_to_markdown("raw")))
+    return fetched.select("item", F.md5(F.col("content").cast("binary")).alias("content"))
+
+
+@catalogue.add(
+    """SELECT doc_id, '<h2><a href="http://x/' || doc_id || '">' || source || ' ' || doc_id || '</a></h2>' || chr(10) || '<p>Two' || chr(10) || 'lines of <em>' || lang || '</em></p>' || chr(10)
+ || '<ul>' || chr(10) || '<li><strong>' || n_chars || '</strong> characters &amp; &lt;more&gt;</li>' || chr(10) || '<li>a <strong>b</strong> <em>c</em> <a href="u/' || lang || '">' || lang || '</a></li>' || chr(10) || '</ul>' || chr(10)
+ || '<h3>Costs</h3>' || chr(10) || '<p>$' || doc_id || ' or $$1</p>' || chr(10) || '<ul>' || chr(10) || '<li>last</li>' || chr(10) || '</ul>' AS html FROM documents"""
+)
+def markdown_report_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report entry a document: headers, lists, emphasis, links, escaped dollars."""
+    lines = (
+        "## [%1$s %2$s](http://x/%2$s)\n\nTwo\nlines of *%3$s*\n\n* **%4$s** characters & <more>\n* a **b** *c* [%3$s](u/%3$s)\n\n"
+        "### Costs\n\\$%2$s or \\$\\$1\n\n\n* last\n"
+    )
+    entry = F.format_string(lines, F.col("source"), F.col("doc_id").cast("string"), F.col("lang"), F.col("n_chars").cast("string"))
+    return _documents(spark, sf_dir).select("doc_id", html.markdown_to_html(entry).alias("html"))
+
+
+@catalogue.add("SELECT DISTINCT upper(source) AS banner, upper(lang) AS lang FROM documents")
+def topic_banner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(text.upper_case(F.col("source")).alias("banner"), text.upper_case(F.col("lang")).alias("lang")).distinct()
+
+
 @catalogue.add("SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{s}', '{t}', '{s.removeprefix('feeds_')}_summaries.html')" for k, (s, t) in enumerate(TOPICS)) + ") AS v(position, slug, title, file) ORDER BY position")
 def topics_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.sources.sinks import html_name

@@ -244,3 +244,24 @@ def test_type_and_required_rows(spark):
     assert report.require_rows(df, "rows") is df
     with pytest.raises(ValueError, match="no rows left"):
         report.require_rows(df.limit(0), "rows")
+
+
+def test_rows_of_a_relational_table(spark, tmp_path):
+    """Appended twice to a database that Spark brings along."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(1, 0.5, dt.datetime(2024, 1, 1)), (2, None, dt.datetime(2024, 1, 2))], "interval long, metric double, ts timestamp")
+    for _ in range(2):
+        sinks.jdbc(rows, url, "movement", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    got = spark.read.format("jdbc").options(url=url, dbtable="movement", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").load()
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == sorted(tuple(r) for r in rows.union(rows).collect())
+
+
+def test_upper_case(spark):
+    assert one(spark, "Straße é", text.upper_case) == "STRASSE É"
+    assert [one(spark, None, text.upper_case), one(spark, "", text.upper_case)] == [None, ""]
+
+
+def test_tags_with_and_without_special_characters(spark):
+    df = spark.createDataFrame([(1, ["b", "a c", " d* "]), (2, ["b", "a"]), (3, []), (4, None), (5, ["é", None, "z"])], "k int, t array<string>")
+    got = {r.k: r.x for r in df.select("k", report.sorted_tags(F.col("t")).alias("x")).collect()}
+    assert got == {1: "a c, b, d\\*", 2: "a, b", 3: "", 4: None, 5: "z, é"}
