@@ -5,12 +5,16 @@ its characters outside links. Lines of elements that are never part of an
 article (menus, forms, adverts, comments ...) weigh nothing and end a window.
 Weights are summed over a sliding window of lines; the distribution surges
 where text starts and dives where it ends. The heaviest surge-to-dive stretch is
-the core. Lines outside the element that the core lies in then weigh nothing
-either, and what the page is left with is the text between the surges and the
-dives of that second distribution, and nothing else.
+the core.
 
-Tags only set weights. All steps are linear in the size of the page, however
-deep, unclosed or broken its markup is.
+An element that holds the core as its article is taken with all its lines, lists of
+links included. Where no element tells the article from the rest of the page, as on
+pages of plain ``div``s, the surge and the dive of the core are its ends: what
+lies outside is no text unless it is marked up as such, and light lines at the ends, like
+those of a menu above or a notice below, are cut off.
+
+All steps are linear in the size of the page, however deep, unclosed or broken its
+markup is.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from pyspark.sql import types as T
 WINDOW = 3
 #: The core's windows surge at this share of the fullest window.
 SURGE = 0.3
+#: On pages whose elements do not tell, the text around the core dives at this share.
+DIVE = 0.1
 #: Share of the core's weight that the chosen element must hold.
 HELD = 0.8
 
@@ -44,6 +50,14 @@ MARKS = frozenset(
     " reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription signup popup modal overlay login search widget"
     " pagination pager skip hidden".split()
 )
+#: Marks that a class of any words may end with.
+PAID = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies gdpr".split())
+#: Words that may stand beside those in a class of several words. A class with any other
+#: word, such as ``search-history``, names what a text is about.
+BESIDE_MARKS = frozenset(
+    "area bar block body bottom box boxes button buttons col column container content count counter field fields global group icon icons inner item items left link links list lists main"
+    " module nav outer page panel post posts primary right row secondary section site slot small text title toggle top unit wide wrap wrapper zone".split()
+)
 #: Marks that hold whatever the element holds.
 CERTAIN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr comment comments disqus reply replies respond hidden".split())
 #: First words of a class that says what is beside the text, and last words of one that names a whole page.
@@ -67,7 +81,11 @@ _MAIN = frozenset(("article", "main"))
 _NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 _QUOTE_OR_END = re.compile(r"""['">]""")
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_UNSEEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?![\w-])", re.I)
+_UNSEEN = re.compile(r"""(?:^|\s)(?:hidden\s*=\s*(?:"(?!false")|'(?!false')|(?!["']|false\b))|aria-hidden\s*=\s*["']?true\b|style\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)display\s*:\s*none)""", re.I)
+#: What a sentence ends with.
+_ENDS = tuple(".!?…:;\"'”’»)]。！？")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: How surely an element is no article text.
@@ -201,7 +219,7 @@ def _mark(name: str, attributes: str, inside_article: bool) -> int:
         return _NOT if inside_article else _SURE
     if not attributes or name in ("html", "body"):
         return _NOT
-    if _UNSEEN.search(attributes):
+    if _UNSEEN.search(attributes) or _HIDDEN.search(_VALUE.sub("", attributes)):
         return _CERTAIN
     out, tokens = _NOT, [[w.lower() for w in _PARTS.findall(t)] for m in _NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()]
     about = {w for t in tokens for w in t}
@@ -211,6 +229,8 @@ def _mark(name: str, attributes: str, inside_article: bool) -> int:
         if not words or words[0] in BESIDE or words[-1] in PAGES:
             continue
         ends = {words[0], words[-1]} & MARKS
+        if words[-1] not in PAID and not {w for w in words if len(w) > 1} <= MARKS | BESIDE_MARKS:
+            continue
         if inside_article or about & {"article", "post", "entry", "content", "story"}:
             ends -= {"header"}
         if ends:
@@ -288,12 +308,14 @@ def _lines(page: str) -> _Page:
     return out
 
 
-def stretches(weights: Sequence[int | None], share: float) -> list[tuple[int, int]]:
+def stretches(weights: Sequence[int | None], share: float, firm: Sequence[bool] | None = None) -> list[tuple[int, int]]:
     """The surge-to-dive stretches [first, last) of a distribution of line weights.
 
     A window sums the weights of up to ``WINDOW`` lines and does not reach over
     a line of weight None. It surges at ``share`` of the fullest window, or at any
-    weight. A stretch goes from the first to the last weighty line of its windows.
+    weight. A stretch goes from the first to the last weighty line of its windows;
+    with ``firm`` from the first to the last one that is firm or weighs a line's
+    part of the core's surge, so light lines that a window only reaches are outside.
     """
     runs, first = [], None
     for k, w in enumerate([*weights, None]):
@@ -305,7 +327,8 @@ def stretches(weights: Sequence[int | None], share: float) -> list[tuple[int, in
             first = k
     total = [0, *accumulate(w or 0 for w in weights)]
     window = lambda k, end: total[min(k + WINDOW, end)] - total[k]
-    least = max(1.0, share * max((window(k, end) for first, end in runs for k in range(first, end)), default=0))
+    fullest = max((window(k, end) for first, end in runs for k in range(first, end)), default=0)
+    least, heavy = max(1.0, share * fullest), SURGE * fullest / WINDOW
     out = []
     for first, end in runs:
         k = first
@@ -321,8 +344,15 @@ def stretches(weights: Sequence[int | None], share: float) -> list[tuple[int, in
                 surge += 1
             while not weights[dive - 1]:
                 dive -= 1
-            out.append((surge, dive))
-            k = max(k, dive)
+            after = dive
+            if firm is not None:
+                while surge < dive and (weights[surge] or 0) < heavy and not firm[surge]:
+                    surge += 1
+                while surge < dive and (weights[dive - 1] or 0) < heavy and not firm[dive - 1]:
+                    dive -= 1
+            if surge < dive:
+                out.append((surge, dive))
+            k = max(k, after)
     return out
 
 
@@ -344,10 +374,14 @@ def _element(page: _Page, core: tuple[int, int], weights: Sequence[int | None])
     for h in range(1, len(page.names)):
         if held[h]:
             looks.setdefault(page.parents[h], Counter())[page.looks[h]] += 1
+    n_lines = Counter(page.holders)
     while True:
         parent = page.parents[best]
-        if page.names[best] in _WHOLE or page.names[parent] in _WHOLE:
+        if page.names[best] in _WHOLE:
             return best
+        if page.names[parent] in _WHOLE:
+            # One line among others of its kind is a paragraph, not the article's element.
+            return parent if n_lines[best] == 1 and looks[parent][page.looks[best]] > 1 else best
         if not has_text[parent] and looks[parent][page.looks[best]] < 2:
             return best
         best = parent
@@ -365,7 +399,8 @@ def main_text(page: str | None) -> str:
     if not any(w for w, h in zip(own, lines.holders, strict=True) if not left_out[h]):
         own = [len(t) for t in lines.texts]
     weights: list[int | None] = [None if left_out[h] else w for w, h in zip(own, lines.holders, strict=True)]
-    found = stretches(weights, SURGE)
+    firm = [t in _PROSE or (x.endswith(_ENDS) and not x.startswith("©")) for t, x in zip(lines.tags, lines.texts, strict=True)]
+    found = stretches(weights, SURGE, firm)
     if not found:
         return ""
     in_main = lines.inside([name in _MAIN for name in lines.names])
@@ -373,14 +408,30 @@ def main_text(page: str | None) -> str:
     core = max(found, key=lambda s: (mass[s[1]] - mass[s[0]], -s[0]))
     chosen = _element(lines, core, weights)
     if lines.names[chosen] in _WHOLE:
+        core = _joined(stretches(weights, DIVE, firm), core, weights)
         # Beside the core, only what is marked up as text.
         weights = [w if core[0] <= k < core[1] or (lines.tags[k] in _PROSE and 2 * lines.plain[k] >= len(lines.texts[k])) else None for k, w in enumerate(weights)]
     else:
+        # All of the element's lines count with all their characters, links included.
         inside = lines.inside([h == chosen for h in range(len(lines.names))])
-        weights = [w if inside[h] else None for w, h in zip(weights, lines.holders, strict=True)]
+        weights = [None if w is None or not inside[h] else len(lines.texts[k]) for k, (w, h) in enumerate(zip(weights, lines.holders, strict=True))]
     return " ".join(lines.texts[k] for first, last in stretches(weights, 0) for k in range(first, last))
 
 
+def _joined(found: Sequence[tuple[int, int]], core: tuple[int, int], weights: Sequence[int | None]) -> tuple[int, int]:
+    """The core with the stretches over it, and those beside it that a window's few light
+    lines part from it."""
+    first, last = core
+    near = lambda a, b: b - a <= WINDOW and None not in weights[a:b]
+    for s, e in found:
+        if e > last and near(last, s):
+            last = e
+    for s, e in reversed(found):
+        if s < first and near(e, first):
+            first = s
+    return first, last
+
+
 @F.pandas_udf(T.StringType())
 def _main_texts(pages: pd.Series) -> pd.Series:
     return pages.map(main_text)
@@ -389,7 +440,9 @@ def _main_texts(pages: pd.Series) -> pd.Series:
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text in ``text_col``, which replaces a column of that name.
 
-    A null or empty page, or one whose text is all menus and the like, has ''.
-    Rows are independent: nothing is shuffled.
+    A null or empty page, or one whose text is all menus and the like, has ''. Rows
+    are independent, repeated ones get the same text, and nothing is shuffled; an empty
+    table stays empty. Pages of any length are read whole, in linear time; other columns
+    stay as they are.
     """
     return pages.withColumn(text_col, _main_texts(F.col(f"`{html_col}`").cast("string")))

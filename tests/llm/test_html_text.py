@@ -136,7 +136,7 @@ def test_pages_of_the_table(spark):
         assert main_text(page) == " ".join(" ".join(b.split()) for b in parser.blocks if b.split()), key
 
 
-@pytest.mark.parametrize("other", [lambda w, share: [(0, len(w))], lambda w, share: [(k := max(range(len(w)), key=lambda i: w[i] or 0), k + 1)], lambda w, share: []])
+@pytest.mark.parametrize("other", [lambda w, share, firm=None: [(0, len(w))], lambda w, share, firm=None: [(k := max(range(len(w)), key=lambda i: w[i] or 0), k + 1)], lambda w, share, firm=None: []])
 def test_the_distribution_decides(spark, monkeypatch, other):
     own = {key: main_text(page) for key, page in pages(spark)}
     monkeypatch.setattr(html_text, "stretches", other)
@@ -152,3 +152,79 @@ def test_hostile_pages_take_linear_time(unit):
     start = time.process_time()
     main_text(page)
     assert time.process_time() - start < 8
+
+
+def lines_of(rng, n, low, high):
+    words = "stone river cloud green house paper light metal forest window".split()
+    return [(" ".join(rng.choice(words) for _ in range(rng.randrange(low, high)))).capitalize() for _ in range(n)]
+
+
+def plain_pages(n=200):
+    """(page, article) of pages of plain elements: nothing marks menus above and notices below."""
+    rng, out = random.Random(11), []
+    for k in range(n):
+        menu, foot = lines_of(rng, rng.randrange(1, 9), 1, 3), lines_of(rng, rng.randrange(1, 6), 2, 4)
+        text = [line + "." for line in lines_of(rng, rng.randrange(2, 9), 30, 90)]
+        # Short lines inside: headings and remarks.
+        for line in lines_of(rng, rng.randrange(0, 4), 1, 4):
+            text.insert(rng.randrange(1, len(text)), line)
+        tags = {"menu": "div", "text": ("div", "p")[k % 2], "foot": "div"}
+        own = lambda rows, kind: "".join(f"<{tags[kind]}>{r}</{tags[kind]}>" for r in rows)  # noqa: E731, B023
+        out.append((f"<html><body>{own(menu, 'menu')}{own(text, 'text')}{own([*foot, '© 2024 Site'], 'foot')}</body></html>", " ".join(text)))
+    return out
+
+
+def test_unmarked_menus_and_notices_are_cut_off():
+    for page, want in plain_pages():
+        assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    ("name", "value", "share"),
+    [
+        # Every line that the marks have left, whatever it weighs: the marks stay.
+        ("stretches", lambda w, share, firm=None: [(k, k + 1) for k, x in enumerate(w) if x is not None], 0.95),
+        # The same with all such lines as the core.
+        ("stretches", lambda w, share, firm=None: [(0, len(w))] if share else stretches(w, share), 0.95),
+        ("stretches", lambda w, share, firm=None: [(k := max(range(len(w)), key=lambda i: w[i] or 0), k + 1)] if share else stretches(w, share), 0.4),
+        ("WINDOW", 1, 0.15),
+        ("SURGE", 0.0, 0.2),
+    ],
+)
+def test_the_distribution_decides_on_plain_pages(monkeypatch, name, value, share):
+    pages = plain_pages()
+    monkeypatch.setattr(html_text, name, value)
+    assert sum(main_text(page) != want for page, want in pages) >= share * len(pages)
+
+
+def test_lists_of_links_in_an_article_stay():
+    links = "".join(f"<li><a href=/{k}>Source {k}</a></li>" for k in range(5))
+    listed = " ".join(f"Source {k}" for k in range(5))
+    assert main_text(f"<body><article><p>{LONG}</p><ul>{links}</ul><p>{LONG}</p></article></body>") == f"{LONG}{listed} {LONG}".strip()
+    assert main_text(f"<body><nav>Menu</nav><article><p>{LONG}</p><h2>Sources</h2><ul>{links}</ul></article></body>") == f"{LONG}Sources {listed}"
+    divs = "".join(f"<div><a href=/{k}>Source {k}</a></div>" for k in range(3))
+    assert main_text(f"<body><div id=content><p>{LONG}</p>{divs}<p>{LONG}</p></div><div class=sidebar>x</div></body>") == f"{LONG}Source 0 Source 1 Source 2 {LONG}".strip()
+
+
+@pytest.mark.parametrize(
+    "name",
+    "search-algorithms social-impact alert-fatigue hidden-gems search-history menu-planning share-price widget-theory reply-rate notice-period comment-culture banner-headlines login-records cookie-recipes".split(),
+)
+def test_sections_named_by_their_subject_stay(name):
+    for attribute in (f"id={name}", f"class='{name}'", f'id="{name}"'):
+        assert main_text(f"<body><article><p>{LONG}</p><section {attribute}><p>{LONG}</p></section><p>End.</p></article></body>") == f"{LONG}{LONG}End."
+
+
+@pytest.mark.parametrize("name", "ad ad-container google-ad cookie-bar related-posts share-buttons social-links newsletter-signup comment-list ad-300x250 siteFooter nav_menu".split())
+def test_named_boilerplate_goes(name):
+    assert main_text(f"<body><article><p>{LONG}</p><div class='{name}'><p>Buy this now.</p></div><p>End.</p></article></body>") == f"{LONG}End."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "hidden=''", "aria-hidden=true", "style='color:red; display: none'", "hidden=hidden"])
+def test_unseen_elements_go(attributes):
+    assert main_text(f"<body><article><p>{LONG}</p><div {attributes}><p>Unseen.</p></div><p>End.</p></article></body>") == f"{LONG}End."
+
+
+@pytest.mark.parametrize("attributes", ["title='hidden'", "data-hidden=x", "aria-hidden=false", "style='display:block'"])
+def test_seen_elements_stay(attributes):
+    assert main_text(f"<body><article><p>{LONG}</p><div {attributes}><p>Seen.</p></div><p>End.</p></article></body>") == f"{LONG}Seen. End."
