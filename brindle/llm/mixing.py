@@ -36,8 +36,6 @@ CELLS = 4096
 STRETCH = 1 << 16
 #: Most sources that are broadcast.
 MAX_BROADCAST_SOURCES = 100_000
-#: Rounds of resharing; each bounds one source more at least.
-MAX_ROUNDS = 1000
 #: floor(2**32 / golden ratio), odd.
 _STEP = 2654435769
 
@@ -67,27 +65,25 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     """(source, k, source_size, n_rows, target): one row a source, null last.
 
     Each source gets its weight's part of ``share`` times all words, at most
-    ``most`` times its own; the excess goes to the others by weight, round by
-    round, until none is above its bound. A round is one aggregate over the sources.
+    ``most`` times its own; the excess goes to the others by weight until none is
+    above its bound. Sources reach their bounds in the order of the bound over the
+    weight, so sums over the sources before each one in that order tell at once
+    from where on sources share what is left.
     """
     by_source = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")))
     # Ranges of sources, numbered in order; cut, so that the ranges stay as they are.
     ranged = cut(by_source.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
     ranked = _before(ranged, F.lit(1), "part", [F.col("source").asc_nulls_last()], "k").drop("part")
-    ranked = cut(ranked.withColumn("w", F.get(F.array(*(F.lit(float(x)) for x in weights)), (F.col("k") % len(weights)).cast("int"))))
-    ratio, level, bounded = most * F.col("source_size") / F.col("w"), None, 0
-    for _ in range(MAX_ROUNDS):
-        free = F.lit(True) if level is None else ratio >= level
-        total, n_bounded, size, w = ranked.agg(F.sum("source_size"), F.count_if(~free), F.sum(F.when(~free, F.col("source_size"))), F.sum(F.when(free, F.col("w")))).first()
-        if level is not None and n_bounded == bounded:
-            break
-        bounded, level = n_bounded, (share * (total or 0) - most * (size or 0)) / w if w else None
-        if level is None:
-            break
-    else:
-        raise RuntimeError(f"sources are still above their bounds after {MAX_ROUNDS} rounds")
+    weight = F.get(F.array(*(F.lit(int(x)) for x in weights)), (F.col("k") % len(weights)).cast("int")).cast("long")
+    ranked = cut(ranked.withColumn("w", weight).withColumn("ratio", most * F.col("source_size") / F.col("w")))
+    total, all_weights = ranked.agg(F.sum("source_size"), F.sum("w")).first()
+    by_ratio = cut(ranked.repartitionByRange("ratio", "k").withColumn("part", F.spark_partition_id()))
+    summed = _before(_before(by_ratio, F.col("source_size"), "part", ["ratio", "k"], "size_before"), F.col("w"), "part", ["ratio", "k"], "w_before")
+    # What a unit of weight gets if the sources before this one are at their bounds.
+    level = (F.lit(share * (total or 0)) - most * F.col("size_before")) / (F.lit(all_weights or 0) - F.col("w_before"))
+    first = summed.withColumn("level", level).where(F.col("level") <= F.col("ratio")).agg(F.min_by("level", F.struct("ratio", "k"))).first()[0]
     bound = most * F.col("source_size").cast("double")
-    target = bound if level is None else F.least(bound, F.col("w") * F.lit(float(level)))
+    target = bound if first is None else F.least(bound, F.col("w") * F.lit(float(first)))
     return ranked.select("source", "k", "source_size", "n_rows", target.alias("target"))
 
 
@@ -207,7 +203,10 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     slotted = turns.join(schedule(sources, block), ["k", "rank"])
     by_row = slotted.groupBy("row", "key").agg(F.sort_array(F.collect_list(F.struct("slot", "start"))).alias("at"))
     by_key = by_row.groupBy("key").agg(F.max(F.struct(F.size("at").alias("n"), "at"))["at"].alias("__brindle_at")).withColumnRenamed("key", "__brindle_key")
-    both = docs.join(by_key, _key(id_col, text_col, seed) == F.col("__brindle_key"))
+    # Keys dealt out evenly first, so that the join deals out both sides itself and Spark can
+    # split a text of many rows.
+    spread = by_key.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    both = docs.join(spread, _key(id_col, text_col, seed) == F.col("__brindle_key"))
     out = both.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode("__brindle_at").alias("__brindle_at"))
     if in_order:
         out = out.repartitionByRange("__brindle_at").sortWithinPartitions("__brindle_at")
