@@ -96,10 +96,12 @@ def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str =
     out = own.join(cut(dropped), "doc", "left")
     split = F.split("text", "\n")
     has_word = F.filter(split, lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
-    left = F.filter(split, lambda x, k: ~F.array_contains("gone", k))
+    # Places that stay, by one hash set; the lines are bound once and read by place.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    left = F.transform(F.array(split), lambda lines: F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))[0]
     return out.select(
         "doc_id",
         F.coalesce(F.size(has_word), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"),
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
     )

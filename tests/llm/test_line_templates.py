@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 from brindle.llm.line_templates import drop_recurring_lines
@@ -92,3 +93,15 @@ def test_short_lines_go_where_the_caller_says_so(spark):
     assert {r.n_dropped for r in drop_recurring_lines(df).collect()} == {0}
     got = drop_recurring_lines(df, least_words=2).collect()
     assert all("Read more" not in r.text and r.n_dropped == 1 for r in got)
+
+
+def test_a_text_of_very_many_dropped_lines(spark):
+    """Dropping takes time in proportion to the lines, not to their square."""
+    n = 60_000
+    long = "\n".join(f"alpha beta gamma delta {k}" if k % 2 else f"own{k} line of this text alone x{k}q" for k in range(n))
+    rows = [(0, long)] + [(k, f"{'abcdefghi'[k] * 3} begins a short text\nalpha beta gamma delta {k}") for k in range(1, 9)]
+    start = time.monotonic()
+    got = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - start < 120
+    assert got[0].n_dropped == n // 2 and got[0].text == "\n".join(long.split("\n")[::2])
+    assert all(got[k].text == f"{'abcdefghi'[k] * 3} begins a short text" for k in range(1, 9))
