@@ -30,8 +30,6 @@ MAX_BROADCAST_BYTES = 128 << 20
 SEED_BYTES = 8 * (WINDOW + 12)
 #: Most contaminated documents whose ids are broadcast.
 MAX_BROADCAST_IDS = 1_000_000
-#: Tasks over which a seed's windows are dealt where they are shuffled.
-SALTS = 8
 
 
 def hashed_words(text: Column) -> Column:
@@ -105,10 +103,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     if (n or 0) <= MAX_BROADCAST_SEEDS and (n_bytes or 0) <= MAX_BROADCAST_BYTES:
         hit = _seeds(own).join(F.broadcast(seeds), "seed")
     else:
-        # A passage of very many documents is dealt over SALTS tasks.
-        dealt = _near(_seeds(own)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int"))
-        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = dealt.join(salted.hint("merge"), ["seed", "salt"])
+        # Cut, so that both sides are dealt out by seed alone and Spark splits the windows of
+        # a seed that very many documents have over as many tasks as they fill.
+        hit = _near(_seeds(own)).join(cut(seeds).hint("merge"), "seed")
     both = F.sequence(F.lit(0), F.least(F.size("own"), F.size("theirs")) - 1)
     equal = F.size(F.filter(both, lambda k: F.get("own", k) == F.get("theirs", k)))
     compared = _windows(hit).select("doc_id", "item_id", "times", (100.0 * equal / F.col("window")).alias("identity"))
@@ -119,7 +116,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """One row per contaminated document: doc_id, n_items, n_seeds, identity,
-    items (the ids of the items it overlaps, comma-joined in order)."""
+    items (the ids of the items it overlaps, comma-joined in order).
+
+    Rows of one id count as one document, those with a null id as one too; null,
+    empty and short texts give no row, and neither do empty tables.
+    """
     return (
         overlaps(docs, benchmark, **columns)
         .groupBy("doc_id")
