@@ -2,7 +2,8 @@
 
 Words are hashed (no vocabulary). A word's vector is the sum of three hashed
 embeddings: two independent hashes of the word and one of its first letters, so
-one unlucky collision alone does not decide. Filters of several widths slide
+one unlucky collision alone does not decide. Only hashes that occur in the training
+sample have a row; any other word adds nothing. Filters of several widths slide
 over the whole text, each filter keeps its largest response (max pooling), and
 a logistic layer turns these into a score.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import types as T
 from brindle.llm.common import cut
 from brindle.llm.tokens import LETTERS, hashed_words
 
-WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 17, 15, 5
+WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 18, 15, 5
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 6
@@ -69,11 +71,15 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield part.first, part.counts, words
 
 
+_BITS = (WORD_BITS, WORD_BITS, PREFIX_BITS)
+
+
 @dataclass
 class Model:
-    word_1: np.ndarray
-    word_2: np.ndarray
-    prefix: np.ndarray
+    #: For each of the three features, the hashes that have a row, ascending.
+    known: list[np.ndarray]
+    #: Their rows, from 1 on; row 0, of all other hashes, is 0.
+    tables: list[np.ndarray]
     #: For each width, (width, DIM, FILTERS).
     filters: list[np.ndarray]
     bias: np.ndarray
@@ -82,8 +88,32 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
     threshold: float = CUT
 
+    @cached_property
+    def places(self) -> list[np.ndarray]:
+        """Of each feature, the row of every hash."""
+        out = []
+        for bits, known in zip(_BITS, self.known, strict=True):
+            place = np.zeros(1 << bits, np.int32)
+            place[known] = np.arange(1, len(known) + 1)
+            out.append(place)
+        return out
+
+    #: The vectors of all hashes, to look at single words.
+    word_1 = cached_property(lambda self: self.tables[0][self.places[0]])
+    word_2 = cached_property(lambda self: self.tables[1][self.places[1]])
+    prefix = cached_property(lambda self: self.tables[2][self.places[2]])
+
+    def __getstate__(self) -> dict:
+        # What follows from the rest need not travel.
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+
+    def rows(self, words: np.ndarray) -> np.ndarray:
+        """(3, words) table rows of features (3, words)."""
+        return np.stack([place[w] for place, w in zip(self.places, words, strict=True)])
+
     def vectors(self, words: np.ndarray) -> np.ndarray:
-        return self.word_1[words[0]] + self.word_2[words[1]] + self.prefix[words[2]]
+        a, b, c = self.rows(words)
+        return self.tables[0][a] + self.tables[1][b] + self.tables[2][c]
 
     def responses(self, x: np.ndarray, width: int) -> np.ndarray:
         """Filter outputs at every place; the text is padded by zeros."""
@@ -124,11 +154,18 @@ class Model:
         return out
 
 
-def _start(rng: np.random.Generator) -> Model:
+def _start(rng: np.random.Generator, texts: Sequence[np.ndarray] = ()) -> Model:
     normal = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+    known, tables = [], []
+    for k, bits in enumerate(_BITS):
+        seen = np.zeros(1 << bits, bool)
+        for words in texts:
+            seen[words[k]] = True
+        known.append(np.flatnonzero(seen).astype(np.int32))
+        tables.append(np.concatenate([np.zeros((1, DIM), np.float32), normal(len(known[k]), DIM)]))
     filters = [normal(w, DIM, FILTERS) * 3 for w in WIDTHS]
     n = len(WIDTHS) * FILTERS
-    return Model(normal(1 << WORD_BITS, DIM), normal(1 << WORD_BITS, DIM), normal(1 << PREFIX_BITS, DIM), filters, np.zeros(n, np.float32), np.abs(normal(n)) * 10)
+    return Model(known, tables, filters, np.zeros(n, np.float32), np.abs(normal(n)) * 10)
 
 
 class _Adagrad:
@@ -157,7 +194,7 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, batch:
     sample is seen more often.
     """
     rng = np.random.default_rng(seed)
-    model, adagrad = _start(rng), _Adagrad(rate)
+    model, adagrad = _start(rng, texts), _Adagrad(rate)
     n_positive = max(1, int(toxic.sum()))
     weight = np.where(toxic == 1, (len(toxic) - n_positive) / n_positive, 1.0).astype(np.float32)
     for _ in range(max(1, round(steps * batch / len(texts)))):
@@ -197,9 +234,9 @@ def train(texts: list[np.ndarray], toxic: np.ndarray, steps: int = STEPS, batch:
             for k, grad in enumerate(filter_grads):
                 adagrad.step(f"filter{k}", model.filters[k], grad)
             if words:
-                at, grad = np.array(words), np.array(grads, np.float32)
-                for k, (name, table) in enumerate((("word_1", model.word_1), ("word_2", model.word_2), ("prefix", model.prefix))):
-                    adagrad.step(name, table, grad, at[:, k])
+                at, grad = model.rows(np.array(words).T), np.array(grads, np.float32)
+                for k, table in enumerate(model.tables):
+                    adagrad.step(f"table{k}", table, grad, at[k])
     return model
 
 
