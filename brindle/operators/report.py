@@ -178,15 +178,25 @@ def sorted_tags(tags: Column) -> Column:
     return F.array_join(F.array_sort(shaped), ", ")
 
 
-def article_section(title: Column, link: Column, summary: Column, tags: Column, publish_date: Column) -> Column:
-    """The Markdown of one article."""
-    lines = F.array_join(F.transform(summary, lambda s: F.concat(F.lit("* "), text.strip(text.escape_markdown(s)))), "\n")
+def shown(value: Column) -> Column:
+    """Text as it stands in a report."""
+    return text.strip(text.escape_markdown(value))
+
+
+def section_text(title: Column, link: Column, lines: Column, tags: Column, publish_date: Column) -> Column:
+    """The Markdown of one article whose texts are :func:`shown` and tags joined."""
+    bullets = F.array_join(F.transform(lines, lambda s: F.concat(F.lit("* "), s)), "\n")
     return F.concat(
-        F.lit("## ["), text.strip(text.escape_markdown(title)), F.lit("]("), link, F.lit(")\n"), lines,
-        F.lit("\n\n**Tags:** "), sorted_tags(tags), F.lit("\n\n**Publish Date:** "), publish_date, F.lit("\n"),
+        F.lit("## ["), title, F.lit("]("), link, F.lit(")\n"), bullets,
+        F.lit("\n\n**Tags:** "), tags, F.lit("\n\n**Publish Date:** "), publish_date, F.lit("\n"),
     )
 
 
+def article_section(title: Column, link: Column, summary: Column, tags: Column, publish_date: Column) -> Column:
+    """The Markdown of one article."""
+    return section_text(shown(title), link, F.transform(summary, shown), sorted_tags(tags), publish_date)
+
+
 def ordered_join(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str, separator: str = "\n") -> DataFrame:
     """The texts of each group joined in order: one report a group."""
     parts = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col(value).alias("v"))))
@@ -205,17 +215,20 @@ def article_report(sections: DataFrame, by: Sequence[str], order: Sequence[str],
     return body.select(*by, F.concat_ws("\n", *head, F.col("__body")).alias("report"))
 
 
-def report_parts(sections: DataFrame, by: Sequence[str], order: Sequence[str], size: int = BATCH_SIZE, name: str = "part") -> DataFrame:
+def report_parts(
+    sections: DataFrame, by: Sequence[str], order: Sequence[str], size: int = BATCH_SIZE, name: str = "part", build: Callable[[Column], Column] = lambda row: row["section"]
+) -> DataFrame:
     """(``by``, ``name``, report, n): a group's report in parts of ``size`` sections.
 
     The parts of a group, one after another with a line break between, are its report.
-    ``order`` must tell the rows of a group apart.
+    ``order`` must tell the rows of a group apart. ``build`` makes a section of a
+    row, after the shuffle, so what a section repeats is moved once.
     """
     keys = [*by, *order]
     numbered = batches(sections.select(*keys), order, by, size, name)
     joined = sections.join(numbered.select(*(F.col(k).alias(f"__{k}") for k in keys), name), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)))
-    parts = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.col("section").alias("v"))))
-    return joined.groupBy(*by, name).agg(F.array_join(F.transform(parts, lambda p: p["v"]), "\n").alias("report"), F.count("*").alias("n"))
+    parts = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*sections.columns).alias("v"))))
+    return joined.groupBy(*by, name).agg(F.array_join(F.transform(parts, lambda p: build(p["v"])), "\n").alias("report"), F.count("*").alias("n"))
 
 
 def strategy_lines(df: DataFrame, line: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from brindle.plans import crowd, emotion, fuzzy, report, rules
+from brindle.plans import crowd, emotion, files, fuzzy, report, rules
 from brindle.plans.common import Query
 
-_PARTS = (crowd.catalogue, emotion.catalogue, fuzzy.catalogue, rules.catalogue, report.catalogue)
+_PARTS = (crowd.catalogue, emotion.catalogue, fuzzy.catalogue, rules.catalogue, report.catalogue, files.catalogue)
 
 
 def queries() -> dict[str, Query]:

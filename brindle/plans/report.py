@@ -133,7 +133,15 @@ def md_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def article_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown report of a source over whole texts: its labelled articles in
     order, in parts of 50, so that no row grows with a source."""
-    parts = report.report_parts(_sections(spark, sf_dir), ["source"], ["doc_id"])
+    docs = _documents(spark, sf_dir).join(load(spark, sf_dir, "labels"), "doc_id")
+    # Each text is escaped and moved once, though a section holds it twice.
+    rows = docs.select("source", "doc_id", report.shown(F.col("text")).alias("text"), F.concat(F.lit("q"), "quality").alias("note"))
+
+    def section(r):
+        tags = report.sorted_tags(F.array(F.lit("z"), r["source"]))
+        return report.section_text(r["text"], F.concat(F.lit("http://x/"), r["doc_id"]), F.array(r["text"], r["note"]), tags, F.lit("2024-01-01"))
+
+    parts = report.report_parts(rows, ["source"], ["doc_id"], build=section)
     return parts.select("source", "part", F.md5(F.col("report").cast("binary")).alias("report"), "n")
 
 
