@@ -72,8 +72,8 @@ def decayed_sum(df: DataFrame, value: str, order: Sequence[str], by: Sequence[st
     v = F.col(value).cast("double")
     parts = s.placed().groupBy(*s.keys).agg(F.count("*").alias("__c"), F.sum(v).alias("__v"), F.sum(v * F.col(scan.PLACE)).alias("__vp"))
     before = s.earlier(parts.withColumn("__before", F.col("__c")), ["__before"])
-    sums = before.groupBy(*by).agg(F.sum("__c").alias("__n"), F.sum("__v").alias("__s"), F.sum(F.col("__v") * F.col("__before") + F.col("__vp")).alias("__p"))
-    return sums.where(F.col("__n") > 0).select(*by, (F.col("__s") - F.col("__p") / F.col("__n")).alias("weighted"))
+    sums = before.groupBy(scan.KEY).agg(F.sum("__c").alias("__n"), F.sum("__v").alias("__s"), F.sum(F.col("__v") * F.col("__before") + F.col("__vp")).alias("__p"))
+    return sums.select(*(F.col(scan.KEY)[c].alias(c) for c in by), (F.col("__s") - F.col("__p") / F.col("__n")).alias("weighted"))
 
 
 def means(df: DataFrame, columns: Sequence[str] = EMOTIONS) -> DataFrame:

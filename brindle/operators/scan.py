@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,12 +19,14 @@ from pyspark.sql import functions as F
 from brindle.session import cut
 
 #: Names that no column of a series may have.
-RANGE, PLACE, TAG = "__range", "__place", "__tag"
+KEY, RANGE, PLACE, TAG = "__key", "__range", "__place", "__tag"
 
 
 @dataclass(frozen=True)
 class Series:
-    """Rows in ranges: ``rows`` holds the columns of the frame, ``RANGE`` and ``TAG``."""
+    """Rows in ranges: ``rows`` holds the columns of the frame, ``KEY`` (the key as one
+    value, so that nulls are equal and windows and joins share one exchange), ``RANGE``
+    and ``TAG``."""
 
     rows: DataFrame
     by: tuple[str, ...]
@@ -34,7 +35,7 @@ class Series:
 
     @property
     def keys(self) -> tuple[str, ...]:
-        return (*self.by, RANGE)
+        return (KEY, RANGE)
 
     def window(self):
         """The rows of one key in one range, in order."""
@@ -50,14 +51,12 @@ class Series:
         ``sums`` has a row a key and range, so its windows are as small as the
         number of ranges.
         """
-        before = Window.partitionBy(*self.by).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(KEY).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
         return sums.withColumns({n: F.coalesce(F.sum(n).over(before), F.lit(0).cast(sums.schema[n].dataType)) for n in names})
 
     def join(self, rows: DataFrame, about: DataFrame, how: str = "inner") -> DataFrame:
         """``rows`` with what ``about`` says of their key and range; nulls are keys too."""
-        names = {k: f"__of_{i}" for i, k in enumerate(self.keys)}
-        test = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
-        return rows.join(about.withColumnsRenamed(names), test, how).drop(*names.values())
+        return rows.join(about, list(self.keys), how)
 
 
 def series(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), ranges: int | None = None) -> Series:
@@ -69,7 +68,7 @@ def series(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), ranges:
     number = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartitionByRange(number, *by, *order) if by or order else df
     rows = cut(dealt.withColumn(RANGE, F.spark_partition_id()).withColumn(TAG, F.monotonically_increasing_id()))
-    return Series(rows, tuple(by), tuple(order), tuple(df.columns))
+    return Series(rows.withColumn(KEY, F.struct(*by) if by else F.struct(F.lit(0))), tuple(by), tuple(order), tuple(df.columns))
 
 
 def numbered(s: Series, name: str) -> DataFrame:
@@ -91,7 +90,7 @@ def neighbours(s: Series, value: str, before: str, after: str) -> DataFrame:
     borders of ranges; null before the first row and after the last."""
     own, keys = F.struct(F.col(value).alias("v")), F.struct(*s.order, TAG)
     ends = s.rows.groupBy(*s.keys).agg(F.min_by(own, keys).alias("__first"), F.max_by(own, keys).alias("__last"))
-    ranges = Window.partitionBy(*s.by).orderBy(RANGE)
+    ranges = Window.partitionBy(KEY).orderBy(RANGE)
     borders = ends.select(*s.keys, F.lag("__last").over(ranges).alias("__lag_of"), F.lead("__first").over(ranges).alias("__lead_of"))
     # A struct tells a neighbour without a value from no neighbour.
     beside = {"__lag": F.lag(own).over(s.window()), "__lead": F.lead(own).over(s.window())}

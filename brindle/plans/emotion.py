@@ -27,6 +27,11 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emotion.scale(wide)
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of the values needs; its ranges are written, so no other column comes along."""
+    return load(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
+
+
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return emotion.totals(emotion.to_long(_samples(spark, sf_dir)))
 
@@ -52,7 +57,7 @@ def emotion_means(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT event_id, user_id, round(running, 6) AS running FROM r"""
 )
 def emotion_running_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = emotion.running_average(load(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"])
+    out = emotion.running_average(_series(spark, sf_dir), "value", ["ts", "event_id"], ["user_id"])
     return out.select("event_id", "user_id", r6("running").alias("running"))
 
 
@@ -69,7 +74,7 @@ def emotion_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalogue.add(f"WITH p AS ({_PLACED}) SELECT user_id, round(sum(value * (n - i) / n), 6) AS weighted FROM p GROUP BY user_id")
 def emotion_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = emotion.decayed_sum(load(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"])
+    out = emotion.decayed_sum(_series(spark, sf_dir), "value", ["ts", "event_id"], ["user_id"])
     return out.select("user_id", r6("weighted").alias("weighted"))
 
 
