@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task. Before each one Arrow gives back what it holds unused, which
+    a reused Python worker otherwise keeps from batch to batch and from task to task."""
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        yield batch
+    pa.default_memory_pool().release_unused()
+
+
 def hex60(key: Column) -> Column:
     """The first 60 bits of a string's MD5 as a non-negative long; null as ''."""
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")

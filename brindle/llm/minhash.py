@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import cut, words
+from brindle.llm.common import cut, settled, words
 from brindle.llm.components import components
 from brindle.llm.tokens import constants, hashed_words, mix
 
@@ -104,7 +104,7 @@ def _sign(size: int, n_bands: int, n_rows: int):
         low, high = seeds.astype(np.uint32) | np.uint32(1), (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         band = constants(n_rows, 4)
         salt = constants(n_bands, 5)
-        for batch in batches:
+        for batch in settled(batches):
             count, keys, bands, bits = [], [], [], []
             with np.errstate(over="ignore"):
                 for own in _sets(batch.column(1), size):

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.common import settled
 from brindle.llm.tokens import LOWER, span_hash, span_sums, text_chunks
 
 #: Ids of a block.
@@ -273,7 +274,7 @@ def _write_task(path: str, end_id: int, bits: bool) -> Callable:
             pending, size, block, done = [rest], size - n, block + 1, done + n
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in batches:
+        for batch in settled(batches):
             keys, row = batch.column(0).to_pylist(), 0
             for ids, counts in encoder.encode(batch.column(1)):
                 ends = np.cumsum(counts)

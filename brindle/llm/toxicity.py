@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import cut
+from brindle.llm.common import cut, settled
 from brindle.llm.tokens import LETTERS, hashed_words
 
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 18, 15, 5
@@ -287,7 +287,7 @@ def calibrate(model: Model, counts: dict[str | None, np.ndarray]) -> None:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in settled(batches):
         words = [None] * batch.num_rows
         for first, counts, part in features(batch.column(0)):
             ends = np.cumsum(counts)
@@ -389,7 +389,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
+        for batch in settled(batches):
             found = own.scores(batch.column(len(kept)))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, score_col])
 
