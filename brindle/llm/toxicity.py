@@ -385,6 +385,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[st
     """
     kept = [c for c in (df.columns if keep is None else keep) if c != score_col]
     read = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__brindle_text"))
+    # What a fit brought to the driver is free by now; Arrow would keep it.
+    pa.default_memory_pool().release_unused()
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
