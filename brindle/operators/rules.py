@@ -134,7 +134,8 @@ def _closure(spark: SparkSession, template: str, base: DataFrame, rules: Sequenc
             if made == template:
                 values = [f"CAST({_literal(slots.get(c))} AS {t})" for c, t in base.dtypes]
                 steps.append(f"SELECT {', '.join(values)} FROM {joined}")
-    text = f"WITH RECURSIVE growing({', '.join(columns)}) MAX RECURSION LEVEL {max_depth} AS (SELECT {', '.join(columns)} FROM {{base}} UNION ALL ({' UNION ALL '.join(steps)})) SELECT DISTINCT * FROM growing"
+    # LIMIT ALL: a recursive query otherwise ends with an error at a million rows.
+    text = f"WITH RECURSIVE growing({', '.join(columns)}) MAX RECURSION LEVEL {max_depth} AS (SELECT {', '.join(columns)} FROM {{base}} UNION ALL ({' UNION ALL '.join(steps)})) SELECT DISTINCT * FROM (SELECT * FROM growing LIMIT ALL)"
     return spark.sql(text, **frames)
 
 

@@ -126,6 +126,17 @@ def linear_rules():
     ]
 
 
+def test_one_plan_makes_any_number_of_facts(spark):
+    facts = {"edge": spark.createDataFrame([(k, k + 1) for k in range(12)], "a int, b int"), "path": spark.createDataFrame([], "a int, b int")}
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, 20)
+    try:
+        got = Engine(linear_rules()[:2]).plan(spark, facts).facts["path"].collect()
+    finally:
+        spark.conf.unset(limit)
+    assert sorted(map(tuple, got)) == [(a, b) for a in range(12) for b in range(a + 1, 13)]
+
+
 def test_one_plan_gives_the_facts_of_the_rounds(spark):
     edges = [(1, 2), (2, 3), (3, 4), (1, 3), (None, 1), (7, 8)]
     facts = {"edge": spark.createDataFrame(edges, "a int, b int"), "path": spark.createDataFrame([(9, 1)], "a int, b int"), "ends": spark.createDataFrame([], "a int, note string")}
