@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -69,13 +70,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Of each module, by name, what its tasks leave in a Python worker for later ones.
+KEPT: dict[str, dict] = {}
+
+
+def _trim() -> None:
+    """Give back what Arrow and the C library hold unused (the latter under glibc)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def settled(batches: Iterator[pa.RecordBatch], keeps: str | None = None) -> Iterator[pa.RecordBatch]:
     """The batches of a task. Before each one Arrow gives back what it holds unused, which
-    a reused Python worker otherwise keeps from batch to batch and from task to task."""
+    a reused Python worker otherwise keeps from batch to batch and from task to task.
+
+    Of :data:`KEPT` only what the task ``keeps`` stays: a worker that goes on to another
+    kind of task has no use for the rest, and would hold it beside its new work."""
+    for name, kept in KEPT.items():
+        if name != keeps:
+            kept.clear()
+    _trim()
     for batch in batches:
         pa.default_memory_pool().release_unused()
         yield batch
-    pa.default_memory_pool().release_unused()
+        del batch
+    _trim()
 
 
 def hex60(key: Column) -> Column:

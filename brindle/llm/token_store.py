@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import settled
+from brindle.llm.common import KEPT, settled
 from brindle.llm.tokens import LOWER, span_hash, span_sums, text_chunks
 
 #: Ids of a block.
@@ -92,15 +92,16 @@ class PieceCache:
     is cut at its end-of-word tokens. Pieces are found by hash and their bytes are
     compared; one of more than ``LONGEST`` bytes, or that shares its hash with
     another, is encoded wherever it occurs. After ``REMEMBERED`` pieces all are
-    forgotten. A Python worker keeps its cache from task to task.
+    forgotten. A Python worker keeps its cache from task to task of this kind.
     """
 
-    _kept: dict[str, PieceCache] = {}
+    _kept: dict[str, PieceCache] = KEPT.setdefault("pieces", {})
 
     @classmethod
     def of(cls, path: str) -> PieceCache:
         if path not in cls._kept:
-            cls._kept = {path: cls(path)}
+            cls._kept.clear()
+            cls._kept[path] = cls(path)
         return cls._kept[path]
 
     def __init__(self, path: str) -> None:
@@ -274,7 +275,7 @@ def _write_task(path: str, end_id: int, bits: bool) -> Callable:
             pending, size, block, done = [rest], size - n, block + 1, done + n
             return pa.RecordBatch.from_pylist([row], schema)
 
-        for batch in settled(batches):
+        for batch in settled(batches, "pieces"):
             keys, row = batch.column(0).to_pylist(), 0
             for ids, counts in encoder.encode(batch.column(1)):
                 ends = np.cumsum(counts)

@@ -333,7 +333,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if not taken[r.toxic] or taken[r.toxic] + r.n <= max_bytes:
             taken[r.toxic] += r.n
             fitting.append(r["__id"])
-    chosen = spark.createDataFrame([(k,) for k in fitting], T.StructType([T.StructField("__id", rows.schema["__id"].dataType)]))
+    # From Arrow: a list of rows would start further Python workers, which stay for a while.
+    chosen = spark.createDataFrame(pa.table({"__id": pa.array(fitting)}), T.StructType([T.StructField("__id", rows.schema["__id"].dataType)]))
     # As Arrow: the texts are views of one buffer, not a copy and an object each.
     got = featured.join(F.broadcast(chosen), "__id", "left_semi").select("toxic", "part", "lang", "words").toArrow().combine_chunks()
     order = pc.sort_indices(got, sort_keys=[("words", "ascending"), ("toxic", "ascending")]).to_numpy()
