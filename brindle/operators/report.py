@@ -7,7 +7,7 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +100,31 @@ def batches(df: DataFrame, order: Sequence[str], by: Sequence[str], size: int =
     return numbered.join(bases, same).select(*df.columns, F.floor((F.col("__base") + F.col("__k")) / F.lit(size)).cast("bigint").alias(name))
 
 
+def _calls(model: Callable[[list[dict]], str], keys: Sequence[str], attempts: int, pause_s: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow batches of (``keys``, rows as JSON) -> an answer for each row. An Arrow batch holds
+    the texts of many calls: one call's are Python objects at a time, and its answer leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = batch.slice(k, 1)
+                rows, answer, error = own.column(len(keys))[0].as_py(), None, None
+                for attempt in range(1, attempts + 1):
+                    try:
+                        candidate = model(json.loads(rows))
+                        json.loads(_repair(candidate))
+                        answer, error = candidate, None
+                        break
+                    except Exception as e:  # noqa: BLE001 - any failure of a model is tried again and reported
+                        error = f"{type(e).__name__}: {e}"
+                        time.sleep(pause_s)
+                made = [pa.array([answer], pa.string()), pa.array([attempt], pa.int64()), pa.array([error], pa.string())]
+                yield pa.RecordBatch.from_arrays([*own.columns[: len(keys)], *made], [*keys, "answer", "attempts", "exception"])
+            pa.default_memory_pool().release_unused()
+
+    return run
+
+
 def call_model(
     df: DataFrame,
     model: Callable[[list[dict]], str],
@@ -123,27 +148,8 @@ def call_model(
     rows = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*inputs).alias("r")))), lambda x: x["r"]))
     packed = df.groupBy(*keys).agg(F.when(n <= most, rows).otherwise(F.raise_error(F.concat(F.lit("a batch has "), n.cast("string"), F.lit(f" rows, more than {most}")))).alias("__rows"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            answers, counts, errors = [], [], []
-            for rows in pdf.pop("__rows"):
-                answer, error = None, None
-                for attempt in range(1, attempts + 1):
-                    try:
-                        candidate = model(json.loads(rows))
-                        json.loads(_repair(candidate))
-                        answer, error = candidate, None
-                        break
-                    except Exception as e:  # noqa: BLE001 - any failure of a model is tried again and reported
-                        error = f"{type(e).__name__}: {e}"
-                        time.sleep(pause_s)
-                answers.append(answer)
-                counts.append(attempt)
-                errors.append(error)
-            yield pdf.assign(answer=answers, attempts=counts, exception=errors)
-
     schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys) + ", answer string, attempts bigint, exception string"
-    return packed.mapInPandas(run, schema)
+    return packed.mapInArrow(_calls(model, list(keys), attempts, pause_s), schema)
 
 
 def _repair(answer: str) -> str:

@@ -265,3 +265,13 @@ def test_tags_with_and_without_special_characters(spark):
     df = spark.createDataFrame([(1, ["b", "a c", " d* "]), (2, ["b", "a"]), (3, []), (4, None), (5, ["é", None, "z"])], "k int, t array<string>")
     got = {r.k: r.x for r in df.select("k", report.sorted_tags(F.col("t")).alias("x")).collect()}
     assert got == {1: "a c, b, d\\*", 2: "a, b", 3: "", 4: None, 5: "z, é"}
+
+
+def test_an_answer_leaves_before_the_next_call():
+    import pyarrow as pa
+
+    seen = []
+    run = report._calls(lambda rows: seen.append(rows) or "{}", ["k"], 1, 0.0)
+    out = run(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(['[{"t": 1}]'] * 3)], ["k", "__rows"])]))
+    assert next(out).to_pylist() == [{"k": 1, "answer": "{}", "attempts": 1, "exception": None}] and len(seen) == 1
+    assert [x.to_pylist()[0]["k"] for x in out] == [2, 3] and len(seen) == 3
