@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java form of the word separator: ASCII white space only.
@@ -70,11 +70,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of its rows, counted as they are written: no job goes
+    through them again. Tasks that Spark repeats may count twice, so it is at least the number."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return done, seen.get["n"]
+
+
 #: Of each module, by name, what its tasks leave in a Python worker for later ones.
 KEPT: dict[str, dict] = {}
 
 
-def _trim() -> None:
+def trim() -> None:
     """Give back what Arrow and the C library hold unused (the latter under glibc)."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -91,12 +99,12 @@ def settled(batches: Iterator[pa.RecordBatch], keeps: str | None = None) -> Iter
     for name, kept in KEPT.items():
         if name != keeps:
             kept.clear()
-    _trim()
+    trim()
     for batch in batches:
         pa.default_memory_pool().release_unused()
         yield batch
         del batch
-    _trim()
+    trim()
 
 
 def hex60(key: Column) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import cut, settled, words
+from brindle.llm.common import counted_cut, cut, settled, words
 from brindle.llm.components import components
 from brindle.llm.tokens import constants, hashed_words, mix
 
@@ -169,9 +169,9 @@ def _class_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     Ids are broadcast up to ``MAX_BROADCAST_IDS``, counted first; above it,
     texts are shuffled to them.
     """
-    needed = cut(needed)
+    needed, n = counted_cut(needed)
     low, build = _shingles(F.col("text"), size)
-    ids = F.broadcast(needed) if needed.count() <= MAX_BROADCAST_IDS else needed
+    ids = F.broadcast(needed) if n <= MAX_BROADCAST_IDS else needed
     picked = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
     return cut(picked.select(F.col("doc_id").alias("id"), low.alias("w")).where(F.size("w") > 0).select("id", build(F.col("w")).alias("own")))
 
@@ -311,6 +311,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ``MAX_BROADCAST_IDS``, counted first; beyond that both are shuffled.
     """
     found = near_duplicates(docs, id_col, text_col, size, percent, **options)
-    gone = cut(found.where("not kept").select(F.col("doc_id").alias("__brindle_gone")).distinct())
-    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST_IDS else gone
+    gone, n = counted_cut(found.where("not kept").select(F.col("doc_id").alias("__brindle_gone")).distinct())
+    gone = F.broadcast(gone) if n <= MAX_BROADCAST_IDS else gone
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__brindle_gone"), "left_anti")

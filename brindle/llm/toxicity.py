@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import cut, settled
+from brindle.llm.common import cut, settled, trim
 from brindle.llm.tokens import LETTERS, hashed_words
 
 WORD_BITS, PREFIX_BITS, PREFIX_BYTES = 18, 15, 5
@@ -337,6 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = spark.createDataFrame(pa.table({"__id": pa.array(fitting)}), T.StructType([T.StructField("__id", rows.schema["__id"].dataType)]))
     # As Arrow: the texts are views of one buffer, not a copy and an object each.
     got = featured.join(F.broadcast(chosen), "__id", "left_semi").select("toxic", "part", "lang", "words").toArrow().combine_chunks()
+    trim()
     order = pc.sort_indices(got, sort_keys=[("words", "ascending"), ("toxic", "ascending")]).to_numpy()
     texts = _views(got["words"], order)
     toxic, part = (got[c].to_numpy().astype(np.int64)[order] for c in ("toxic", "part"))
@@ -386,8 +387,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", keep: Sequence[st
     """
     kept = [c for c in (df.columns if keep is None else keep) if c != score_col]
     read = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").cast("string").alias("__brindle_text"))
-    # What a fit brought to the driver is free by now; Arrow would keep it.
-    pa.default_memory_pool().release_unused()
+    # What a fit brought to the driver is free by now; Arrow and the C library would keep it.
+    trim()
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

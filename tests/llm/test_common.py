@@ -1,7 +1,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from brindle.llm.common import settled
+from brindle.llm.common import counted_cut, settled
 from brindle.llm.queries import tokenizer_path
 from brindle.llm.token_store import PieceCache
 
@@ -25,3 +25,9 @@ def test_ids_from_arrow(spark):
     docs = spark.range(0).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("").alias("lang"))
     labels = spark.range(3).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
     assert toxicity.fit(docs, labels).threshold == toxicity.NEVER
+
+
+def test_a_cut_counts_its_rows(spark):
+    for n in (0, 1, 1000):
+        done, seen = counted_cut(spark.range(n).select((F.col("id") % 7).alias("k")).distinct())
+        assert seen == done.count() == min(n, 7)

@@ -126,3 +126,38 @@ def test_other_bands(spark):
     rows = corpus(5, families=4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n_bands=40, n_rows=4).collect()}
     assert got == brute(rows)
+
+
+def jobs_of(spark, run):
+    """What ``run`` returns, and how many Spark jobs it took."""
+    context = spark.sparkContext
+    group = f"jobs-{random.random()}"
+    context.setJobGroup(group, "")
+    try:
+        return run(), len(context.statusTracker().getJobIdsForGroup(group))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rounds_and_one_task_find_the_same_components(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 50)] + [(rng.randrange(100, 200), rng.randrange(100, 200)) for _ in range(70)] + [(900, 300), (300, 300), (400, 400), (None, 4)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got, most = {}, 0
+    for few in (0, 20, 10_000):
+        monkeypatch.setattr("brindle.llm.components.FEW_EDGES", few)
+        got[few], n = jobs_of(spark, lambda: {r.id: r.component for r in components(frame).collect()})
+        # The fewer rounds, the fewer jobs the driver plans and tells of.
+        assert not most or n < most
+        most = n
+    assert got[0] == got[20] == got[10_000]
+    assert got[0][50] == 0 and got[0][900] == got[0][300] == 300 and got[0][400] == 400
+    assert components(frame.limit(0)).count() == components(frame.where("a = 400")).count() - 1 == 0
+
+
+def test_few_links_take_few_jobs(spark):
+    """Rounds over a few edges cost the driver as much as rounds over many."""
+    frame = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
+    got, jobs = jobs_of(spark, lambda: components(frame).collect())
+    assert {r.component for r in got} == {0} and len(got) == 201
+    assert jobs <= 8
